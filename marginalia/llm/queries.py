@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination
+from . import contamination, fingerprint, quality, toxicity
+from .labelled import remainder
 from .scratch import table
 
 
@@ -24,5 +25,31 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_decontamination": op1_decontamination}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored, c = toxicity.annotate(docs, model)
+    levels = [F.col(f"{c}.at_least")[k].alias(f"p_grade_{k + 1}") for k in range(toxicity.GRADES - 1)]
+    return scored.select("doc_id", held_out.alias("held_out"), F.col(f"{c}.severity").alias("severity"), F.col(f"{c}.grade").alias("grade"), (F.col(f"{c}.grade") > 0).alias("toxic"), *levels)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored, c = quality.annotate(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), F.col(f"{c}.score").alias("score"), F.col(f"{c}.predicted").alias("predicted"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_toxicity": op2_toxicity,
+    "op4_quality": op4_quality,
+    "op10_fingerprints": op10_fingerprints,
+}
 ORACLE_SQL: dict[str, str] = {}
