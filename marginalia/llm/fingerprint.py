@@ -13,9 +13,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -85,12 +86,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 - np.minimum(far, BOUND) / BOUND
 
 
-@F.pandas_udf("double")
-def fingerprint_likeness(a, b):
+def fingerprint_likeness(a: Column, b: Column) -> Column:
     """Likeness of two columns of fingerprints."""
-    import pandas as pd
 
-    return pd.Series(likeness(from_hex(a.tolist()), from_hex(b.tolist())), dtype="float64")
+    def between(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(likeness(from_hex(x.tolist()), from_hex(y.tolist())), dtype="float64")
+
+    return F.pandas_udf(between, T.DoubleType())(a, b)
 
 
 def edited(text: str, following: str) -> str:
