@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, fingerprint, mixing, oracle, quality, secrets, toxicity
+from . import chat, contamination, fingerprint, mixing, oracle, quality, secrets, similarity, substrings, toxicity
 from .labelled import remainder
 from .scratch import table
 
@@ -71,6 +71,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -82,6 +91,8 @@ QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,
+    "op8_substrings": op8_substrings,
+    "op9_jaccard": op9_jaccard,
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLE_SQL = {"op5_chat_format": oracle.CHAT_FORMAT, "op6_secrets": oracle.SECRETS}
