@@ -145,7 +145,7 @@ class _Groups:
     def join(self, i: int, others: np.ndarray) -> None:
         for other in np.unique(self.label[others]):
             a, b = int(self.label[i]), int(other)
-            if a != b:
+            if a != b and b in self.members:  # else it was merged just now
                 if len(self.members[a]) < len(self.members[b]):
                     a, b = b, a
                 self.label[self.members[b]] = a

@@ -63,6 +63,18 @@ def test_chain_of_near_copies():
     assert len(set(S.linked_groups(far))) == 12
 
 
+def test_groups_of_all_sizes_merge():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        groups, naive = S._Groups(12), list(range(12))
+        for _ in range(8):
+            i, others = int(rng.integers(12)), rng.integers(0, 12, 3)
+            groups.join(i, others)
+            old = {naive[i], *(naive[k] for k in others)}
+            naive = [naive[i] if x in old else x for x in naive]
+        assert all((groups.label[a] == groups.label[b]) == (naive[a] == naive[b]) for a in range(12) for b in range(12))
+
+
 def test_empty_table(spark):
     assert S.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
