@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, fingerprint, mixing, oracle, quality, secrets, similarity, substrings, toxicity
+import corpus_pipeline
+
+from . import chat, contamination, fingerprint, lm_scoring, mixing, oracle, quality, secrets, similarity, substrings, toxicity
 from .labelled import remainder
 from .scratch import table
 
@@ -34,6 +36,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), F.col(f"{c}.severity").alias("severity"), F.col(f"{c}.grade").alias("grade"), (F.col(f"{c}.grade") > 0).alias("toxic"), *levels)
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
@@ -85,8 +91,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
+    "op3_lm_scores": op3_lm_scores,
     "op4_quality": op4_quality,
     "op5_chat_format": op5_chat_format,
     "op6_secrets": op6_secrets,
