@@ -97,7 +97,7 @@ def _many(index: np.ndarray, counts: np.ndarray, _: np.ndarray) -> np.ndarray:
 
 
 def _send_pieces(buckets: int, schema):
-    """Rows (block, bucket, pieces): packed size and least key of each distinct piece, and its words."""
+    """Rows (block, bucket, pieces): packed size and least key of each distinct piece, and its words as places in the row's vocabulary."""
 
     def run(group: pa.Table, replies: pa.Table) -> pa.Table:
         out: dict[str, list] = {f.name: [] for f in schema}
@@ -114,12 +114,19 @@ def _send_pieces(buckets: int, schema):
                 out["bucket"].append(int(b))
                 out["sizes"].append(block.size[own].astype(np.uint8).tobytes())
                 out["docs"].append(block.doc[own].tobytes())
-                out["words"].append(block.hashes[at].tobytes())
+                distinct, place = np.unique(block.hashes[at], return_inverse=True)
+                out["vocabulary"].append(distinct.tobytes())
+                out["words"].append(place.astype(np.uint16 if len(distinct) <= 2**16 else np.uint32).tobytes())
         return X.table_of(schema, out)
 
     return run
 
 
+def _unpacked(vocabulary: bytes, places: bytes) -> np.ndarray:
+    distinct = np.frombuffer(vocabulary, np.uint64)
+    return distinct[np.frombuffer(places, np.uint16 if len(distinct) <= 2**16 else np.uint32)]
+
+
 def _search_shard(schema):
     """Builds the shard's FM-index and answers, for each window of each piece, the least key of a document that has it."""
 
@@ -127,7 +134,8 @@ def _search_shard(schema):
         sizes = [np.frombuffer(x, np.uint8).astype(np.int64) for x in group["sizes"].to_pylist()]
         size = np.concatenate(sizes)
         doc = np.concatenate([np.frombuffer(x, np.int64) for x in group["docs"].to_pylist()])
-        words = np.concatenate([np.frombuffer(x, np.uint64) for x in group["words"].to_pylist()])
+        packed = zip(group["vocabulary"].to_pylist(), group["words"].to_pylist(), strict=True)
+        words = np.concatenate([_unpacked(v, w) for v, w in packed])
         vocabulary, symbols = np.unique(words, return_inverse=True)
         if len(vocabulary) >= 2**21 - 1:
             raise ValueError("a shard has too many distinct words; use more blocks")
@@ -214,7 +222,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     asked = blocks.groupBy("block").applyInArrow(_ask(buckets, packed), packed)
     seeds = asked.groupBy("bucket").applyInArrow(X.answer(packed, np.uint8, _many), packed)
     told = seeds.select("block", "keys", "extra")
-    sent = X.struct("block long, bucket long, sizes binary, docs binary, words binary")
+    sent = X.struct("block long, bucket long, sizes binary, docs binary, vocabulary binary, words binary")
     pieces = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_send_pieces(shards, sent), sent)
     back = X.struct("block long, bucket long, least binary")
     least = pieces.groupBy("bucket").applyInArrow(_search_shard(back), back)
