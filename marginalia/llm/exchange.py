@@ -56,8 +56,11 @@ def send(block: int, keys: np.ndarray, extra: np.ndarray, buckets: int) -> dict[
     return {"block": [block] * len(parts), "bucket": [int(b) for b, _, _ in parts], "keys": [k.tobytes() for _, k, _ in parts], "extra": [e.tobytes() for _, _, e in parts]}
 
 
-def answer(schema: T.StructType, width: type, solve: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> Callable[[pa.Table], pa.Table]:
-    """For groups by bucket: ``solve(index, extra, sender)`` gives one value a key sent; index numbers the distinct keys."""
+def answer(schema: T.StructType, width: type, solve: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], echo: bool = True) -> Callable[[pa.Table], pa.Table]:
+    """For groups by bucket: ``solve(index, extra, sender)`` gives one value a key sent; index numbers the distinct keys.
+
+    Without ``echo`` the keys don't go back, and answers_to() puts the values to them.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         sent = [np.frombuffer(k, np.uint64) for k in group["keys"].to_pylist()]
@@ -66,7 +69,7 @@ def answer(schema: T.StructType, width: type, solve: Callable[[np.ndarray, np.nd
         sizes = np.array([len(k) for k in sent])
         values = solve(index, extra, np.repeat(np.arange(len(sent)), sizes))
         cuts = np.cumsum(sizes)[:-1]
-        return table_of(schema, {"block": group["block"].to_pylist(), "bucket": group["bucket"].to_pylist(), "keys": group["keys"].to_pylist(), "extra": [v.tobytes() for v in np.split(values, cuts)]})
+        return table_of(schema, {"block": group["block"].to_pylist(), "bucket": group["bucket"].to_pylist(), "keys": group["keys"].to_pylist() if echo else [None] * len(sent), "extra": [v.tobytes() for v in np.split(values, cuts)]})
 
     return run
 
@@ -81,6 +84,18 @@ def answers_of(replies: pa.Table, width: type) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], values[order]
 
 
+def answers_to(keys: np.ndarray, replies: pa.Table, width: type, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct ``keys`` that a block has sent, and the value that each got in replies without keys."""
+    bucket = bucket_of(keys, buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket, values = bucket[order], np.zeros(len(keys), width)
+    for b, raw in zip(replies["bucket"].to_pylist(), replies["extra"].to_pylist(), strict=True):
+        got = np.frombuffer(raw, width)
+        start = np.searchsorted(bucket, b)
+        values[order[start : start + len(got)]] = got
+    return keys, values
+
+
 def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Values of keys that are all there."""
     return values[np.searchsorted(keys, wanted)]

@@ -69,6 +69,10 @@ class _Block:
         starts = np.flatnonzero(new)
         return seed[starts], (1 + (np.add.reduceat(other.astype(np.int64), starts) > 0)).astype(np.uint8) if len(starts) else np.zeros(0, np.uint8)
 
+    def answers(self, replies: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct seeds, and whether they are in two documents (2) or not."""
+        return X.answers_to(np.unique(self.seed), replies, np.uint8, buckets)
+
     def pieces(self, keys: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pieces with repeated seeds: their indexes by (seed, words, document), the number of each distinct one, and where these begin."""
         take = np.flatnonzero(X.look_up(keys, held, self.seed) > 1) if len(self.seed) else np.zeros(0, np.int64)
@@ -96,16 +100,16 @@ def _many(index: np.ndarray, counts: np.ndarray, _: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(index, counts), 2).astype(np.uint8)[index]
 
 
-def _send_pieces(buckets: int, schema):
+def _send_pieces(buckets: int, shards: int, schema):
     """Rows (block, bucket, pieces): packed size and least key of each distinct piece, and its words as places in the row's vocabulary."""
 
     def run(group: pa.Table, replies: pa.Table) -> pa.Table:
         out: dict[str, list] = {f.name: [] for f in schema}
         if group.num_rows:
             block = _Block(group)
-            take, _, starts = block.pieces(*X.answers_of(replies, np.uint8))
+            take, _, starts = block.pieces(*block.answers(replies, buckets))
             lead = take[starts]
-            bucket = X.bucket_of(block.seed[lead], buckets)
+            bucket = X.bucket_of(block.seed[lead], shards)
             for b in np.unique(bucket):
                 own = lead[bucket == b]
                 n = block.size[own] + WINDOW - 1
@@ -176,14 +180,14 @@ def _search_shard(schema):
     return run
 
 
-def _apply(buckets: int, schema):
+def _apply(buckets: int, shards: int, schema):
     def run(group: pa.Table, seeds: pa.Table, found: pa.Table) -> pa.Table:
         block = _Block(group)
-        take, which, starts = block.pieces(*X.answers_of(seeds, np.uint8))
+        take, which, starts = block.pieces(*block.answers(seeds, buckets))
         removed = np.zeros(len(block.hashes), bool)
         if len(take):
             lead = take[starts]
-            bucket, size = X.bucket_of(block.seed[lead], buckets), block.size[lead]
+            bucket, size = X.bucket_of(block.seed[lead], shards), block.size[lead]
             least = np.empty(int(size.sum()), np.int64)
             offset = np.cumsum(size) - size
             for b, raw in zip(found["bucket"].to_pylist(), found["least"].to_pylist(), strict=True):
@@ -220,23 +224,22 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     shards = max(1, n_blocks // 2)
     packed = X.struct(X.PACKED)
     asked = blocks.groupBy("block").applyInArrow(_ask(buckets, packed), packed)
-    seeds = asked.groupBy("bucket").applyInArrow(X.answer(packed, np.uint8, _many), packed)
-    told = seeds.select("block", "keys", "extra")
+    seeds = asked.groupBy("bucket").applyInArrow(X.answer(packed, np.uint8, _many, echo=False), packed)
+    told = seeds.select("block", "bucket", "extra")
     sent = X.struct("block long, bucket long, sizes binary, docs binary, vocabulary binary, words binary")
-    pieces = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_send_pieces(shards, sent), sent)
+    pieces = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_send_pieces(buckets, shards, sent), sent)
     back = X.struct("block long, bucket long, least binary")
     least = pieces.groupBy("bucket").applyInArrow(_search_shard(back), back)
     # both kinds of answers go back to a block together
     null = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    both = told.select("block", "keys", "extra", null("long", "bucket"), null("binary", "least")).unionByName(least.select("block", null("binary", "keys"), null("binary", "extra"), "bucket", "least"))
+    both = told.withColumn("least", null("binary", "least")).unionByName(least.select("block", "bucket", null("binary", "extra"), "least"))
     final = X.struct("key long, n_words long, n_removed long, kept string")
-    work = _apply(shards, final)
+    work = _apply(buckets, shards, final)
 
     def apply(group: pa.Table, replies: pa.Table) -> pa.Table:
         if not group.num_rows:
             return X.table_of(final, {f.name: [] for f in final})
-        of_seeds = replies["keys"].is_valid()
-        return work(group, replies.filter(of_seeds), replies.filter(replies["least"].is_valid()))
+        return work(group, replies.filter(replies["extra"].is_valid()), replies.filter(replies["least"].is_valid()))
 
     out = blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(apply, final)
     return out.withColumnRenamed("key", key)
