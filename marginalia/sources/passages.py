@@ -187,7 +187,8 @@ def outline(passages: DataFrame) -> DataFrame:
 def markup(passages: DataFrame, title: str | None = None) -> DataFrame:
     """(part_number, xml): the documents that passages_of reads back to the same rows.
 
-    A run of passages of one section kind becomes a section.
+    A run of passages of one section kind becomes a section.  Passages inside one that has no text of
+    its own, and so no row, get an empty one around them.
     """
 
     def element(tag, id_, attributes, body, indent):
@@ -202,10 +203,16 @@ def markup(passages: DataFrame, title: str | None = None) -> DataFrame:
 
     editorial = F.when(F.col("is_editorial"), F.lit(' editorial="true"')).otherwise(F.lit(""))
     number = attribute("number", F.col("number"))
+    tops = passages.filter("parent_id IS NULL")
+    orphans = passages.filter("parent_id IS NOT NULL").join(tops.select(F.col("id").alias("parent_id")), "parent_id", "left_anti")
+    kinds = {"def": "definition", "affect": "definition", "ax": "axiom", "phys_ax": "axiom", "lemma": "lemma", "post": "postulate"}
+    empty = orphans.groupBy("parent_id").agg(*[F.min_by(c, "sort_index").alias(c) for c in ("section_kind", "part_number", "part_numeral")], F.min("sort_index").alias("sort_index"))
+    kind = F.coalesce(lookup(kinds, F.get(F.split("parent_id", r"\."), F.lit(1))), F.lit("proposition"))
+    empty = empty.select(F.col("parent_id").alias("id"), kind.alias("type"), F.lit("").alias("text"), "sort_index", "section_kind", "part_number", "part_numeral", F.lit(False).alias("is_editorial"))
     inner = passages.filter("parent_id IS NOT NULL").withColumn("xml", element(F.col("type"), F.col("id"), F.concat(number, editorial), text_lines(8), 6))
     inner = inner.groupBy(F.col("parent_id").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sort_index", "xml"))), lambda x: x["xml"]), "\n").alias("inside"))
     own = {t: tag for tag, t in V.TAG_TYPES.items()} | {"note": "note"}
-    top = passages.filter("parent_id IS NULL").join(inner, "id", "left")
+    top = tops.unionByName(empty, allowMissingColumns=True).join(inner, "id", "left")
     intro = F.col("id").endswith(".introduction")
     caput = F.regexp_extract("heading", "^Caput ([IVXLCDM]+)$", 1)
     topic = F.when(caput != "", caput).when(F.col("heading") != "Appendix Section", F.col("heading"))
