@@ -27,6 +27,8 @@ WINDOW = 13
 HIT_SHARE = 20
 #: Text of the benchmark that is broadcast at once; a larger benchmark takes more passes.
 BLOCK_BYTES = 4_000_000
+#: Text of the documents of one suffix array.
+SHARD_BYTES = 4_000_000
 _BITS = np.int64(21)
 
 FOUND = T.StructType(
@@ -209,7 +211,7 @@ def _occurrences(shard: Shard, test: TestSuffixes) -> tuple[np.ndarray, np.ndarr
 
 def _search_texts(texts: list, before: list, test: TestSuffixes, window: int) -> dict[str, list]:
     out: dict[str, list] = {f.name: [] for f in FOUND}
-    for i, j, raw in W.chunks(texts, lower=True):
+    for i, j, raw in W.chunks(texts, lower=True, size=SHARD_BYTES):
         found = W.split_words(raw, W.ALNUM)
         items: dict[int, set[str]] = {}
         best: dict[int, tuple[int, int]] = {}

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Bytes of text that are worked on at once; a longer text stands alone.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -102,16 +102,16 @@ def split_words(raw: Sequence[bytes], is_word: np.ndarray) -> Words:
     return Words(buffer, starts, ends, np.searchsorted(starts, bounds))
 
 
-def chunks(texts: Sequence[str | None], lower: bool) -> Iterator[tuple[int, int, list[bytes]]]:
-    """Runs [i, j) of the texts with about CHUNK_BYTES together, encoded."""
-    start, held, size = 0, [], 0
+def chunks(texts: Sequence[str | None], lower: bool, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Runs [i, j) of the texts with about ``size`` bytes together, encoded."""
+    start, held, total = 0, [], 0
     for k, text in enumerate(texts):
         raw = encode(text if isinstance(text, str) else None)
-        if held and size + len(raw) > CHUNK_BYTES:
+        if held and total + len(raw) > size:
             yield start, k, held
-            start, held, size = k, [], 0
+            start, held, total = k, [], 0
         held.append(raw.lower() if lower else raw)
-        size += len(raw)
+        total += len(raw)
     if held:
         yield start, start + len(held), held
 
