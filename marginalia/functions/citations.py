@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import vocabulary as V
 from .labels import SPACES
-from .roman import from_roman, to_roman
+from .roman import from_roman, lookup
 
 # The patterns of the families, in the order in which they are looked for.
 _KIND = r"(Prop(?:osition)?|Def(?:inition)?s?|Deff\.?|Ax(?:iom)?|Lemma|Post(?:ulate)?)"
@@ -42,7 +42,10 @@ class Family:
 
 
 def families(build: bool) -> list[Family]:
-    """``build``: as the graph builder reads texts; otherwise as the reader does."""
+    """``build``: as the graph builder reads texts; otherwise as the reader does.
+
+    The builder takes any spelling of the numbers one to five for a part (iiii), the reader I to V only.
+    """
     return [
         Family(EXPLICIT, 2, (3,), part=1, corollary=4),
         Family(QUALIFIED, 2, (3,), part=1, corollary=4),
@@ -65,12 +68,6 @@ def kind_of_token(token: Column) -> Column:
     return F.when(low.startswith("def"), "def").when(low.startswith("ax"), "ax").when(low.startswith("lemma"), "lemma").when(low.startswith("post"), "post").otherwise("prop")
 
 
-def part_numeral(text: Column, build: bool) -> Column:
-    """I to V; the builder also takes other spellings of these numbers (iiii), the reader does not."""
-    roman = to_roman(from_roman(text)) if build else F.upper(text)
-    return F.when(roman.isin(*V.PART_NUMERALS.values()), roman)
-
-
 def reference_id(part: Column, kind: Column, number: Column, suffix: Column | None = None) -> Column:
     """part.kind.number[.suffix]; null where the part or the number is missing or 0."""
     parts = [part, kind, number.cast("string")] + ([suffix] if suffix is not None else [])
@@ -78,21 +75,29 @@ def reference_id(part: Column, kind: Column, number: Column, suffix: Column | No
 
 
 def _of_family(text: Column, own_part: Column, family: Family, build: bool) -> Column:
+    """Array of ids.  Groups, numbers and ids are made one after another, so that each is worked out once for a match."""
     pattern = java_pattern(family.pattern)
 
-    def group(found: Column, k: int) -> Column:
-        return F.regexp_extract(found, pattern, k)
-
-    def ids(found: Column) -> Column:
-        part = part_numeral(group(found, family.part), build) if family.part else own_part
-        kind = kind_of_token(group(found, family.kind)) if isinstance(family.kind, int) else F.lit(family.kind)
-        suffix = None
-        if family.corollary:
-            number = from_roman(group(found, family.corollary))
-            suffix = F.when((number != 0) & (kind == "prop"), F.concat(F.lit("corollary"), number.cast("string")))
-        return F.array(*[reference_id(part, kind, from_roman(group(found, k)), suffix) for k in family.numbers])
-
-    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), ids))
+    def groups(found: Column) -> Column:
+        group = lambda k: F.regexp_extract(found, pattern, k)
+        part = group(family.part) if family.part else F.lit("")
+        kind = kind_of_token(group(family.kind)) if isinstance(family.kind, int) else F.lit(family.kind)
+        corollary = group(family.corollary) if family.corollary else F.lit("")
+        return F.struct(part.alias("part"), kind.alias("kind"), F.array(*[group(k) for k in family.numbers]).alias("numbers"), corollary.alias("corollary"))
+
+    def numbers(g: Column) -> Column:
+        part = (from_roman(g["part"]) if build else g["part"]) if family.part else F.lit("")
+        return F.struct(part.alias("part"), g["kind"].alias("kind"), F.transform(g["numbers"], from_roman).alias("numbers"), from_roman(g["corollary"]).alias("corollary"))
+
+    def ids(g: Column) -> Column:
+        part = own_part
+        if family.part:
+            part = lookup(V.PART_NUMERALS, g["part"]) if build else F.when(F.upper(g["part"]).isin(*V.PART_NUMERALS.values()), F.upper(g["part"]))
+        suffix = F.when((g["corollary"] != 0) & (g["kind"] == "prop"), F.concat(F.lit("corollary"), g["corollary"].cast("string"))) if family.corollary else None
+        return F.transform(g["numbers"], lambda n: reference_id(part, g["kind"], n, suffix))
+
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.flatten(F.transform(F.transform(F.transform(matches, groups), numbers), ids))
 
 
 def references(text: Column, own_id: Column, build: bool = False) -> Column:

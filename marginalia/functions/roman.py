@@ -38,5 +38,6 @@ def from_roman(text: Column) -> Column:
         down = value < state["last"]
         return F.struct((state["total"] + F.when(down, -value).otherwise(value)).alias("total"), F.when(down, state["last"]).otherwise(value).alias("last"))
 
-    letters = F.filter(F.reverse(F.split(F.upper(text), "")), lambda x: x != "")
-    return F.aggregate(letters, F.struct(F.lit(0).alias("total"), F.lit(0).alias("last")), step, lambda s: s["total"])
+    letters = F.reverse(F.split(F.upper(text), ""))
+    value = F.aggregate(letters, F.struct(F.lit(0).alias("total"), F.lit(0).alias("last")), step, lambda s: s["total"])
+    return F.when(text == "", 0).otherwise(value)
