@@ -44,14 +44,14 @@ FOUND = T.StructType(
 
 @dataclass
 class TestSuffixes:
-    """A block of the benchmark: word ranks laid end to end, and the distinct windows in it."""
+    """A block of the benchmark: word ranks laid end to end, and the distinct suffixes of its items that hold a window."""
 
     vocabulary: np.ndarray
     ranks: np.ndarray
-    starts: np.ndarray  # of a suffix that begins with each distinct window
-    lengths: np.ndarray  # of that window
+    starts: np.ndarray  # of each distinct suffix
+    lengths: np.ndarray  # of the window that it begins with
     leads: np.ndarray  # sorted codes of their first words
-    group: np.ndarray  # of windows that the same items hold
+    group: np.ndarray  # of suffixes that the same items hold
     groups: list[tuple[str, ...]]  # those items
     depth: int  # words in the longest item
 
@@ -63,13 +63,13 @@ class TestSuffixes:
         if len(vocabulary) >= 2**20:
             raise ValueError("a block of the benchmark has too many distinct words")
         padded = _spaced(ranks.astype(np.int64) + 1, found, window)
-        windows: dict[bytes, int] = {}
+        suffixes: dict[tuple[int, int], int] = {}
         starts, lengths, items = [], [], []
         for d, (item, _) in enumerate(rows):
             a, b = found.first[d], found.first[d + 1]
+            names = _suffix_names(ranks[a:b].tolist())
             for i in range(a, max(a, b - window) + 1 if b > a else a):
-                key = ranks[i : min(i + window, b)].tobytes()
-                k = windows.setdefault(key, len(windows))
+                k = suffixes.setdefault((names[i - a], int(b - i)), len(suffixes))
                 if k == len(starts):
                     starts.append(i + d)
                     lengths.append(min(i + window, b) - i)
@@ -82,6 +82,15 @@ class TestSuffixes:
         return cls(vocabulary, padded, starts, lengths, leads, group, list(groups), int(max(found.counts, default=0)))
 
 
+def _suffix_names(ranks: list[int]) -> list[int]:
+    """A hash of each suffix of the ranks."""
+    out, h = [0] * len(ranks), 0
+    for i in range(len(ranks) - 1, -1, -1):
+        h = (h * 0x9E3779B97F4A7C15 + ranks[i] + 1) % (2**89 - 1)
+        out[i] = h
+    return out
+
+
 def _spaced(ranks: np.ndarray, found: W.Words, window: int) -> np.ndarray:
     """Ranks with a 0 after each text and some more at the end."""
     out = np.zeros(len(ranks) + len(found.first) + window + 3, np.int64)

@@ -68,3 +68,51 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN grouped g ON d.doc_id = g.doc_id
 """
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SPACED = r"[^\x20\x09-\x0D]+"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _words(pattern: str, lower: bool) -> str:
+    text = "coalesce(text, '')"
+    return f"regexp_extract_all({f"translate({text}, '{_UPPER}', '{_LOWER}')" if lower else text}, '{pattern}')"
+
+
+DECONTAMINATION = f"""
+WITH words AS (SELECT doc_id, row_number() OVER () AS rn, {_words(_ALNUM, True)} AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words(_ALNUM, True)} AS w FROM benchmark),
+windows AS (SELECT item, j, n, array_to_string(list_slice(w, j, j + n - 1), ' ') AS win FROM (SELECT item, w, least(len(w), 13) AS n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS j FROM items WHERE len(w) > 0)),
+places AS (SELECT rn, k, n, array_to_string(list_slice(w, k, k + n - 1), ' ') AS win FROM (SELECT rn, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM words, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+hits AS (SELECT rn, k, p.n, item, k - j AS diagonal FROM places p JOIN windows v ON p.win = v.win AND p.n = v.n),
+covered AS (SELECT rn, count(DISTINCT pos) AS n_hit FROM (SELECT rn, unnest(range(k, k + n)) AS pos FROM (SELECT DISTINCT rn, k, n FROM hits)) GROUP BY rn),
+found AS (SELECT rn, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rn, item FROM hits) GROUP BY rn),
+runs AS (SELECT rn, min(k) AS place, count(*) + n - 1 AS size FROM (SELECT *, k - row_number() OVER (PARTITION BY rn, item, n, diagonal ORDER BY k) AS run FROM hits) GROUP BY rn, item, n, diagonal, run),
+longest AS (SELECT rn, max(size) AS size, arg_min(place, (-size, place)) AS place FROM runs GROUP BY rn)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(size, 0) AS longest_match, coalesce(place - 1, -1) AS longest_match_at
+FROM words LEFT JOIN covered USING (rn) LEFT JOIN found USING (rn) LEFT JOIN longest USING (rn)
+"""
+
+SUBSTRINGS = f"""
+WITH words AS (SELECT doc_id, row_number() OVER () AS rn, {_words(_SPACED, False)} AS w FROM documents),
+places AS (SELECT doc_id, rn, k, array_to_string(list_slice(w, k, k + 12), ' ') AS win FROM (SELECT doc_id, rn, w, unnest(range(1, len(w) - 11)) AS k FROM words WHERE len(w) >= 13)),
+least AS (SELECT win, min(doc_id) AS first FROM places GROUP BY win),
+gone AS (SELECT DISTINCT rn, unnest(range(k, k + 13)) AS pos FROM places JOIN least USING (win) WHERE first < doc_id),
+each AS (SELECT rn, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM words),
+kept AS (SELECT rn, string_agg(word, ' ' ORDER BY pos) AS kept FROM each ANTI JOIN gone USING (rn, pos) GROUP BY rn),
+removed AS (SELECT rn, count(*) AS n_removed FROM gone GROUP BY rn)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN removed USING (rn) LEFT JOIN kept USING (rn)
+"""
+
+JACCARD = f"""
+WITH RECURSIVE words AS (SELECT doc_id, {_words(_SPACED, True)} AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 4), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM sets x JOIN sets y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY ALL) JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(first, d.doc_id)) AS component_id
+FROM words d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS first FROM reach GROUP BY a) r ON r.a = d.doc_id
+"""

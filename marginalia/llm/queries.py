@@ -23,7 +23,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(f"{c}.items", ","), 256).alias("items_sha256"),
         contamination.is_contaminated(c).alias("contaminated"),
         F.col(f"{c}.longest").alias("longest_match"),
-        F.col(f"{c}.longest_at").alias("longest_match_at"),
+        F.coalesce(f"{c}.longest_at", F.lit(-1)).alias("longest_match_at"),
     )
 
 
@@ -103,4 +103,4 @@ QUERIES = {
     "op9_jaccard": op9_jaccard,
     "op10_fingerprints": op10_fingerprints,
 }
-ORACLE_SQL = {"op5_chat_format": oracle.CHAT_FORMAT, "op6_secrets": oracle.SECRETS}
+ORACLE_SQL = {"op1_decontamination": oracle.DECONTAMINATION, "op8_substrings": oracle.SUBSTRINGS, "op9_jaccard": oracle.JACCARD} | {"op5_chat_format": oracle.CHAT_FORMAT, "op6_secrets": oracle.SECRETS}

@@ -61,3 +61,12 @@ def test_longest_match(spark):
     found, c = C.annotate(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(7, item)], ITEMS))
     got = {r[0]: (r[1], r[2]) for r in found.select("doc_id", f"{c}.longest", f"{c}.longest_at").collect()}
     assert got == {1: (25, 2), 2: (40, 0)}
+
+
+def test_longest_match_where_items_share_windows(spark):
+    shared = " ".join(f"v{i}" for i in range(22))
+    long = shared + " " + " ".join(f"b{i}" for i in range(30))
+    items = [(1, shared + " a1 a2 a3"), (2, long), (3, long)]
+    found, c = C.annotate(spark.createDataFrame([(1, "x " + long, "")], DOCS), spark.createDataFrame(items, ITEMS))
+    row = found.select(f"{c}.longest", f"{c}.longest_at", f"{c}.items").first()
+    assert tuple(row) == (52, 1, ["1", "2", "3"])
