@@ -71,11 +71,15 @@ def part_lines(texts: DataFrame, key: str = "path", text: str = "value", end: st
     lines = lines.withColumn("_heading", heading).filter(~F.col("line").rlike(PART))
     lines = lines.withColumn("part", F.regexp_extract("_heading", PART, 1)).withColumn("_inline", F.trim(F.regexp_extract("_heading", PART, 2)))
     # the first line with text is the title, unless one stands in the heading or it begins something else
-    seen = running(F.trim("line") != "", Window.partitionBy(*own).orderBy("pos"))
+    order = Window.partitionBy(*own).orderBy("pos")
+    lines = lines.withColumn("_text", F.trim("line")).withColumn("_nth", running(F.trim("line") != "", order))
     begins = _is_heading(F.col("line")) | F.col("line").rlike(PROPOSITION)
-    title = (seen == 1) & (F.trim("line") != "") & (F.col("_inline") == "") & ~begins
-    repeated = (F.col("part") == "II") & (F.trim("line") == F.coalesce(L.blank_to_null(F.col("_inline")), lookup({"II": V.PART_TITLES[2].upper()}, F.col("part")))) & (seen == 1)
-    return lines.withColumn("_title", title | repeated).filter("NOT _title").select("key", "part", "pos", "line")
+    lines = lines.withColumn("_title", (F.col("_nth") == 1) & (F.col("_text") != "") & (F.col("_inline") == "") & ~begins)
+    named = F.coalesce(L.blank_to_null(F.col("_inline")), F.first(F.when(F.col("_title"), F.col("_text")), ignorenulls=True).over(order))
+    # part II may say its title twice
+    again = (F.col("part") == "II") & (F.col("_text") == named) & (F.col("_nth") == F.when(F.col("_inline") == "", 2).otherwise(1))
+    lines = lines.withColumn("_again", F.coalesce(again, F.lit(False)))
+    return lines.filter("NOT _title AND NOT _again").select("key", "part", "pos", "line")
 
 
 def _is_heading(line: Column) -> Column:

@@ -56,6 +56,8 @@ PART II.
 
 THE SECOND
 
+THE SECOND
+
 Preface text of the second.
 
 PROP. I. E is F.
