@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import words as W
-from .columns import add_struct, free_name
+from .columns import add_struct
 from .scratch import settle
 
 BLOCK_TOKENS = 1_000_000
@@ -104,6 +104,8 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     found = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("epoch") == F.col("e")) & (F.col("block") == F.col("b")))
     inside = Window.partitionBy("source", "epoch", "block").orderBy(F.xxhash64(F.lit(seed + 1), "key", "mark", "epoch"), "key", "mark").rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("start", F.col("block_start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)) + F.col("epoch") * F.col("total"))
-    return found.filter((F.col("start") < F.col("drawn")) | (F.col("total") == 0)).select(
+    # a text without tokens is drawn too where it stands at the very end of what is drawn
+    drawn = (F.col("start") < F.col("drawn")) | (F.col("n_tokens") == 0) & (F.col("start") <= F.col("drawn"))
+    return found.filter(drawn).select(
         F.col("key").alias(key), F.col("source").alias(source), "n_tokens", F.col("epoch"), "block", F.col("start").alias("start_token")
     )

@@ -79,3 +79,22 @@ def test_stages_against_brute_force(spark, folder):
     # the whole run does the same
     again = {tuple(r) for r in P.run(spark, folder).collect()}
     assert again == {tuple(r) for r in mixed}
+
+
+def test_stages_take_empty_tables_nulls_and_repeated_rows(spark, folder):
+    rows = [(None, None, None, None, None), (1, None, "en", "a", 0), (2, "", None, None, None), (3, "so far so good\n" * 3000, "en", "a", 45_000), (3, "so far so good\n" * 3000, "en", "a", 45_000), (None, "one two", "en", None, 7)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for _, stage in P.STAGES[1:]:  # what the classifier thinks of these is its own affair
+        got = stage(spark, docs, folder)
+        assert {r["doc_id"] for r in got.collect()} == {None, 1, 2, 3}
+    for k, (_, stage) in enumerate(P.STAGES):
+        got = stage(spark, docs.limit(0), folder)
+        assert got.count() == 0 and (k == len(P.STAGES) - 1 or got.columns == docs.columns)
+    assert P.keep_good_quality(spark, docs, folder).columns == docs.columns
+
+
+def test_stages_keep_extra_columns_with_clashing_names(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(30).withColumns({n: F.lit("mine") for n in ("quality", "contamination", "spans", "kinds", "posting_key", "component_id", "n_shingles")})
+    for _, stage in P.STAGES[:-1]:
+        got = stage(spark, docs, folder)
+        assert got.columns == docs.columns and {tuple(r)[-7:] for r in got.collect()} <= {("mine",) * 7}
