@@ -147,6 +147,18 @@ def write_triples(triples: DataFrame, path: str, namespace: str = NAMESPACE, rul
     out.write.text(path)
 
 
+def save_triples(triples: DataFrame, path: str) -> None:
+    """A Parquet table in a folder for each relation, by subject within: a pattern reads its relation's files only.
+
+    The range partitioning spreads a relation that most triples have over many files.
+    """
+    triples.select(*COLUMNS).repartitionByRange("p", "s").sortWithinPartitions("p", "s").write.partitionBy("p").parquet(path)
+
+
+def load_triples(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SCHEMA).parquet(path).select(*COLUMNS)
+
+
 def classes_of(triples: DataFrame) -> DataFrame:
     """(id, type): the passage type that stands for a node's class; the least name where there are several."""
     typed = triples.filter((F.col("p") == TYPE) & F.col("o").isin(*V.CLASS_TYPES))

@@ -69,6 +69,15 @@ def test_bad_statements_are_errors(spark, tmp_path, text):
         S.read_triples(spark, str(tmp_path / "a.n3")).collect()
 
 
+def test_table_by_relation(spark, tmp_path):
+    given = store(spark, ("a", "cites", "b"), ("a", "1", "b"), ("c", "partOf", "a"))
+    S.save_triples(given, str(tmp_path / "t"))
+    found = S.load_triples(spark, str(tmp_path / "t"))
+    assert rows(found) == rows(given)
+    plan = T.cited_by(found, "a")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(p" in plan and "PushedFilters: [IsNotNull(s), EqualTo(s,a)]" in plan and "o_kind" not in plan.split("ReadSchema")[1]
+
+
 def test_inference(spark):
     given = store(spark, ("p1", "cites", "d1"), ("p2", "provedBy", "p2.proof"), ("p2.proof", "cites", "p1"), ("p3", "hasCorollary", "c"), ("p4", "hasNote", "n"))
     literal = spark.createDataFrame([("p5", "hasNote", "7", "literal")], S.SCHEMA)
