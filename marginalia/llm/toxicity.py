@@ -21,11 +21,13 @@ from .labelled import sample
 SAMPLE_ROWS = 8000
 GRADES = 4
 #: Bytes of the word beginnings that are features beside the words.
-PREFIXES = (4, 5)
+PREFIXES = (4, 6, 8)
 #: A feature enters the vocabulary if one in so many examples has it, and three at least ...
-LEAST_SHARE = 200
+LEAST_SHARE = 400
 #: ... and toxic examples have it more often than by chance, by so many standard deviations.
-MARKING = 4.0
+MARKING = 3.0
+#: Text of the examples whose features are counted at once.
+COUNTED_BYTES = 4_000_000
 SCORED = T.StructType(
     [
         T.StructField("severity", T.DoubleType(), False),
@@ -69,24 +71,13 @@ class SeverityModel:
 
     @classmethod
     def fit(cls, examples: list[tuple[str | None, int]], steps: int = 300, ridge: float = 1e-5) -> "SeverityModel":
-        docs, hashes, base = [], [], 0
-        for _, _, raw in W.chunks([t for t, _ in examples], lower=True):
-            d, h = _presence(raw)
-            docs.append(d + base)
-            hashes.append(h)
-            base += len(raw)
-        toxic = np.array([int(y == 1) for _, y in examples])
+        texts, toxic = [t for t, _ in examples], np.array([int(y == 1) for _, y in examples])
         if not len(toxic) or toxic.min() == toxic.max():
             return cls(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, -30.0 if len(toxic) and toxic[0] else 30.0))
-        doc, word = np.concatenate(docs), np.concatenate(hashes)
-        vocabulary, word, df = np.unique(word, return_inverse=True, return_counts=True)
-        rate = toxic.mean()
-        surplus = np.bincount(word, toxic[doc], len(df)) - df * rate
-        keep = (df >= max(3, len(toxic) / LEAST_SHARE)) & (surplus > MARKING * np.sqrt(df * rate * (1 - rate)))
-        inside = keep[word]
-        doc, word = doc[inside], (np.cumsum(keep) - 1)[word[inside]]
-        vocabulary, n, m = vocabulary[keep], len(toxic), int(keep.sum())
+        vocabulary = _marking_features(texts, toxic)
+        doc, word = _known_features(texts, vocabulary)
         grade = _grades(doc, toxic)
+        n, m = len(toxic), len(vocabulary)
         weights, theta = np.zeros(m), np.linspace(2.0, 4.0, GRADES - 1)
         state = [np.zeros(m), np.zeros(m), np.zeros(GRADES - 1), np.zeros(GRADES - 1)]
         for step in range(1, steps + 1):
@@ -109,20 +100,34 @@ class SeverityModel:
         return cls(vocabulary, weights, theta)
 
     def score(self, texts: list[str | None]) -> dict[str, list]:
-        out: dict[str, list] = {f.name: [] for f in SCORED}
-        for _, _, raw in W.chunks(texts, lower=True):
-            eta = np.zeros(len(raw))
-            if len(self.vocabulary):
-                doc, hashes = _tokens(raw)
-                slot = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-                known = self.vocabulary[slot] == hashes
-                pairs = np.unique(doc[known] * len(self.vocabulary) + slot[known])
-                eta = np.bincount(pairs // len(self.vocabulary), self.weights[pairs % len(self.vocabulary)], len(raw))
-            p = _sigmoid(eta[:, None] - self.thresholds)
-            out["severity"] += p.sum(1).tolist()
-            out["grade"] += (p >= 0.5).sum(1).tolist()
-            out["at_least"] += p.tolist()
-        return out
+        doc, word = _known_features(texts, self.vocabulary)
+        p = _sigmoid(np.bincount(doc, self.weights[word], len(texts))[:, None] - self.thresholds)
+        return {"severity": p.sum(1).tolist(), "grade": (p >= 0.5).sum(1).tolist(), "at_least": p.tolist()}
+
+
+def _marking_features(texts: list[str | None], toxic: np.ndarray) -> np.ndarray:
+    """Sorted hashes of the features that mark toxic examples; counts are added up a few texts at a time."""
+    vocabulary, df, bad = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    for i, _, raw in W.chunks(texts, lower=True, size=COUNTED_BYTES):
+        doc, hashes = _presence(raw)
+        vocabulary, at = np.unique(np.concatenate([vocabulary, hashes]), return_inverse=True)
+        df = np.bincount(at, np.concatenate([df, np.ones(len(hashes))]), len(vocabulary))
+        bad = np.bincount(at, np.concatenate([bad, toxic[i + doc]]), len(vocabulary))
+    rate = toxic.mean()
+    return vocabulary[(df >= max(3, len(toxic) / LEAST_SHARE)) & (bad - df * rate > MARKING * np.sqrt(df * rate * (1 - rate)))]
+
+
+def _known_features(texts: list[str | None], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (document, place in the vocabulary) pairs."""
+    docs, words = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, _, raw in W.chunks(texts, lower=True) if len(vocabulary) else ():
+        doc, hashes = _tokens(raw)
+        slot = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+        known = vocabulary[slot] == hashes
+        pairs = np.unique(doc[known] * len(vocabulary) + slot[known])
+        docs.append(i + pairs // len(vocabulary))
+        words.append(pairs % len(vocabulary))
+    return np.concatenate(docs), np.concatenate(words)
 
 
 def _grades(doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
