@@ -244,12 +244,14 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     index = settle(sets.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_second_sieve(indexed), indexed), "index")
 
     lists = index.filter("shingle is not null").select("shingle", "node")
-    heads = lists.groupBy("shingle").agg(F.min("node").alias("head"))
+    # written, so that the join with a very frequent shingle or class can be split
+    heads = settle(lists.groupBy("shingle").agg(F.min("node").alias("head")), "heads")
     clusters = components(lists.join(heads, "shingle").select("node", "head"), "node", "head")
     clustered = index.filter("shingles is not null").select("node", "shingles").join(clusters, "node")
-    sizes = clustered.groupBy("component").agg(F.sum(F.octet_length("shingles")).alias("bytes"))
-    cut = F.ceil(F.col("bytes") / (PART_BYTES / 2)).cast("int")
-    clustered = clustered.join(sizes.select("component", F.when(F.col("bytes") <= PART_BYTES, 1).otherwise(cut).alias("cut")), "component")
+    sizes = clustered.groupBy("component").agg(F.sum(F.octet_length("shingles")).alias("bytes")).filter(F.col("bytes") > PART_BYTES)
+    # one row for each PART_BYTES of sets at most, so that it can be broadcast and no component meets in one task
+    large = F.broadcast(sizes.select("component", F.ceil(F.col("bytes") / (PART_BYTES / 2)).cast("int").alias("cut")))
+    clustered = clustered.join(large, "component", "left").withColumn("cut", F.coalesce("cut", F.lit(1)))
     part = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("cut")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("other")
     dealt = clustered.select("component", "node", "shingles", part.alias("part"), "cut", other)
@@ -262,6 +264,6 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     # members of one component meet by name, then get its smallest key
     own = members.select("key", "n", "node").join(named, "node", "left")
     own = own.select("key", "n", F.coalesce("component", "node").alias("class"))
-    least = own.filter("class is not null").groupBy("class").agg(F.min("key").alias("least"))
+    least = settle(own.filter("class is not null").groupBy("class").agg(F.min("key").alias("least")), "least")
     final = own.join(least, "class", "left")
     return final.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("key")).otherwise(F.col("least")).alias("component_id"))
