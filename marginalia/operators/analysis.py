@@ -10,6 +10,7 @@ from marginalia.functions import vocabulary as V
 from marginalia.functions.roman import lookup
 
 from .graph import dependency_depth, influence, weighted_edges
+from .lineage import settle
 from .triples import match
 
 
@@ -68,7 +69,7 @@ def weights(explicit: DataFrame, elements: DataFrame) -> DataFrame:
 
     A passage without links has weights of 0 and the score of its type's base plus 5.
     """
-    edges = weighted_edges(explicit)
+    edges = settle(weighted_edges(explicit), "weighted")  # read four times
     plain = edges.select("src", "dst").distinct()
     out = edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("outbound_weight"))
     in_ = edges.groupBy(F.col("dst").alias("id")).agg(F.sum("weight").alias("inbound_weight"))
