@@ -28,7 +28,7 @@ HIT_SHARE = 20
 #: Text of the benchmark that is broadcast at once; a larger benchmark takes more passes.
 BLOCK_BYTES = 4_000_000
 #: Text of the documents of one suffix array.
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 1_000_000
 _BITS = np.int64(21)
 
 FOUND = T.StructType(
