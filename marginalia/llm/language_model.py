@@ -127,7 +127,7 @@ class Model:
         begin, size = windows(first, STRIDES[kind])
         return begin, size, np.minimum(CONTEXTS[kind], begin - first[np.searchsorted(first, begin, "right") - 1])
 
-    def _batch(self, kind: int, inputs: np.ndarray, plan: tuple, some: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _batch(self, kind: int, inputs: np.ndarray, plan: tuple, some: slice | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         begin, size, before = (x[some, None] for x in plan)
         slots = np.arange(-CONTEXTS[kind], STRIDES[kind])
         held = (slots >= -before) & (slots < size)
@@ -172,33 +172,46 @@ class Model:
         dx = dk @ w["key"].T + dv @ w["value"].T
         dx[:, s:] += dh + dq @ w["query"].T
         dx[~held] = 0
-        g["embed"] = np.zeros_like(w["embed"])
-        np.add.at(g["embed"], ids.ravel(), flat(dx))
+        slot = ids.astype(np.int64)[..., None] * DIM + np.arange(DIM)
+        g["embed"] = np.bincount(slot.ravel(), dx.ravel(), SIZE * DIM).astype(np.float32).reshape(SIZE, DIM)
         g["place"] = np.zeros_like(w["place"])
         g["place"][: dx.shape[1]] = dx.sum(0)
         g["kind"] = np.zeros_like(w["kind"])
         g["kind"][kind] = dx.sum((0, 1))
         return g
 
-    def train(self, streams: list[tuple[np.ndarray, np.ndarray, np.ndarray]], steps: int, rate: float, seed: int = 3) -> None:
-        """Adam over random batches; ``streams`` has (inputs, targets, first) for each kind."""
+    def _shuffled(self, plans: list[tuple], rng: np.random.Generator) -> list[tuple[int, int, np.ndarray]]:
+        """Batches (chunk, kind, windows) in any order; each window of each plan is in one of them."""
+        out = []
+        for chunk, pair in enumerate(plans):
+            for kind, (begin, _, _) in enumerate(pair):
+                if len(begin):
+                    batches = -(-len(begin) // (1024 // STRIDES[kind]))
+                    out += [(chunk, kind, some) for some in np.array_split(rng.permutation(len(begin)), batches)]
+        return [out[k] for k in rng.permutation(len(out))]
+
+    def train(self, chunks: list[tuple[tuple, tuple]], rate: float, seed: int = 3, steps: int = 1) -> None:
+        """Adam over shuffled batches, in whole passes over all windows: one, or as many as ``steps`` takes.
+
+        A chunk has (inputs, targets, first) for each kind.
+        """
         rng = np.random.default_rng(seed)
-        plans = [self._plan(kind, first) for kind, (_, _, first) in enumerate(streams)]
+        plans = [tuple(self._plan(kind, first) for kind, (_, _, first) in enumerate(pair)) for pair in chunks]
         mean = {k: np.zeros_like(v) for k, v in self.weights.items()}
         square = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        for step in range(1, steps + 1):
-            kind = step % 2
-            inputs, targets, _ = streams[kind]
-            if not len(targets):
-                continue
-            batch = 1024 // STRIDES[kind]
-            i = int(rng.integers(max(1, len(plans[kind][0]) - batch)))
-            ids, held, at = self._batch(kind, inputs, plans[kind], slice(i, i + batch))
-            for k, g in self._gradient(kind, ids, held, inputs[at], targets[at]).items():
-                mean[k] += 0.1 * (g - mean[k])
-                square[k] += 0.01 * (g * g - square[k])
-                now = rate * (1 - step / (steps + 1))
-                self.weights[k] -= (now * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        queue = self._shuffled(plans, rng)
+        passes = -(-steps // len(queue)) if queue else 0
+        total, step = passes * len(queue), 0
+        for n in range(passes):
+            for chunk, kind, some in queue if n == 0 else self._shuffled(plans, rng):
+                step += 1
+                inputs, targets, _ = chunks[chunk][kind]
+                ids, held, at = self._batch(kind, inputs, plans[chunk][kind], some)
+                for k, g in self._gradient(kind, ids, held, inputs[at], targets[at]).items():
+                    mean[k] += 0.1 * (g - mean[k])
+                    square[k] += 0.01 * (g * g - square[k])
+                    now = rate * (1 - step / (total + 1))
+                    self.weights[k] -= (now * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
 
 def inside_streams(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

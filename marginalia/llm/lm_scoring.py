@@ -4,8 +4,8 @@ P(word | before) = P(first subword id | first ids before) * (share * count(word)
 + (1 - share) * P(other ids | first id)): the attention model gives both conditional
 probabilities, the counts are of all training documents.  Learning takes two jobs:
 1. Every task counts the bigrams of subword ids in its training documents, and goes on training
-   the model, started on a bounded sample, with some steps for each few megabytes of
-   them.  Counts are summed and weights are averaged over all tasks.
+   the model, started on a bounded sample, with every window of them once, some megabytes
+   of text at a time.  Counts are summed and weights are averaged over all tasks.
 2. Blocks of documents ask for the count of each of their distinct words, and score.
 """
 
@@ -32,8 +32,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PARTS, HELD_OUT = 7, 2
 SAMPLE_ROWS = 1000
 FIRST_STEPS, FIRST_RATE = 600, 0.01
-STEPS, RATE = 8, 0.002
-#: Text of the documents between which a task trains STEPS steps.
+RATE = 0.002
+#: Text of the documents whose windows are shuffled together.
 PIECE_BYTES = 4_000_000
 SHARE = 0.9
 #: Distinct words whose insides a task keeps from block to block.
@@ -64,15 +64,14 @@ class _Streams:
 
 def first_model(texts: list[str | None], subwords: L.Subwords) -> L.Model:
     """A model from a sample of texts alone."""
-    counts, streams = np.zeros((2, L.SIZE, L.SIZE)), None
+    counts, streams = np.zeros((2, L.SIZE, L.SIZE)), []
     for _, _, raw in W.chunks(texts, lower=True, size=PIECE_BYTES):
         s = _Streams(raw)
         outer, inside, first = s.spell(subwords)
         counts += s.bigrams(outer, inside, first)
-        streams = streams or [outer, inside]
+        streams.append((outer, inside))
     model = L.Model.start(counts)
-    if streams:
-        model.train(streams, FIRST_STEPS, FIRST_RATE)
+    model.train(streams, FIRST_RATE, steps=FIRST_STEPS)
     return model
 
 
@@ -90,7 +89,7 @@ def _learn(shared, path: str, schema: pa.Schema):
                 s = _Streams(raw)
                 outer, inside, first = s.spell(subwords)
                 counts += s.bigrams(outer, inside, first)
-                model.train([outer, inside], STEPS, RATE, seed=pieces)
+                model.train([(outer, inside)], RATE, seed=pieces)
                 pieces += 1
         if pieces:
             codes = np.flatnonzero(counts)

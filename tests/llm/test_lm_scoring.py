@@ -82,3 +82,26 @@ def test_gradient(model):
                 losses.append(-classes.astype(float).mean())
             weight[at_] = old
             assert (losses[0] - losses[1]) / (2 * step) == pytest.approx(grads[k][at_], abs=2e-3)
+
+
+def test_every_position_is_trained_on(monkeypatch):
+    monkeypatch.setattr(S, "PIECE_BYTES", 3000)
+    monkeypatch.setattr(S, "FIRST_STEPS", 1)
+    seen = [[], []]
+    real = L.Model._gradient
+
+    def watched(self, kind, ids, held, before, target):
+        seen[kind] += zip(before.tolist(), target.tolist())
+        return real(self, kind, ids, held, before, target)
+
+    monkeypatch.setattr(L.Model, "_gradient", watched)
+    texts, subwords = [t for _, t in corpus(60)], L.Subwords(S.VOCABULARY)
+    pieces = [S._Streams(raw).spell(subwords)[:2] for _, _, raw in S.W.chunks(texts, lower=True, size=3000)]
+    assert len(pieces) > 3
+    want = [sorted((a, b) for pair in pieces for a, b in zip(pair[kind][0].tolist(), pair[kind][1].tolist())) for kind in (0, 1)]
+    model = S.first_model(texts, subwords)
+    assert [sorted(x) for x in seen] == want
+    seen[:] = [[], []]
+    schema = S.pa.schema([("code", S.pa.int64()), ("value", S.pa.float64())])
+    list(S._learn(type("Shared", (), {"value": model}), S.VOCABULARY, schema)(iter([S.pa.RecordBatch.from_pydict({"text": texts})])))
+    assert [sorted(x) for x in seen] == want
