@@ -4,6 +4,7 @@ A window is some consecutive words of a document; it is removed where the same w
 in a document with a smaller id.  Each window is sent to the shard that its minimizer names (the least
 hash among the short word sequences within it), so equal windows meet.  Only minimizers that stand
 in two documents are sent at all, with the words of their windows, equal ones of a block once.
+The windows of a minimizer with many different neighbourhoods are dealt by their own words instead.
 A shard builds an FM-index of what it gets and streams the windows through it by backward search;
 the suffixes in a window's interval say in which documents it stands, and the least goes back.
 """
@@ -11,6 +12,7 @@ the suffixes in a window's interval say in which documents it stands, and the le
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ from .fm_index import FMIndex
 
 WINDOW = 13
 SEED = 7
+#: Distinct pieces of a seed, about, beyond which its windows are dealt one by one.
+HOT_PIECES = 2**14
 _NONE = np.iinfo(np.int64).max
 
 
@@ -61,31 +65,63 @@ class _Block:
         self.doc = docs[found.doc_of()[self.start]]
 
     def repeated_here(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct seeds, and 2 for those of two documents or 1."""
+        """Distinct seeds, and for each a code: 1 + 2 * log2 of its distinct pieces here, rounded up, + 1 if it is in two documents."""
         order = np.lexsort((self.doc, self.seed))
         seed, doc = self.seed[order], self.doc[order]
         new = np.concatenate([[True], seed[1:] != seed[:-1]])[: len(seed)]
         other = np.concatenate([[False], (seed[1:] == seed[:-1]) & (doc[1:] != doc[:-1])])[: len(seed)]
         starts = np.flatnonzero(new)
-        return seed[starts], (1 + (np.add.reduceat(other.astype(np.int64), starts) > 0)).astype(np.uint8) if len(starts) else np.zeros(0, np.uint8)
+        if not len(starts):
+            return seed, np.zeros(0, np.uint8)
+        many = np.diff(np.append(starts, len(seed)))
+        again = order[np.repeat(many > 1, many)]
+        if len(again):
+            first, last = self.ends(self.start[again], self.size[again])
+            by = np.lexsort((last, first, self.size[again], self.seed[again]))
+            same = np.stack([x[by][1:] == x[by][:-1] for x in (self.seed[again], self.size[again], first, last)]).all(0)
+            seeds = self.seed[again][by][np.concatenate([[True], ~same])]
+            many[many > 1] = np.unique(seeds, return_counts=True)[1]
+        code = 1 + 2 * np.ceil(np.log2(many)).astype(np.int64) + (np.add.reduceat(other.astype(np.int64), starts) > 0)
+        return seed[starts], code.astype(np.uint8)
+
+    def ends(self, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first and the last window; with the size they name a piece."""
+        windows = W.grams(self.hashes, WINDOW)
+        return windows[start], windows[start + size - 1]
 
     def answers(self, replies: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct seeds, and whether they are in two documents (2) or not."""
+        """Distinct seeds, and whether they are in one document (1), in more (2), or have too many pieces for a shard (3)."""
         return X.answers_to(np.unique(self.seed), replies, np.uint8, buckets)
 
-    def pieces(self, keys: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pieces with repeated seeds: their indexes by (seed, words, document), the number of each distinct one, and where these begin."""
-        take = np.flatnonzero(X.look_up(keys, held, self.seed) > 1) if len(self.seed) else np.zeros(0, np.int64)
-        if not len(take):
-            return take, take, take
-        # name a piece by its seed, its length and the hash of its first and last window
-        windows = W.grams(self.hashes, WINDOW)
-        first, last = windows[self.start[take]], windows[self.start[take] + self.size[take] - 1]
-        order = np.lexsort((self.doc[take], last, first, self.size[take], self.seed[take]))
-        take, first, last = take[order], first[order], last[order]
-        same = (self.seed[take[1:]] == self.seed[take[:-1]]) & (self.size[take[1:]] == self.size[take[:-1]]) & (first[1:] == first[:-1]) & (last[1:] == last[:-1])
-        new = np.concatenate([[True], ~same])
-        return take, np.cumsum(new) - 1, np.flatnonzero(new)
+    def pieces(self, keys: np.ndarray, held: np.ndarray) -> "_Pieces":
+        """Pieces with repeated seeds; those of hot seeds are cut into their windows, which go by their own hashes."""
+        state = X.look_up(keys, held, self.seed) if len(self.seed) else np.zeros(0, np.uint8)
+        cold, hot = np.flatnonzero(state == 2), np.flatnonzero(state == 3)
+        n = self.size[hot]
+        single = np.repeat(self.start[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start = np.concatenate([self.start[cold], single])
+        size = np.concatenate([self.size[cold], np.ones(len(single), np.int64)])
+        doc = np.concatenate([self.doc[cold], np.repeat(self.doc[hot], n)])
+        if not len(start):
+            return _Pieces(start, size, doc, np.zeros(0, np.uint64), start, start)
+        first, last = self.ends(start, size)
+        deal = np.concatenate([self.seed[cold], first[len(cold) :]])
+        order = np.lexsort((doc, last, first, size, deal))
+        start, size, doc, deal, first, last = (x[order] for x in (start, size, doc, deal, first, last))
+        new = np.concatenate([[True], ~np.stack([x[1:] == x[:-1] for x in (deal, size, first, last)]).all(0)])
+        return _Pieces(start, size, doc, deal, np.cumsum(new) - 1, np.flatnonzero(new))
+
+
+@dataclass
+class _Pieces:
+    """Pieces of a block by (words, document)."""
+
+    start: np.ndarray
+    size: np.ndarray
+    doc: np.ndarray
+    deal: np.ndarray  # names the shard
+    which: np.ndarray  # the number of each distinct one
+    lead: np.ndarray  # where these begin
 
 
 def _ask(buckets: int, schema):
@@ -96,8 +132,13 @@ def _ask(buckets: int, schema):
     return run
 
 
-def _many(index: np.ndarray, counts: np.ndarray, _: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount(index, counts), 2).astype(np.uint8)[index]
+def _many(hot: int):
+    def solve(index: np.ndarray, code: np.ndarray, _: np.ndarray) -> np.ndarray:
+        code = code.astype(np.int64) - 1
+        docs, pieces = np.bincount(index, 1 + code % 2), np.bincount(index, 2.0 ** (code // 2))
+        return np.where(docs < 2, 1, np.where(pieces > hot, 3, 2)).astype(np.uint8)[index]
+
+    return solve
 
 
 def _send_pieces(buckets: int, shards: int, schema):
@@ -107,17 +148,16 @@ def _send_pieces(buckets: int, shards: int, schema):
         out: dict[str, list] = {f.name: [] for f in schema}
         if group.num_rows:
             block = _Block(group)
-            take, _, starts = block.pieces(*block.answers(replies, buckets))
-            lead = take[starts]
-            bucket = X.bucket_of(block.seed[lead], shards)
+            found = block.pieces(*block.answers(replies, buckets))
+            bucket = X.bucket_of(found.deal[found.lead], shards)
             for b in np.unique(bucket):
-                own = lead[bucket == b]
-                n = block.size[own] + WINDOW - 1
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(block.start[own], n)
+                own = found.lead[bucket == b]
+                n = found.size[own] + WINDOW - 1
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(found.start[own], n)
                 out["block"].append(group["block"][0].as_py())
                 out["bucket"].append(int(b))
-                out["sizes"].append(block.size[own].astype(np.uint8).tobytes())
-                out["docs"].append(block.doc[own].tobytes())
+                out["sizes"].append(found.size[own].astype(np.uint8).tobytes())
+                out["docs"].append(found.doc[own].tobytes())
                 distinct, place = np.unique(block.hashes[at], return_inverse=True)
                 out["vocabulary"].append(distinct.tobytes())
                 out["words"].append(place.astype(np.uint16 if len(distinct) <= 2**16 else np.uint32).tobytes())
@@ -142,7 +182,7 @@ def _search_shard(schema):
         words = np.concatenate([_unpacked(v, w) for v, w in packed])
         vocabulary, symbols = np.unique(words, return_inverse=True)
         if len(vocabulary) >= 2**21 - 1:
-            raise ValueError("a shard has too many distinct words; use more blocks")
+            raise ValueError("a shard has too many distinct words; use smaller blocks")
         n = size + WINDOW - 1
         first = np.cumsum(n) - n
         # pieces of other blocks with the same words are one; a piece is named by two hashes of its words
@@ -183,21 +223,21 @@ def _search_shard(schema):
 def _apply(buckets: int, shards: int, schema):
     def run(group: pa.Table, seeds: pa.Table, found: pa.Table) -> pa.Table:
         block = _Block(group)
-        take, which, starts = block.pieces(*block.answers(seeds, buckets))
+        own_pieces = block.pieces(*block.answers(seeds, buckets))
         removed = np.zeros(len(block.hashes), bool)
-        if len(take):
-            lead = take[starts]
-            bucket, size = X.bucket_of(block.seed[lead], shards), block.size[lead]
+        if len(own_pieces.lead):
+            lead = own_pieces.lead
+            bucket, size = X.bucket_of(own_pieces.deal[lead], shards), own_pieces.size[lead]
             least = np.empty(int(size.sum()), np.int64)
             offset = np.cumsum(size) - size
             for b, raw in zip(found["bucket"].to_pylist(), found["least"].to_pylist(), strict=True):
                 own = np.flatnonzero(bucket == b)
                 at = np.arange(size[own].sum()) - np.repeat(np.cumsum(size[own]) - size[own], size[own]) + np.repeat(offset[own], size[own])
                 least[at] = np.frombuffer(raw, np.int64)
-            n = block.size[take]
+            n, doc = own_pieces.size, own_pieces.doc
             inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            hit = least[np.repeat(offset[which], n) + inner] < np.repeat(np.where(block.doc[take] == _NONE, np.iinfo(np.int64).min, block.doc[take]), n)
-            removed = W.covered(len(removed), (np.repeat(block.start[take], n) + inner)[hit], WINDOW)
+            hit = least[np.repeat(offset[own_pieces.which], n) + inner] < np.repeat(np.where(doc == _NONE, np.iinfo(np.int64).min, doc), n)
+            removed = W.covered(len(removed), (np.repeat(own_pieces.start, n) + inner)[hit], WINDOW)
         out: dict[str, list] = {f.name: [] for f in schema}
         for d, key in enumerate(block.keys):
             a, b = block.found.first[d], block.found.first[d + 1]
@@ -224,7 +264,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     shards = max(1, n_blocks // 2)
     packed = X.struct(X.PACKED)
     asked = blocks.groupBy("block").applyInArrow(_ask(buckets, packed), packed)
-    seeds = asked.groupBy("bucket").applyInArrow(X.answer(packed, np.uint8, _many, echo=False), packed)
+    seeds = asked.groupBy("bucket").applyInArrow(X.answer(packed, np.uint8, _many(HOT_PIECES), echo=False), packed)
     told = seeds.select("block", "bucket", "extra")
     sent = X.struct("block long, bucket long, sizes binary, docs binary, vocabulary binary, words binary")
     pieces = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_send_pieces(buckets, shards, sent), sent)

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marginalia.llm import substrings as R
@@ -33,6 +34,31 @@ def test_against_brute_force(spark, monkeypatch, size):
     assert sorted(((r[0], r[1], r[2], hashlib.sha256(r[3].encode()).hexdigest()) for r in got), key=str) == R.brute_force(rows)
 
 
+def shared_passage(n=400):
+    """Documents that share one passage, each between words of its own."""
+    passage = " ".join(f"p{k}" for k in range(30))
+    return [(i, " ".join(f"a{i}x{k}" for k in range(20)) + f" {passage} " + " ".join(f"b{i}x{k}" for k in range(20))) for i in range(n)]
+
+
+@pytest.mark.parametrize("hot", [0, 3])
+def test_hot_seeds_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(R.X, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(R, "HOT_PIECES", hot, raising=False)
+    rows = corpus() + [(1000 + k, t) for k, t in shared_passage(40)]
+    got = R.remove_repeats(spark.createDataFrame([(*r, "?") for r in rows], DOCS)).collect()
+    assert sorted(((r[0], r[1], r[2], hashlib.sha256(r[3].encode()).hexdigest()) for r in got), key=str) == R.brute_force(rows)
+
+
+def test_no_shard_gets_all_neighbours_of_a_shared_passage():
+    keys, texts = zip(*shared_passage())
+    group = pa.table({"block": [0] * len(keys), "key": keys, "text": texts})
+    packed, sent = R.X.struct(R.X.PACKED), R.X.struct("block long, bucket long, sizes binary, docs binary, vocabulary binary, words binary")
+    many = R._many(50) if hasattr(R, "HOT_PIECES") else R._many
+    told = R.X.answer(packed, np.uint8, many, echo=False)(R._ask(1, packed)(group))
+    shards = [len(x) for x in R._send_pieces(1, 50, sent)(group, told)["docs"].to_pylist()]
+    assert max(shards) < sum(shards) / 10
+
+
 def test_empty_table(spark):
     assert R.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
