@@ -136,7 +136,8 @@ def trace_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def trace_depth_first(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.trace_depth_first(triples(spark, sf, "places"), _two_nations(spark), 2)
+    t = triples(spark, sf, "places")
+    return graph.trace_depth_first(t, t.select(F.col("s").alias("id")).distinct(), 2)
 
 
 def cyclic_nodes(spark: SparkSession, sf: str) -> DataFrame:
