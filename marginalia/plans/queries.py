@@ -18,6 +18,8 @@ from marginalia.sources.triples import classes_of, statement_text
 from .tables import citing_texts, passages, table, triples
 
 WORD = "the"
+#: Conversations that make a part of a written text.
+PART_CONVERSATIONS = 500
 
 
 def top_cited(spark: SparkSession, sf: str) -> DataFrame:
@@ -251,8 +253,14 @@ def escaped_markup(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.md5(L.escaped(F.col("html"))).alias("digest"))
 
 
+def _ranged_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages in parts of a fixed size, whose number grows with the table."""
+    part = F.floor(F.col("sort_index") / (PART_CONVERSATIONS * 1000)).cast("int") + 1
+    return passages(spark, sf).withColumn("part_number", part).withColumn("part_numeral", part.cast("string"))
+
+
 def passage_markup(spark: SparkSession, sf: str) -> DataFrame:
-    return markup(passages(spark, sf)).select("part_number", F.length("xml").cast("long").alias("chars"), F.md5("xml").alias("digest"))
+    return markup(_ranged_parts(spark, sf)).select("part_number", F.length("xml").cast("long").alias("chars"), F.md5("xml").alias("digest"))
 
 
 def triple_statements(spark: SparkSession, sf: str) -> DataFrame:

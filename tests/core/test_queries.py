@@ -20,3 +20,7 @@ def test_every_subject_is_traced(spark, tables):
     assert {r.origin for r in lines} == {f"{kind}.{k}" for kind, n in (("C", 40), ("S", 10), ("N", 25)) for k in range(n)}
     # N.1 leads to (1 * 3 + 1) % 25 and (1 * 7 + 2) % 25
     assert [(r.node, r.depth) for r in sorted(lines, key=lambda r: r.place) if r.origin == "C.1"] == [("C.1", 0), ("N.1", 1), ("N.4", 2), ("N.9", 2)]
+
+
+def test_parts_have_a_fixed_size(spark, tables):
+    assert sorted(r.part_number for r in Q.passage_markup(spark, tables).collect()) == [1, 2, 3]
