@@ -10,8 +10,8 @@
 3. Within a cluster the sets are compared exactly.  Index lists skip positions from which the overlap
    can't be reached any more, and answers are derived from a similar set's: if r's distances to all others
    are known, x at distance e from r can only link with those at most 1 - t + e from r.
-   Large clusters are cut into pairs of parts.
-"""
+3. Within a cluster the sets are compared exactly.  Index lists are read whole (blocks or positions
+   aren't skipped), but answers are derived from a similar set's: if r's distances to all others
 
 from __future__ import annotations
 
