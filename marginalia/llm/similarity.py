@@ -7,11 +7,11 @@
 2. The sets of the others are asked for the frequency of every shingle.  Nodes with less than t n
    shared shingles have no link.  With rare shingles first, linked nodes meet in an index list
    of the first n - t n + 1; the lists join nodes to clusters of candidates.
-3. Within a cluster the sets are compared exactly.  Index lists skip positions from which the overlap
-   can't be reached any more, and answers are derived from a similar set's: if r's distances to all others
+3. Within a cluster the sets are compared exactly.  Index lists are read whole: skipping blocks or positions
+   is left out.  Answers are derived from a similar set's: if r's distances to all others
    are known, x at distance e from r can only link with those at most 1 - t + e from r.
-3. Within a cluster the sets are compared exactly.  Index lists are read whole (blocks or positions
-   aren't skipped), but answers are derived from a similar set's: if r's distances to all others
+   Large clusters are cut into pairs of parts.
+"""
 
 from __future__ import annotations
 
