@@ -2,8 +2,10 @@
 
 P(grade >= k) = sigmoid(x.w - theta_k): one weight vector for all thresholds, theta rising with k.
 x holds, for each word and word beginning of a vocabulary, whether the document has it.  The labels only say whether
-a document is toxic; the grades are made from them: grade 0 is not toxic, and toxic examples
-get grades 1 to 3 by thirds of how many features that mark toxic examples they have.
+a document is toxic; the ordinal targets are made from them and from evidence held apart: grade 0 is not toxic,
+and toxic examples get grades 1 to 3 by how much of their text is hostile, which is the share of words that
+mark toxic texts among the examples of the other half.  So no example's grade rests on marks found with its help,
+and the model, which sees presence alone, predicts a density.
 """
 
 from __future__ import annotations
@@ -76,7 +78,7 @@ class SeverityModel:
             return cls(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, -30.0 if len(toxic) and toxic[0] else 30.0))
         vocabulary = _marking_features(texts, toxic)
         doc, word = _known_features(texts, vocabulary)
-        grade = _grades(doc, toxic)
+        grade = _grades(texts, toxic)
         n, m = len(toxic), len(vocabulary)
         weights, theta = np.zeros(m), np.linspace(2.0, 4.0, GRADES - 1)
         state = [np.zeros(m), np.zeros(m), np.zeros(GRADES - 1), np.zeros(GRADES - 1)]
@@ -130,11 +132,29 @@ def _known_features(texts: list[str | None], vocabulary: np.ndarray) -> tuple[np
     return np.concatenate(docs), np.concatenate(words)
 
 
-def _grades(doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """0 for examples that are not toxic; for the others 1 to GRADES - 1 by thirds of how many marking features they have."""
+def _mark_shares(texts: list[str | None], vocabulary: np.ndarray) -> np.ndarray:
+    """The share of each text's words that are, or begin like, one of the ``vocabulary``."""
+    share = np.zeros(len(texts))
+    for i, j, raw in W.chunks(texts, lower=True) if len(vocabulary) else ():
+        doc, hashes = _tokens(raw)
+        known = vocabulary[np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)] == hashes
+        share[i:j] = np.bincount(doc[known], minlength=j - i) / np.maximum(1, np.bincount(doc, minlength=j - i))
+    return share
+
+
+def _grades(texts: list[str | None], toxic: np.ndarray) -> np.ndarray:
+    """0 for examples that are not toxic; for the others 1 to GRADES - 1 by their share of marks of the other half.
+
+    The cuts are quantiles of the distinct shares, so that ties leave no grade empty where there are enough of them.
+    """
+    half, share = np.arange(len(texts)) % 2, np.zeros(len(texts))
+    for h in (0, 1):
+        own, other = np.flatnonzero(half == h), np.flatnonzero(half != h)
+        if len(own) and 0 < toxic[other].sum() < len(other):
+            share[own] = _mark_shares([texts[k] for k in own], _marking_features([texts[k] for k in other], toxic[other]))
     grade = np.zeros(len(toxic), int)
-    held = np.bincount(doc, minlength=len(toxic))[toxic == 1]
-    cuts = np.quantile(held, np.arange(1, GRADES - 1) / (GRADES - 1))
+    held = share[toxic == 1]
+    cuts = np.quantile(np.unique(held), np.arange(1, GRADES - 1) / (GRADES - 1))
     grade[toxic == 1] = 1 + (held[:, None] > cuts).sum(1)
     return grade
 
@@ -147,7 +167,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable, *, label: str = "toxic", row
 def annotate(docs: DataFrame, model: SeverityModel, text: str = "text") -> tuple[DataFrame, str]:
     """``docs`` with a struct column: expected grade, likeliest side of each threshold, and P(grade >= k).
 
-    Null and empty texts have no words: only the thresholds count.  Rows are scored one by one.
+    Null and empty texts have no words: only the thresholds count.  Rows are scored one by one, so
+    repeated rows get equal scores; very long texts are scored whole, a megabyte of text at a time or the text alone.
+    Other columns pass through; the struct's name is free.  An empty table gives an empty result.
     """
     name = free_name(docs, "toxicity")
     shared = docs.sparkSession.sparkContext.broadcast(model)

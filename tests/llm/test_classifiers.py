@@ -55,3 +55,25 @@ def test_sample_is_bounded_and_repeatable(spark):
     d, lb = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels + labels, LABELS)
     one = sample(d, lb, "quality", 20, F.lit(True))
     assert len(one) == 20 and one == sample(d.repartition(7), lb.repartition(3), "quality", 20, F.lit(True))
+
+
+def test_sample_is_bounded_in_rows_and_bytes(spark):
+    one_key = spark.createDataFrame([(1, f"text {i}", "x") for i in range(500)] + [(2, "y" * 5000, "x"), (3, None, "x"), (None, "z", "x")], DOCS)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 0, 0)], LABELS)
+    assert sorted(sample(one_key, labels, "quality", 10, F.lit(True)), key=str) == [("text 0", 1), ("y" * 5000, 1), (None, 0)]
+    assert sorted(sample(one_key, labels, "quality", 10, F.lit(True), max_bytes=100), key=str) == [("text 0", 1), (None, 0)]
+
+
+def test_grades_do_not_rest_on_the_examples_own_marks():
+    texts = [f"w{i} w{i + 1} " + "vile " * (i % 5) + "calm plain words " * 4 for i in range(400)]
+    toxic = np.array([int(i % 5 > 0) for i in range(400)])
+    grade = toxicity._grades(texts, toxic)
+    assert set(grade[toxic == 0]) == {0} and set(grade[toxic == 1]) == {1, 2, 3}
+    by_count = [grade[[i for i in range(400) if i % 5 == k]].mean() for k in range(1, 5)]
+    assert by_count == sorted(by_count)
+
+
+def test_clashing_column_and_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "grim " * 400_000, "mine"), (2, "", "mine")], "doc_id long, text string, toxicity string")
+    scored, c = toxicity.annotate(docs, toxicity.SeverityModel.fit([("grim " + str(i), i % 2) for i in range(50)]))
+    assert c == "_toxicity" and {r["toxicity"] for r in scored.collect()} == {"mine"}
