@@ -29,7 +29,6 @@ HIT_SHARE = 20
 BLOCK_BYTES = 4_000_000
 #: Text of the documents of one suffix array.
 SHARD_BYTES = 1_000_000
-_BITS = np.int64(21)
 
 FOUND = T.StructType(
     [
@@ -54,14 +53,13 @@ class TestSuffixes:
     group: np.ndarray  # of suffixes that the same items hold
     groups: list[tuple[str, ...]]  # those items
     depth: int  # words in the longest item
+    per: int  # ranks that one 64-bit code holds
 
     @classmethod
     def of(cls, rows: list[tuple[object, str | None]], window: int) -> "TestSuffixes":
         raw = [W.encode(text).lower() for _, text in rows]
         found = W.split_words(raw, W.ALNUM)
         vocabulary, ranks = np.unique(found.hashes(), return_inverse=True)
-        if len(vocabulary) >= 2**20:
-            raise ValueError("a block of the benchmark has too many distinct words")
         padded = _spaced(ranks.astype(np.int64) + 1, found, window)
         suffixes: dict[tuple[int, int], int] = {}
         starts, lengths, items = [], [], []
@@ -76,10 +74,11 @@ class TestSuffixes:
                     items.append(set())
                 items[k].add(str(item))
         starts, lengths = np.array(starts, np.int64), np.array(lengths, np.int64)
-        leads = np.unique(_lead(padded, starts, lengths)) if len(starts) else starts
+        per = ranks_per_code(len(vocabulary) + 1)
+        leads = np.unique(_lead(padded, starts, lengths, per)) if len(starts) else starts
         groups: dict[tuple[str, ...], int] = {}
         group = np.array([groups.setdefault(tuple(sorted(x)), len(groups)) for x in items], np.int64)
-        return cls(vocabulary, padded, starts, lengths, leads, group, list(groups), int(max(found.counts, default=0)))
+        return cls(vocabulary, padded, starts, lengths, leads, group, list(groups), int(max(found.counts, default=0)), per)
 
 
 def _suffix_names(ranks: list[int]) -> list[int]:
@@ -98,30 +97,38 @@ def _spaced(ranks: np.ndarray, found: W.Words, window: int) -> np.ndarray:
     return out
 
 
-def _pack(ranks: np.ndarray, at: np.ndarray) -> np.ndarray:
-    at = np.minimum(at, len(ranks) - 3)
-    return (ranks[at] << (2 * _BITS)) | (ranks[at + 1] << _BITS) | ranks[at + 2]
+def ranks_per_code(top: int) -> int:
+    """How many ranks up to ``top`` fit into 63 bits; three for all but huge vocabularies."""
+    return 3 if top < 2**21 else 2
 
 
-def _lead(ranks: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Code of the first three words; of fewer, if the window has fewer, with the others 0."""
-    keep = np.array([0, -1 << 42, -1 << 21, -1], np.int64)[np.minimum(lengths, 3)]
-    return _pack(ranks, at) & keep
+def _pack(ranks: np.ndarray, at: np.ndarray, per: int) -> np.ndarray:
+    at = np.minimum(at, len(ranks) - per)
+    code = ranks[at]
+    for k in range(1, per):
+        code = (code << np.int64(63 // per)) | ranks[at + k]
+    return code
 
 
-def suffix_array(ranks: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+def _lead(ranks: np.ndarray, at: np.ndarray, lengths: np.ndarray, per: int) -> np.ndarray:
+    """Code of the first ``per`` words; of fewer, if the window has fewer, with the others 0."""
+    keep = np.array([0, *[-1 << (63 // per * (per - n)) for n in range(1, per + 1)]], np.int64)[np.minimum(lengths, per)]
+    return _pack(ranks, at, per) & keep
+
+
+def suffix_array(ranks: np.ndarray, at: np.ndarray, depth: int, per: int) -> np.ndarray:
     """``at`` in the order of the suffixes that begin there, as far as ``depth`` words or the first 0."""
-    key = _pack(ranks, at)
+    key = _pack(ranks, at, per)
     order = at[np.argsort(key, kind="stable")]
     key = np.sort(key, kind="stable")
     group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).astype(np.int64)])) if len(key) else key
-    for done in range(3, depth, 3):
+    for done in range(per, depth, per):
         same = np.zeros(len(order) + 1, bool)
         same[1:-1] = group[1:] == group[:-1]
         open_ = np.flatnonzero((same[1:] | same[:-1]) & (ranks[np.minimum(order + done - 1, len(ranks) - 1)] > 0))
         if not len(open_):
             break
-        key = _pack(ranks, order[open_] + done)
+        key = _pack(ranks, order[open_] + done, per)
         by = np.lexsort((key, group[open_]))
         order[open_] = order[open_][by]
         key, old = key[by], group[open_]
@@ -153,11 +160,11 @@ class Shard:
         self.ranks = _spaced(np.where(known, slot + 1, 0), found, window)
         at = np.flatnonzero(self.ranks)
         reachable = np.zeros(len(at), bool)
-        for n in np.unique(np.minimum(test.lengths, 3)):
-            lead = _lead(self.ranks, at, np.full(len(at), n))
+        for n in np.unique(np.minimum(test.lengths, test.per)):
+            lead = _lead(self.ranks, at, np.full(len(at), n), test.per)
             k = np.minimum(np.searchsorted(test.leads, lead), len(test.leads) - 1)
             reachable |= test.leads[k] == lead
-        self.suffixes = suffix_array(self.ranks, at[reachable], test.depth)
+        self.suffixes = suffix_array(self.ranks, at[reachable], test.depth, test.per)
 
     def search(self, test: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each window: the run of suffixes that begin with it, and how far the longest match from there goes."""
@@ -257,15 +264,30 @@ def _search_texts(texts: list, before: list, test: TestSuffixes, window: int) ->
     return out
 
 
+def _pieces(text: str | None, window: int, size: int) -> list[str | None]:
+    """The text; a longer one than ``size`` bytes in pieces that share ``window`` - 1 words, so that no window is cut."""
+    raw = W.encode(text)
+    if len(raw) <= size:
+        return [text]
+    found = W.split_words([raw.lower()], W.ALNUM)
+    out, at, n = [], 0, len(found.starts)
+    while at < n:
+        stop = max(int(np.searchsorted(found.ends, found.starts[at] + size, "right")), min(at + window, n))
+        out.append(found.buffer[found.starts[at] : found.ends[stop - 1]].tobytes().decode("utf-8", "surrogatepass"))
+        at = max(at + 1, stop - window + 1) if stop < n else n
+    return out or [None]
+
+
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[TestSuffixes]:
     held, size = [], 0
     for row in benchmark.select(id_col, text_col).toLocalIterator():
-        more = len(row[1] or "")
-        if held and size + more > block_bytes:
-            yield TestSuffixes.of(held, window)
-            held, size = [], 0
-        held.append((row[0], row[1]))
-        size += more
+        for piece in _pieces(row[1], window, block_bytes):
+            more = len(W.encode(piece))
+            if held and size + more > block_bytes:
+                yield TestSuffixes.of(held, window)
+                held, size = [], 0
+            held.append((row[0], piece))
+            size += more
     yield TestSuffixes.of(held, window)
 
 
@@ -274,7 +296,8 @@ def annotate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", i
 
     Null and empty texts have no words and no hits.  Rows are treated one by one, so repeated rows
     and repeated or null ids are kept as they are; other columns pass through.  An empty benchmark
-    hits nothing.  Items of the same id count once; an item of null id is named 'None'.
+    hits nothing.  Items of the same id count once; an item of null id is named 'None'.  An item of more than
+    ``block_bytes`` is searched in pieces: its windows are all found, its longest match is taken within a piece.
     """
     name = free_name(docs, "contamination")
     out = docs

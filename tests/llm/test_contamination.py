@@ -70,3 +70,23 @@ def test_longest_match_where_items_share_windows(spark):
     found, c = C.annotate(spark.createDataFrame([(1, "x " + long, "")], DOCS), spark.createDataFrame(items, ITEMS))
     row = found.select(f"{c}.longest", f"{c}.longest_at", f"{c}.items").first()
     assert tuple(row) == (52, 1, ["1", "2", "3"])
+
+
+def test_items_longer_than_a_block(spark):
+    rng = random.Random(4)
+    words = [rng.choice([f"w{i}" for i in range(60)]) for _ in range(700)]
+    items = [(1, " ".join(words)), (2, "x " + " ".join(words[300:330])), (3, " ".join(words[:5]) + "  , ")]
+    docs = [(i, " ".join(["q"] * i + words[a : a + n]), "") for i, (a, n) in enumerate([(0, 13), (90, 40), (400, 12), (687, 13), (0, 700), (120, 14), (121, 13)])]
+    found, c = C.annotate(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), block_bytes=400)
+    assert rows(found, c) == C.brute_force([d[:2] for d in docs], items)
+
+
+def test_codes_of_many_ranks(monkeypatch):
+    docs, items = fixture()
+    monkeypatch.setattr(C, "ranks_per_code", lambda top: 2)
+    test = C.TestSuffixes.of(items, C.WINDOW)
+    assert test.per == 2
+    for _, text, _ in docs[:60]:
+        got = C._search_texts([text], [None], test, C.WINDOW)
+        want = C.brute_force([(0, text)], items)[0]
+        assert (got["n_words"][0], sum(s["end"] - s["start"] for s in got["spans"][0]), len(got["items"][0])) == want[:3]
