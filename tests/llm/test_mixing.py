@@ -49,3 +49,24 @@ def test_power():
 
 def test_empty_table(spark):
     assert M.mix(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_many_sources_and_equal_budgets_by_table_and_dict(spark):
+    rows = [(i, "w " * (i % 9 + 1), f"s{i // 3}", "") for i in range(3000)] + [(-1, "w " * 900, "big", "")]
+    tokens = defaultdict(int)
+    for _, t, s, _ in rows:
+        tokens[s] += len(t.split())
+    totals = spark.createDataFrame([(s, n, 3) for s, n in tokens.items()], "source string, total long, rows long")
+    for options in ((2.0, None, None), (50.0, 4.0, None), (3.0, 6.5, 30_000)):
+        _, draw = M.budgets(dict(tokens), *options)
+        got = {r["source"]: r["drawn"] for r in M.planned(totals, *options).collect()}
+        assert max(abs(got[s] - draw[s]) for s in tokens) <= 1
+    drawn = M.mix(spark.createDataFrame(rows, DOCS)).select("source").distinct().count()
+    assert drawn == len(tokens)
+
+
+def test_rows_without_tokens_are_spread_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK_ROWS", 10)
+    rows = [(i, None, "empty", "") for i in range(200)] + [(900, "w " * 300_000, "long", "")]
+    got = M.mix(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == 201 and len({r["block"] for r in got if r["source"] == "empty"}) > 5
