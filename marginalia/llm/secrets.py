@@ -80,6 +80,21 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return met.filter("n = needed").groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
+def sieve(rule: Rule) -> str:
+    """A regex that every text with a long enough match of ``rule`` matches; the rule's own where no sharper one is known.
+
+    It is sharper for patterns of single characters that end in one that repeats without limit, like ``AB[0-9]+``: a match of
+    ``least`` characters has at least ``least`` less the others in that last run.
+    """
+    single = (sre.LITERAL, sre.NOT_LITERAL, sre.IN, sre.ANY)
+    tree = list(sre_parser.parse(rule.pattern))
+    if rule.group or not tree or not rule.pattern.endswith("+"):
+        return rule.pattern
+    op, arg = tree[-1]
+    plain = all(o in single for o, _ in tree[:-1]) and op is sre.MAX_REPEAT and arg[:2] == (1, sre.MAXREPEAT) and [o for o, _ in arg[2]][:1] in [[o] for o in single] and len(arg[2]) == 1
+    return f"{rule.pattern[:-1]}{{{max(1, rule.least - len(tree) + 1)},}}" if plain else rule.pattern
+
+
 def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, order, kind, end) in code points, by cutting the text at the matches and adding up lengths."""
     pattern = F.lit(rule.pattern)
@@ -98,9 +113,8 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
         return F.struct(end.alias("at"), F.when(good, F.array_append(held["spans"], span)).otherwise(held["spans"]).alias("spans"))
 
     found = F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), step)["spans"]
-    # only texts with a long enough match are cut up
-    quick = f"{rule.pattern.removesuffix('+')}{{{rule.least - len(rule.pattern.split('[')[0])},}}" if rule.least and not rule.group else rule.pattern
-    return F.when(F.rlike(text, F.lit(quick)), found).otherwise(none)
+    # only texts that may have a long enough match are cut up
+    return F.when(F.rlike(text, F.lit(sieve(rule))), found).otherwise(none)
 
 
 def find_secrets(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, str]:
@@ -108,7 +122,8 @@ def find_secrets(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ru
 
     Null and empty texts have no spans.  Postings go by a hash of key and text, so null keys and
     repeated keys or rows need no care: rows of one hash share candidates, and every candidate is
-    verified on its own text.  Other columns pass through.  An empty table gives an empty result.
+    verified on its own text.  Very long texts are searched whole, without being cut.  Other columns
+    pass through.  An empty table gives an empty result.
     """
     name, joint = free_name(docs, "spans"), free_name(docs, "posting_key")
     hashed = F.xxhash64(F.col(key), F.col(text))

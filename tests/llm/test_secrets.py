@@ -51,3 +51,13 @@ def test_derived_queries():
 
 def test_empty_table(spark):
     assert S.find_secrets(spark.createDataFrame([], DOCS))[0].count() == 0
+
+
+def test_rules_of_callers(spark):
+    rules = (S.Rule("mixed", "[0-9]+[a-z]+", 0, 6), S.Rule("tail", "AB[0-9]+", 0, 5), S.Rule("lazy", "x[0-9]+?", 0, 2), S.Rule("odd", r"q\+", 0, 2), S.Rule("any", "[0-9a-f]+", 0, 0))
+    texts = ["12345ab", "AB123", "AB12", "x12", "q+", "1a", "", None, "AB1 AB12 AB1234"]
+    found, s = S.find_secrets(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], DOCS), rules=rules)
+    got = {r[0]: [tuple(x) for x in r[1]] for r in found.select("doc_id", s).collect()}
+    for i, text in enumerate(texts):
+        want = [(m.start(), k, r.kind, m.end()) for k, r in enumerate(rules) for m in re.finditer(r.pattern, text or "") if len(m.group()) >= r.least]
+        assert got[i] == sorted(want)
