@@ -75,7 +75,7 @@ def _runs(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first, sizes)
 
 
-SETS = "key long, n long, node long, shingles binary"
+SETS = "key long, mark long, n long, node long, shingles binary"
 
 
 def _ask(buckets: int, schema):
@@ -98,14 +98,13 @@ def _total(index: np.ndarray, counts: np.ndarray, _: np.ndarray) -> np.ndarray:
 def _first_sieve(schema):
     def run(group: pa.Table, replies: pa.Table) -> pa.Table:
         keys, held = X.answers_of(replies, np.uint8)
-        out: dict[str, list] = {"key": [], "n": [], "node": [], "shingles": []}
+        out: dict[str, list] = {"key": group["key"].to_pylist(), "mark": group["mark"].to_pylist(), "n": [], "node": [], "shingles": []}
         seen: set[int] = set()
-        for key, s in zip(group["key"].to_pylist(), shingle_sets(group["text"].to_pylist()), strict=True):
+        for s in shingle_sets(group["text"].to_pylist()):
             node = digest(s) if len(s) else None
             # the counts are of nodes within a block; a node in many blocks is counted once for each
             keep = len(s) and node not in seen and np.count_nonzero(X.look_up(keys, held, _prefix(s)) > 1) >= _extra(len(s))
             seen.add(node)
-            out["key"].append(key)
             out["n"].append(len(s))
             out["node"].append(node)
             out["shingles"].append(s.tobytes() if keep else None)
@@ -221,9 +220,34 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 
     Null and empty texts, and texts without words, have no shingles and are linked with nothing.  Repeated
     rows and keys stay; null keys count as linked but never name a component (unless it has no
-    other).  Keys are integers.  Other columns are dropped.  An empty table gives an empty result.
+    other).  Very long texts are compared whole.  Keys are integers.  Other columns are dropped.  An empty table
+    gives an empty result.
     """
+    own = classes(docs, key=key, text=text)
+    least = settle(own.filter("class is not null").groupBy("class").agg(F.min("key").alias("least")), "least")
+    final = own.join(least, "class", "left")
+    return final.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("key")).otherwise(F.col("least")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates: that of the smallest key, null keys last.
+
+    A document is a row's key and text, so of rows that share a key each goes or stays by its own
+    text (of several in one group that of the least text hash stays).  Repeated rows of the document that stays stay; documents
+    without words are in no group.  All columns pass through.
+    """
+    own = classes(docs, key=key, text=text)
+    rank = F.struct(F.col("key").isNull().alias("last"), "key", "mark")
+    first = settle(own.filter("class is not null").groupBy("class").agg(F.min(rank).alias("first")), "least")
+    gone = own.join(first, "class").filter(rank != F.col("first")).select(F.col("key").alias("_gone_key"), F.col("mark").alias("_gone_mark")).distinct()
+    same = F.col(f"`{key}`").cast("long").eqNullSafe(F.col("_gone_key")) & (F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))) == F.col("_gone_mark"))
+    return docs.join(gone, same, "left_anti")
+
+
+def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row a document: key, mark (a hash of its text), n (its shingles), class (a number that linked documents share; null without words)."""
     blocks, n_blocks = X.in_blocks(docs, key, text)
+    blocks = blocks.withColumn("mark", F.xxhash64("text"))
     buckets = max(1, n_blocks // 4)
     packed, kept = X.struct(X.PACKED), X.struct(SETS)
     asked = blocks.groupBy("block").applyInArrow(_ask(buckets, packed), packed)
@@ -261,9 +285,5 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     edges = dealt.groupBy("component", "i", "j").applyInArrow(_compare_cluster(edge), edge)
     named = components(edges)
 
-    # members of one component meet by name, then get its smallest key
-    own = members.select("key", "n", "node").join(named, "node", "left")
-    own = own.select("key", "n", F.coalesce("component", "node").alias("class"))
-    least = settle(own.filter("class is not null").groupBy("class").agg(F.min("key").alias("least")), "least")
-    final = own.join(least, "class", "left")
-    return final.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("key")).otherwise(F.col("least")).alias("component_id"))
+    own = members.select("key", "mark", "n", "node").join(named, "node", "left")
+    return own.select("key", "mark", "n", F.coalesce("component", "node").alias("class"))

@@ -98,3 +98,11 @@ def test_stages_keep_extra_columns_with_clashing_names(spark, folder):
     for _, stage in P.STAGES[:-1]:
         got = stage(spark, docs, folder)
         assert got.columns == docs.columns and {tuple(r)[-7:] for r in got.collect()} <= {("mine",) * 7}
+
+
+def test_rows_that_share_an_id_go_by_their_own_text(spark, folder):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(3, a), (5, a), (5, b), (6, a + " x"), (7, None), (7, ""), (None, b), (None, "c d e f g h"), (8, "c d e f g h"), (3, a)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], DOCS)
+    got = P.keep_one_of_each_group(spark, docs, folder)
+    assert sorted(((r[0], r[1]) for r in got.collect()), key=str) == sorted([(3, a), (3, a), (5, b), (7, None), (7, ""), (8, "c d e f g h")], key=str)
