@@ -25,13 +25,12 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays.
+    """Of each group of near-duplicates one document stays, that of the smallest id (null ids last).
 
-    Documents without words, or with a null id, are in no group.  Repeated rows of the smallest id stay.
+    A document is a row's id and text: rows that share an id go or stay each by its own text.  Documents
+    without words are in no group.  Repeated rows of the document that stays stay.
     """
-    groups = similarity.near_duplicates(docs.select("doc_id", "text"))
-    dropped = groups.filter((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*_own_columns(docs))
+    return similarity.keep_first(docs).select(*_own_columns(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
