@@ -178,3 +178,14 @@ def one_decimal(value: Column) -> Column:
 def heading_key(line: Column) -> Column:
     """A heading without its closing stops, in upper case."""
     return F.upper(trim(F.regexp_replace(line, "[.:]+$", "")))
+
+
+def humanised_heading(heading: Column) -> Column:
+    """A heading in lower case with a capital letter at the start of each word."""
+    pieces = F.regexp_extract_all(F.lower(heading), F.lit(r"\w+|\W+"), F.lit(0))
+    return F.array_join(F.transform(pieces, capitalised), "")
+
+
+def public_path(base: str, path: Column) -> Column:
+    """Where a file of the site is: the base and the path, with one slash between."""
+    return F.concat(F.lit(base), F.regexp_replace(path, "^/", ""))

@@ -151,3 +151,11 @@ def align(passages: DataFrame, paragraphs: DataFrame, part: str = "part_number")
 def unaligned(passages: DataFrame, aligned: DataFrame) -> DataFrame:
     """(id): passages without parallel text that should have one."""
     return passages.filter(~F.coalesce("is_editorial", F.lit(False))).select("id").join(aligned.select("id"), "id", "left_anti")
+
+
+def complete(passages: DataFrame, aligned: DataFrame) -> DataFrame:
+    """``aligned``; using it raises an error that names the least passage without parallel text, if one should have it."""
+    missing = unaligned(passages.filter("text <> ''"), aligned).agg(F.min("id").alias("_missing"), F.count("*").alias("_n"))
+    problem = F.concat(F.lit("no parallel text for "), F.col("_n").cast("string"), F.lit(" passages, the first of which is "), "_missing")
+    fields = [F.raise_error(problem).cast(f.dataType).alias(f.name) for f in aligned.schema]
+    return aligned.unionByName(missing.filter("_n > 0").select(*fields))

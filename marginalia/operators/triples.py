@@ -68,9 +68,9 @@ def top_cited(triples: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def several_proofs(triples: DataFrame, pattern: str = r"^(I\.prop\.\d+)") -> DataFrame:
-    """(id, n): propositions with more than one proof, by what ``pattern`` takes from the proofs' ids."""
+    """(id, n): propositions with more than one proof, most proofs first, by what ``pattern`` takes from the proofs' ids."""
     proofs = match(triples, p=TYPE, o="Proof").select(F.regexp_extract("s", pattern, 1).alias("id")).filter("id <> ''")
-    return proofs.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+    return proofs.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "id")
 
 
 def relation_counts(triples: DataFrame, relations: list[str] = V.ARGUMENT_RELATIONS) -> DataFrame:

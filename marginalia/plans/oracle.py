@@ -48,6 +48,7 @@ _GROUPS = {
     "supply": ["SELECT 'P.' || l_partkey AS s, 'provedBy' AS p, 'S.' || l_suppkey AS o, 'iri' AS o_kind FROM lineitem"],
     "brands": ["SELECT 'P.' || p_partkey AS s, 'hasCorollary' AS p, 'B.' || p_brand AS o, 'iri' AS o_kind FROM part"],
     "events": [f"SELECT 'U.' || user_id AS s, {_cases('event_type', EVENTS)} AS p, 'V.' || (event_id % 50) AS o, 'iri' AS o_kind FROM events"],
+    "notes": ["SELECT 'O.' || l_orderkey AS s, 'hasNote' AS p, 'P.' || l_partkey AS o, 'iri' AS o_kind FROM lineitem"],
     "classes": [
         "SELECT 'P.' || p_partkey AS s, 'type' AS p, 'Proposition' AS o, 'iri' AS o_kind FROM part",
         "SELECT 'C.' || c_custkey, 'type', 'Definition', 'iri' FROM customer",
@@ -77,11 +78,11 @@ _PASSAGES = """(
 _HIT = f"(contains(lower(text), '{WORD}') OR contains(lower(canonical_label), '{WORD}') OR contains(lower(id), '{WORD}'))"
 _SELECTABLE = f"(SELECT a.* FROM (SELECT * FROM {_PASSAGES}) a LEFT JOIN (SELECT DISTINCT id AS pid FROM {_PASSAGES} WHERE {_HIT}) b ON a.parent_id = b.pid WHERE {_HIT.replace('(text)', '(a.text)')} OR b.pid IS NOT NULL)"
 
+_SENTENCE = """'By Pt. ' || part || '., Prop. ' || a || ', Coroll. ' || b || '; (Pt. ' || part || ' Def. ' || b || '), (' || lower(part) || '. ' || b || '. Coroll.), ' || lower(part) || '. Ax. ' || b
+  || ', Prop. ' || a || ', Def. ' || b || ' and ' || lower(a) || ', Ax. i, Lemma ' || b || ' and Post. ' || b || '.'"""
 _LOWER_PART = "(['i', 'II', 'iii', 'IV', 'v'])[o_orderkey % 5 + 1]"
 _A, _B = _roman("o_custkey % 60 + 1"), f"lower({_roman('o_orderkey % 40 + 1')})"
-_TEXTS = f"""(SELECT DISTINCT upper(part) || '.prop.' || n AS id,
-  'By Pt. ' || part || '., Prop. ' || a || ', Coroll. ' || b || '; (Pt. ' || part || ' Def. ' || b || '), (' || lower(part) || '. ' || b || '. Coroll.), ' || lower(part) || '. Ax. ' || b
-  || ', Prop. ' || a || ', Def. ' || b || ' and ' || lower(a) || ', Ax. i, Lemma ' || b || ' and Post. ' || b || '.' AS text
+_TEXTS = f"""(SELECT DISTINCT upper(part) || '.prop.' || n AS id, {_SENTENCE} AS text
   FROM (SELECT {_LOWER_PART} AS part, {_A} AS a, {_B} AS b, o_orderkey % 97 + 1 AS n FROM orders))"""
 
 
@@ -109,10 +110,10 @@ def _family(rank: int, f: Family, build: bool) -> str:
       WHERE n <> 0 AND {"part IN ('I', 'II', 'III', 'IV', 'V')" if f.part else "true"}"""
 
 
-def _references(build: bool) -> str:
+def _references(build: bool, source: str = _TEXTS) -> str:
     """WITH texts(id, text), refs(id, text_no, place, reference), one row a distinct reference of a text."""
     union = " UNION ALL ".join(_family(r, f, build) for r, f in enumerate(families(build)))
-    return f"""WITH source AS {_TEXTS}, numbered AS (SELECT id AS own, text, row_number() OVER (ORDER BY id, text) AS id_no FROM source),
+    return f"""WITH source AS {source}, numbered AS (SELECT id AS own, text, row_number() OVER (ORDER BY id, text) AS id_no FROM source),
     texts AS (SELECT own || '#' || id_no AS id, text FROM numbered), found AS ({union}),
     firsts AS (SELECT id, reference, min((rank, k, g)) AS place FROM found WHERE reference <> split_part(id, '#', 1) GROUP BY ALL),
     refs AS (SELECT split_part(id, '#', 1) AS id, reference, row_number() OVER (PARTITION BY id ORDER BY place) - 1 AS pos FROM firsts)"""
@@ -171,12 +172,18 @@ def _cut(text: str, n: int, ending: str) -> str:
 
 _WEIGHTED = f"SELECT s AS src, o AS dst, p FROM {_t('places', 'supply')}"
 _CHAINS = f"SELECT s, p, o FROM {_INFERRED} WHERE p = 'dependsUpon' UNION SELECT a.src, 'transitivelyDependsOn', b.dst FROM ({_PLACES}) a JOIN ({_PLACES}) b ON a.dst = b.src"
-_LINES = f"""(SELECT CAST(conv_id % 4 AS VARCHAR) AS book, conv_id, turn, role,
+_LINES = f"""(SELECT CAST(conv_id // 500 AS VARCHAR) AS book, conv_id, turn, role,
   {_squeezed("regexp_replace(coalesce(text, ''), '[.:]+', ' ', 'g')")} AS said FROM conversations WHERE turn IS NOT NULL AND conv_id IS NOT NULL)"""
 
-_ESCAPED = "html"
-for _a, _b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-    _ESCAPED = f"replace({_ESCAPED}, {_quoted(_a)}, {_quoted(_b)})"
+_EDITORIAL = """CASE WHEN is_editorial THEN ' editorial="true"' ELSE '' END"""
+
+
+def _escaped_text(column: str) -> str:
+    out = column
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = f"replace({out}, {_quoted(a)}, {_quoted(b)})"
+    return out
+
 
 ORACLE_SQL = {
     "top_cited": f"SELECT row_number() OVER (ORDER BY n DESC, id) AS rank, id, n FROM (SELECT o AS id, count(*) AS n FROM {_t('orders', 'places')} WHERE p = 'cites' GROUP BY o ORDER BY n DESC, id LIMIT 10)",
@@ -189,7 +196,7 @@ ORACLE_SQL = {
     "several_proofs": f"SELECT s AS id, count(*) AS n FROM {_t('supply')} GROUP BY s HAVING count(*) > 1",
     "relation_counts": f"SELECT p AS relation, count(*) AS n FROM {_t('events', 'supply', 'orders')} WHERE p IN ({', '.join(map(_quoted, V.ARGUMENT_RELATIONS))}) GROUP BY p",
     "merge_stores": f"SELECT p, o_kind, count(*) AS n FROM (SELECT * FROM {_t('places', 'parents')} UNION SELECT * FROM {_t('parents', 'brands')}) GROUP BY ALL",
-    "backfill": f"WITH a AS (SELECT * FROM {_t('places', 'parents')} WHERE length(s) % 2 = 0), b AS {_t('parents', 'brands')} SELECT *, 'canonical' AS origin FROM a UNION ALL SELECT *, 'backfill' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)",
+    "backfill": f"WITH a AS {_t('places', 'classes')}, b AS {_t('parents', 'classes', 'brands')} SELECT *, 'canonical' AS origin FROM a UNION ALL SELECT *, 'backfill' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)",
     "project_invert": f"SELECT s, 'dependsUpon' AS p, o, 'iri' AS o_kind FROM {_t('supply')} UNION SELECT o, 'derivedFrom', s, 'iri' FROM {_t('brands')}",
     "transitive_closure": f"{_walk(_PLACES, None)} SELECT origin AS src, node AS dst FROM walk WHERE d > 1",
     "rules_two_hops": f"SELECT DISTINCT a.src, b.dst FROM ({_PLACES}) a JOIN ({_PLACES}) b ON a.dst = b.src",
@@ -218,8 +225,24 @@ ORACLE_SQL = {
       FROM d QUALIFY row_number() OVER (PARTITION BY element_id ORDER BY rank, s, o) <= 12""",
     "trace_levels": f"""WITH RECURSIVE t AS {_t('places', 'parents')}, cites AS (SELECT s AS src, o AS dst FROM t WHERE p = 'cites'),
       edges AS (SELECT * FROM cites UNION SELECT t.o, c.dst FROM t JOIN cites c ON t.s = c.src WHERE t.p = 'partOf' AND t.o NOT IN (SELECT src FROM cites)),
-      steps(origin, node, d) AS (SELECT src, dst, 1 FROM edges WHERE src <> dst AND src IN ('N.1', 'N.2', 'R.0') UNION SELECT w.origin, e.dst, w.d + 1 FROM steps w JOIN edges e ON w.node = e.src WHERE w.d < 3 AND e.src <> e.dst)
+      steps(origin, node, d) AS (SELECT src, dst, 1 FROM edges WHERE src <> dst UNION SELECT w.origin, e.dst, w.d + 1 FROM steps w JOIN edges e ON w.node = e.src WHERE w.d < 3 AND e.src <> e.dst)
       SELECT origin, node, CAST(min(d) AS BIGINT) AS d FROM steps WHERE origin <> node GROUP BY ALL""",
+    "trace_depth_first": f"""WITH RECURSIVE t AS (SELECT DISTINCT s, o FROM {_t('places')}), kids AS (SELECT s, list(o ORDER BY o DESC) AS below FROM t GROUP BY s),
+      walk(origin, todo, depths, seen, node, depth, fresh) AS (
+        SELECT s, [s], [0], CAST([] AS VARCHAR[]), '', 0, false FROM kids UNION ALL
+        SELECT origin, list_concat(todo[1:-2], CASE WHEN new THEN coalesce(below, []) ELSE [] END), list_concat(depths[1:-2], CASE WHEN new THEN list_transform(coalesce(below, []), lambda x: deep + 1) ELSE [] END),
+          CASE WHEN new THEN list_append(seen, top) ELSE seen END, top, deep, new
+        FROM (SELECT *, deep <= 2 AND NOT list_contains(seen, top) AS new FROM (SELECT *, todo[-1] AS top, depths[-1] AS deep FROM walk WHERE len(todo) > 0)) LEFT JOIN kids ON kids.s = top)
+      SELECT origin, CAST(len(seen) - 1 AS BIGINT) AS place, node, CAST(depth AS BIGINT) AS depth FROM walk WHERE fresh""",
+    "passage_markup": f"""WITH p AS (SELECT *, sort_index // 500000 + 1 AS file FROM {_PASSAGES}),
+      inner_ AS (SELECT parent_id, string_agg('      <' || type || ' id="' || id || '"' || {_EDITORIAL} || '>' || chr(10) || '        <text>' || {_escaped_text('text')} || '</text>' || chr(10) || '      </' || type || '>', chr(10) ORDER BY sort_index) AS inside FROM p WHERE parent_id IS NOT NULL GROUP BY parent_id),
+      tops AS (SELECT p.*, lag(section_kind) OVER (PARTITION BY file ORDER BY sort_index) IS DISTINCT FROM section_kind AS new,
+        '    <prop id="' || id || '"' || {_EDITORIAL} || '>' || chr(10) || '      <text>' || {_escaped_text('text')} || '</text>' || coalesce(chr(10) || inside, '') || chr(10) || '    </prop>' AS xml
+        FROM p LEFT JOIN inner_ i ON i.parent_id = p.id WHERE p.parent_id IS NULL),
+      runs AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY sort_index) AS run FROM tops),
+      sections AS (SELECT file, run, '  <section type="' || section_kind || '" id="' || {_roman('file')} || '.' || section_kind || '">' || chr(10) || string_agg(xml, chr(10) ORDER BY sort_index) || chr(10) || '  </section>' AS xml FROM runs GROUP BY file, run, section_kind),
+      files AS (SELECT file, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<part id="' || {_roman('file')} || '" number="' || file || '" title="' || {_cases('CAST(file AS VARCHAR)', {str(k): v for k, v in V.PART_TITLES.items()}, "''")} || '">' || chr(10) || string_agg(xml, chr(10) ORDER BY run) || chr(10) || '</part>' || chr(10) AS xml FROM sections GROUP BY file)
+      SELECT CAST(file AS INTEGER) AS part_number, length(xml) AS chars, md5(xml) AS digest FROM files""",
     "cyclic_nodes": f"{_walk(_PLACES, None)}, e AS ({_PLACES}) SELECT DISTINCT origin AS id FROM walk JOIN e ON walk.node = e.src AND walk.origin = e.dst UNION SELECT src FROM e WHERE src = dst",
     "roman_numerals": f"SELECT o_orderkey, {_roman('o_orderkey % 3999 + 1')} AS roman, CAST(o_orderkey % 3999 + 1 AS BIGINT) AS value FROM orders",
     "relation_labels": f"""WITH p AS (SELECT DISTINCT p FROM {_t('events', 'places', 'parents', 'supply', 'brands')}), n AS (SELECT p, p AS name FROM p UNION ALL SELECT p, {_INVERSE} FROM p UNION ALL SELECT p, 'inverse_' || p FROM p)
@@ -232,9 +255,9 @@ ORACLE_SQL = {
     "previews": f"SELECT doc_id, {_cut('text', 140, '…')} AS short, {_cut('text', 220, '…')} AS card, {_cut('text', 200, '...')} AS hint FROM documents",
     "search_visible": f"WITH p AS {_PASSAGES} SELECT id, sort_index FROM p WHERE parent_id IS NULL AND ({_HIT} OR id IN (SELECT parent_id FROM p WHERE parent_id IS NOT NULL AND {_HIT}))",
     "search_selectable": f"WITH p AS {_PASSAGES} SELECT id, sort_index FROM p WHERE {_HIT} OR parent_id IN (SELECT id FROM p WHERE {_HIT})",
-    "search_neighbours": f"WITH p AS {_PASSAGES}, q AS (SELECT * FROM p WHERE {_HIT} OR parent_id IN (SELECT id FROM p WHERE {_HIT})) SELECT id, lag(id) OVER w AS previous_id, lead(id) OVER w AS next_id FROM q WINDOW w AS (PARTITION BY part_number ORDER BY sort_index, id)",
+    "search_neighbours": f"WITH p AS {_PASSAGES}, q AS (SELECT * FROM p WHERE {_HIT} OR parent_id IN (SELECT id FROM p WHERE {_HIT})) SELECT id, lag(id) OVER w AS previous_id, lead(id) OVER w AS next_id FROM q WINDOW w AS (PARTITION BY sort_index // 500000 ORDER BY sort_index, id)",
     "section_summary": f"SELECT section_kind AS kind, {_cases('section_kind', V.SECTION_LABELS)} AS label, count(*) AS count, min(sort_index) AS first_index FROM {_PASSAGES} WHERE parent_id IS NULL GROUP BY section_kind",
-    "section_starts": f"SELECT id, coalesce(lag(section_kind) OVER (PARTITION BY part_number ORDER BY sort_index, id) <> section_kind, true) AS shows_heading FROM {_PASSAGES} WHERE parent_id IS NULL",
+    "section_starts": f"SELECT id, coalesce(lag(section_kind) OVER (PARTITION BY sort_index // 500000 ORDER BY sort_index, id) <> section_kind, true) AS shows_heading FROM {_PASSAGES} WHERE parent_id IS NULL",
     "children_by_parent": f"SELECT parent_id, string_agg(id, ',' ORDER BY sort_index) AS ids, count(*) AS n FROM {_PASSAGES} WHERE parent_id IS NOT NULL GROUP BY parent_id",
     "parallel_texts": """SELECT id, latin_text, lang AS english, coalesce(latin_text, '(none)') AS latin, concat_ws(chr(10) || chr(10), lang, latin_text) AS both
       FROM (SELECT CAST(d.doc_id AS VARCHAR) AS id, lang, nullif(repeat('q', l.quality), '') AS latin_text FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)""",
@@ -250,10 +273,10 @@ ORACLE_SQL = {
     "first_of_text": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text",
     "paragraph_rows": f"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(replace(coalesce(text, ''), chr(10), chr(10) || chr(10)), '\\n{{2,}}'), lambda x: {_trim('x')}), lambda x: x <> '') AS parts FROM documents)
       SELECT doc_id AS id, CAST(unnest(range(0, len(parts))) AS BIGINT) AS pos, 'en' AS language, md5(unnest(parts)) AS digest FROM p""",
-    "escaped_markup": f"SELECT page_id, md5({_ESCAPED}) AS digest FROM pages",
+    "escaped_markup": f"SELECT page_id, md5({_escaped_text('html')}) AS digest FROM pages",
     "triple_statements": f"""WITH t AS {_t('parents', 'classes', 'brands')}, o AS (SELECT s, p, string_agg(CASE WHEN o_kind = 'iri' THEN '<http://example.org/passages#' || o || '>' ELSE o END, ', ' ORDER BY CASE WHEN o_kind = 'iri' THEN '<http://example.org/passages#' || o || '>' ELSE o END) AS o FROM t GROUP BY s, p)
       SELECT s, '<http://example.org/passages#' || s || '> ' || string_agg(CASE p WHEN 'type' THEN 'a' ELSE '<http://example.org/passages#' || p || '>' END || ' ' || o, ' ;' || chr(10) || '    ' ORDER BY p <> 'type', p) AS statement FROM o GROUP BY s""",
-    "corpus_passages": f"""WITH l AS {_LINES}, i AS (SELECT *, 'IV.prop.' || (conv_id + 1) AS item, CASE WHEN turn = 0 THEN 'proposition' WHEN role = 'assistant' THEN 'proof' ELSE 'note' END AS type FROM l),
+    "corpus_passages": f"""WITH l AS {_LINES}, i AS (SELECT *, (['I.def.', 'I.ax.', 'IV.prop.'])[conv_id % 3 + 1] || (conv_id + 1) AS item, CASE WHEN turn = 0 THEN (['definition', 'axiom', 'proposition'])[conv_id % 3 + 1] WHEN role = 'assistant' THEN 'proof' ELSE 'note' END AS type FROM l),
       n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, type ORDER BY turn) AS nth FROM i)
       SELECT book AS key, CASE WHEN turn = 0 THEN item ELSE item || '.' || type || CASE WHEN nth > 1 THEN CAST(nth AS VARCHAR) ELSE '' END END AS id, type, CASE WHEN turn = 0 THEN CAST(conv_id + 1 AS VARCHAR) END AS number,
         CASE WHEN turn <> 0 THEN item END AS parent_id, md5(said) AS digest FROM n""",

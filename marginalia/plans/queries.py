@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,14 +14,14 @@ from marginalia.functions.roman import from_roman, to_roman
 from marginalia.operators import alignment, analysis, corpus, graph, reader
 from marginalia.operators import triples as T
 from marginalia.operators.corpus import islands
+from marginalia.operators.lineage import shared_folder
 from marginalia.sources.passages import markup
+from marginalia.sources.texts import read_raw_text
 from marginalia.sources.triples import classes_of, statement_text
 
-from .tables import citing_texts, passages, table, triples
+from .tables import PART_CONVERSATIONS, citing_texts, passages, ranged_parts, table, triples
 
 WORD = "the"
-#: Conversations that make a part of a written text.
-PART_CONVERSATIONS = 500
 
 
 def top_cited(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,8 +69,7 @@ def merge_stores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def backfill(spark: SparkSession, sf: str) -> DataFrame:
-    primary = triples(spark, sf, "places", "parents").filter("length(s) % 2 = 0")
-    return T.backfill(primary, triples(spark, sf, "parents", "brands"))
+    return T.backfill(triples(spark, sf, "places", "classes"), triples(spark, sf, "parents", "classes", "brands"))
 
 
 def project_invert(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,18 +129,15 @@ def chains_first(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("element_id", "type", "start", "end", "relationship", F.col("length").cast("long").alias("length"), F.col("path")[0]["to"].alias("path_to"))
 
 
-def _two_nations(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("N.1",), ("N.2",), ("R.0",)], "id string")
-
-
 def trace_levels(spark: SparkSession, sf: str) -> DataFrame:
     t = triples(spark, sf, "places", "parents")
-    return graph.trace(t, 3, _two_nations(spark)).select("origin", "node", F.col("d").cast("long").alias("d"))
+    return graph.trace(t, 3).select("origin", "node", F.col("d").cast("long").alias("d"))
 
 
 def trace_depth_first(spark: SparkSession, sf: str) -> DataFrame:
     t = triples(spark, sf, "places")
-    return graph.trace_depth_first(t, t.select(F.col("s").alias("id")).distinct(), 2)
+    found = graph.trace_depth_first(t, t.select(F.col("s").alias("id")).distinct(), 2)
+    return found.select("origin", F.col("place").cast("long").alias("place"), "node", F.col("depth").cast("long").alias("depth"))
 
 
 def cyclic_nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -182,7 +180,7 @@ def search_selectable(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    return reader.neighbours(reader.selectable(passages(spark, sf), WORD)).select("id", "previous_id", "next_id")
+    return reader.neighbours(reader.selectable(ranged_parts(passages(spark, sf)), WORD)).select("id", "previous_id", "next_id")
 
 
 def section_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -190,7 +188,7 @@ def section_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def section_starts(spark: SparkSession, sf: str) -> DataFrame:
-    return reader.section_starts(passages(spark, sf)).select("id", "shows_heading")
+    return reader.section_starts(ranged_parts(passages(spark, sf))).select("id", "shows_heading")
 
 
 def children_by_parent(spark: SparkSession, sf: str) -> DataFrame:
@@ -253,14 +251,8 @@ def escaped_markup(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", F.md5(L.escaped(F.col("html"))).alias("digest"))
 
 
-def _ranged_parts(spark: SparkSession, sf: str) -> DataFrame:
-    """Passages in parts of a fixed size, whose number grows with the table."""
-    part = F.floor(F.col("sort_index") / (PART_CONVERSATIONS * 1000)).cast("int") + 1
-    return passages(spark, sf).withColumn("part_number", part).withColumn("part_numeral", part.cast("string"))
-
-
 def passage_markup(spark: SparkSession, sf: str) -> DataFrame:
-    return markup(_ranged_parts(spark, sf)).select("part_number", F.length("xml").cast("long").alias("chars"), F.md5("xml").alias("digest"))
+    return markup(ranged_parts(passages(spark, sf))).select("part_number", F.length("xml").cast("long").alias("chars"), F.md5("xml").alias("digest"))
 
 
 def triple_statements(spark: SparkSession, sf: str) -> DataFrame:
@@ -268,20 +260,30 @@ def triple_statements(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def corpus_passages(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversations laid out as a book's plain text, and segmented again."""
+    """Conversations laid out as plain texts of books, written, read and segmented again.
+
+    A book has PART_CONVERSATIONS conversations: of each three, one is a definition and one an axiom of part I,
+    and one a proposition of part IV.  Rows without conv_id or turn have no place in a book.
+    """
     c = table(spark, sf, "conversations").filter("turn IS NOT NULL AND conv_id IS NOT NULL")
     numeral = to_roman(F.col("conv_id").cast("int") + 1)
     said = L.squeeze(F.regexp_replace(F.coalesce("text", F.lit("")), r"[.:]+", " "))
-    lead = F.when(F.col("turn") == 0, F.concat(F.lit("PROP. "), numeral, F.lit(". "))).when(F.col("role") == "assistant", "Proof.—").otherwise(F.lit("Note.—"))
-    rows = c.groupBy((F.col("conv_id") % 4).alias("book")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("conv_id", "turn", F.concat(lead, said).alias("line")))), lambda x: x["line"]), "\n\n").alias("body"))
-    texts = rows.select(F.col("book").cast("string").alias("path"), F.concat(F.lit("PART IV.\n\nA TITLE\n\nPROPOSITIONS\n\n"), "body", F.lit("\n\nThe end.\n")).alias("value"))
+    section = (F.col("conv_id") % 3).cast("int")
+    opening = F.concat(F.when(section == 2, "PROP. ").otherwise(F.lit("")), numeral, F.lit(". "))
+    lead = F.when(F.col("turn") == 0, opening).when(F.col("role") == "assistant", "Proof.—").otherwise(F.lit("Note.—"))
+    rows = c.select(F.floor(F.col("conv_id") / PART_CONVERSATIONS).alias("book"), section.alias("section"), "conv_id", "turn", F.concat(lead, said).alias("line"))
+    bodies = rows.groupBy("book").agg(*[F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("section") == k, F.struct("conv_id", "turn", "line")))), lambda x: x["line"]), "\n\n").alias(f"body{k}") for k in range(3)])
+    book = F.concat(F.lit("PART I.\n\nA TITLE\n\nDEFINITIONS\n\n"), "body0", F.lit("\n\nAXIOMS.\r\n\n"), "body1", F.lit("\n\nPART IV. Another title\n\nPROPOSITIONS\n\n"), "body2", F.lit("\n\nThe end.\n"))
+    path = f"{shared_folder(spark)}/books-{uuid.uuid4().hex}"
+    bodies.select("book", book.alias("value")).write.partitionBy("book").text(path)
+    texts = read_raw_text(spark, path).withColumn("path", F.regexp_extract("path", r"book=(\d+)", 1))
     found = corpus.passages_of_texts(texts, end="The end.")
     return found.select("key", "id", "type", "number", "parent_id", F.md5("text").alias("digest"))
 
 
 def aligned_passages(spark: SparkSession, sf: str) -> DataFrame:
-    """Passages aligned with paragraphs in which some of their labels are missing."""
-    p = passages(spark, sf).withColumn("number", F.when(F.col("type") == "proposition", F.regexp_extract("id", r"(\d+)$", 1)))
+    """Passages aligned with paragraphs in which some of their labels are missing (the gaps are the made-up text's)."""
+    p = ranged_parts(passages(spark, sf)).withColumn("number", F.when(F.col("type") == "proposition", F.regexp_extract("id", r"(\d+)$", 1)))
     label = F.when(F.col("type") == "proposition", F.concat(F.lit("PROPOSITIO "), to_roman(F.col("number").cast("int")), F.lit(": "))).when(F.col("type") == "proof", "DEMONSTRATIO: ").otherwise(F.lit("SCHOLIUM: "))
     kept = p.filter("sort_index % 11 <> 3").withColumn("pos", (F.row_number().over(Window.partitionBy("part_number").orderBy("sort_index"))).cast("int"))
     paras = kept.select("part_number", "pos", F.concat(label, L.squeeze(F.col("text"))).alias("paragraph"))

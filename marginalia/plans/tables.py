@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from marginalia.functions import labels as L
 from marginalia.functions.roman import to_roman
 
+#: Conversations that make a part of a written text.
+PART_CONVERSATIONS = 500
 EVENTS = {"click": "necessarilyFollows", "error": "refutedByAbsurdity", "purchase": "buildsUpon", "signup": "groundedIn", "view": "clearlyfollowsFrom"}
 
 
@@ -57,7 +59,10 @@ def triples(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as passages: the first turn is a proposition, the others stand inside it."""
+    """Conversations as passages: the first turn is a proposition, the others stand inside it.
+
+    A passage's id and place are made of conv_id and turn, so rows without one of these are no passages.
+    """
     c = table(spark, sf_dir, "conversations").filter("turn IS NOT NULL AND conv_id IS NOT NULL")
     top = F.col("turn") == 0
     kind = F.when(top, "proposition").when(F.col("role") == "assistant", "proof").otherwise(F.lit("note"))
@@ -87,12 +92,26 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def citing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, text): sentences with references of all kinds, made from orders."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    a, b, part = to_roman(F.col("o_custkey") % 60 + 1), F.lower(to_roman(F.col("o_orderkey") % 40 + 1)), F.element_at(F.array(*map(F.lit, ("i", "II", "iii", "IV", "v"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    text = F.concat(
+def ranged_parts(rows: DataFrame, size: int = PART_CONVERSATIONS) -> DataFrame:
+    """Passages in parts of a fixed number of conversations, so that the number of parts grows with the table."""
+    part = F.floor(F.col("sort_index") / (size * 1000)).cast("int") + 1
+    return rows.withColumn("part_number", part).withColumn("part_numeral", to_roman(part))
+
+
+def citing_sentence() -> Column:
+    """A sentence with references of all kinds, made from the keys of an order."""
+    a, b, part = to_roman(F.col("o_custkey") % 60 + 1), F.lower(to_roman(F.col("o_orderkey") % 40 + 1)), _citing_part()
+    return F.concat(
         *[F.lit("By Pt. "), part, F.lit("., Prop. "), a, F.lit(", Coroll. "), b, F.lit("; (Pt. "), part, F.lit(" Def. "), b, F.lit("), ("), F.lower(part), F.lit(". "), b, F.lit(". Coroll.), "), F.lower(part), F.lit(". Ax. "), b],
         *[F.lit(", Prop. "), a, F.lit(", Def. "), b, F.lit(" and "), F.lower(a), F.lit(", Ax. i, Lemma "), b, F.lit(" and Post. "), b, F.lit(".")],
     )
-    return o.select(F.concat(F.upper(part), F.lit(".prop."), (F.col("o_orderkey") % 97 + 1).cast("string")).alias("id"), text.alias("text")).distinct()
+
+
+def _citing_part() -> Column:
+    return F.element_at(F.array(*map(F.lit, ("i", "II", "iii", "IV", "v"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+
+
+def citing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text): sentences with references of all kinds, made from orders."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return o.select(F.concat(F.upper(_citing_part()), F.lit(".prop."), (F.col("o_orderkey") % 97 + 1).cast("string")).alias("id"), citing_sentence().alias("text")).distinct()

@@ -18,7 +18,12 @@ def read_raw_text(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pages(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
     """(path, html) of saved web pages."""
-    return spark.read.format("binaryFile").load(path).select("path", F.decode("content", encoding).alias("html"))
+    return decoded(spark.read.format("binaryFile").load(path), encoding)
+
+
+def decoded(files: DataFrame, encoding: str = "ISO-8859-1") -> DataFrame:
+    """(path, html) of (path, content) with the bytes of pages."""
+    return files.select("path", F.decode("content", encoding).alias("html"))
 
 
 def page_lines(pages: DataFrame, key: str, html: str = "html", boilerplate: list[str] = BOILERPLATE) -> DataFrame:
@@ -45,4 +50,5 @@ def parallel_json(texts: DataFrame, language: str = "la") -> DataFrame:
 
 
 def write_parallel(texts: DataFrame, path: str, language: str = "la") -> None:
-    parallel_json(texts, language).select("value").write.text(path)
+    """One JSON file a part, in folders file=<part>."""
+    parallel_json(texts, language).select("value", F.col("part").alias("file")).write.partitionBy("file").text(path)
