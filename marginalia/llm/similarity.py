@@ -7,10 +7,15 @@
 2. The sets of the others are asked for the frequency of every shingle.  Nodes with less than t n
    shared shingles have no link.  With rare shingles first, linked nodes meet in an index list
    of the first n - t n + 1; the lists join nodes to clusters of candidates.
-3. Within a cluster the sets are compared exactly.  Index lists are read whole: skipping blocks or positions
-   is left out.  Answers are derived from a similar set's: if r's distances to all others
-   are known, x at distance e from r can only link with those at most 1 - t + e from r.
-   Large clusters are cut into pairs of parts.
+3. A cluster's sets are dealt to slices of bounded size, each with the cluster's pivot, its least node.  A slice
+   compares its sets exactly, and gives every set's distance to the pivot.  Answers are derived from a similar
+   set's: if r's distances to all others are known, x at distance e from r can only link with those
+   at most 1 - t + e from r.
+4. What a slice can't see are links between sets of different slices.  For these the index lists are skipped through:
+   a list whose sets are linked already is skipped whole; in others, a posting is skipped if by size, by its
+   position (how much of each set is left from there), or by its ring around the pivot no set
+   of another class in the list can link with it.  What is left is clustered and sliced again, with new pivots; after
+   ROUNDS rounds the rest is compared in pairs of parts.
 """
 
 from __future__ import annotations
@@ -30,8 +35,10 @@ from .scratch import settle
 SIZE = 5
 #: Links need PART * intersection >= WHOLE * union.
 PART, WHOLE = 100, 80
-#: Bytes of sets that are compared in one task at once.
-PART_BYTES = 48_000_000
+#: Bytes of sets, and sets, of a slice of a cluster.
+SLICE_BYTES, SLICE_SETS = 4_000_000, 128
+#: Rounds of slices with a pivot, before the rest is compared in pairs of parts, and bytes of a part.
+ROUNDS, PART_BYTES = 4, 8_000_000
 
 
 def shingle_sets(texts: list[str | None], size: int = SIZE) -> list[np.ndarray]:
@@ -114,19 +121,22 @@ def _first_sieve(schema):
 
 
 def _second_sieve(schema):
-    """Rows (node, n, shingle) of the index, and (node, n, null, set) for the sets that stay."""
+    """Rows (node, n, shingle, position) of the index, and (node, n, null, null, set) for the sets that stay."""
 
     def run(group: pa.Table, replies: pa.Table) -> pa.Table:
         keys, held = X.answers_of(replies, np.uint8)
-        out: dict[str, list] = {"node": [], "shingle": [], "shingles": []}
+        out: dict[str, list] = {"node": [], "n": [], "shingle": [], "position": [], "shingles": []}
         for node, raw in zip(group["node"].to_pylist(), group["shingles"].to_pylist(), strict=True):
             s = np.frombuffer(raw, np.uint64)
             df = X.look_up(keys, held, s)
             if np.count_nonzero(df > 1) < needed(len(s)):
                 continue
             first = np.lexsort((s, df))[: len(s) - needed(len(s)) + 1]
-            first = first[df[first] > 1]
+            place = np.flatnonzero(df[first] > 1)
+            first = first[place]
             out["node"] += [node] * (len(first) + 1)
+            out["n"] += [len(s)] * (len(first) + 1)
+            out["position"] += [None, *place.tolist()]
             out["shingle"] += [None, *s[first].view(np.int64).tolist()]
             out["shingles"] += [raw, *[None] * len(first)]
         return X.table_of(schema, out)
@@ -203,18 +213,103 @@ def linked_groups(sets: list[np.ndarray]) -> np.ndarray:
     return groups.label
 
 
-def _compare_cluster(schema):
+_COMPARED = "a long, b long, component long, far double"
+
+
+def _compare_slice(schema):
+    """Rows (node, least linked node); where the component has several slices, also the distance from its pivot."""
+
     def run(group: pa.Table) -> pa.Table:
         held = dict(zip(group["node"].to_pylist(), group["shingles"].to_pylist(), strict=True))
         nodes = np.array(list(held), np.int64)
-        label = linked_groups([np.frombuffer(x, np.uint64) for x in held.values()])
+        sets = [np.frombuffer(x, np.uint64) for x in held.values()]
+        label = linked_groups(sets)
         least = np.full(len(nodes), np.iinfo(np.int64).max)
         np.minimum.at(least, label, nodes)
-        return X.table_of(schema, {"a": nodes.tolist(), "b": least[label].tolist()})
+        pivot, far = group["component"][0].as_py(), [None] * len(nodes)
+        if group["many"][0].as_py():
+            middle = np.frombuffer(held[pivot], np.uint64)
+            shared = [np.count_nonzero(middle[np.minimum(np.searchsorted(middle, x), len(middle) - 1)] == x) for x in sets]
+            far = [1 - k / (len(x) + len(middle) - k) for k, x in zip(shared, sets, strict=True)]
+        return X.table_of(schema, {"a": nodes.tolist(), "b": least[label].tolist(), "component": [pivot] * len(nodes), "far": far})
 
     return run
 
 
+def _clustered(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """(component, node, shingles): sets that index lists join, directly or not."""
+    # written, so that the join with a very frequent shingle or class can be split
+    heads = settle(lists.groupBy("shingle").agg(F.min("node").alias("head")), "heads")
+    clusters = components(lists.select("shingle", "node").join(heads, "shingle").select("node", "head"), "node", "head")
+    return sets.join(clusters, "node").select("component", "node", "shingles")
+
+
+def _cuts(clustered: DataFrame, bytes_: int, rows: int) -> DataFrame:
+    """(component, cut): into how many parts, for components that don't fit into one; a row for each part's worth of sets at most."""
+    cut = F.ceil(F.greatest(F.sum(F.octet_length("shingles")) / bytes_, F.count("*") / rows)).cast("int")
+    return clustered.groupBy("component").agg(cut.alias("cut")).filter("cut > 1")
+
+
+def _in_slices(clustered: DataFrame) -> DataFrame:
+    """Compared slices: each set is in one, the component's pivot in all of them."""
+    cuts = settle(_cuts(clustered, SLICE_BYTES, SLICE_SETS), "cuts")
+    dealt = clustered.join(cuts, "component", "left").withColumn("many", F.col("cut").isNotNull())
+    own = F.pmod(F.xxhash64(F.lit(3), "node"), F.coalesce("cut", F.lit(1))).cast("int")
+    everywhere = F.sequence(F.lit(0), F.coalesce("cut", F.lit(1)) - 1)
+    slices = F.when(F.col("node") == F.col("component"), everywhere).otherwise(F.array(own))
+    dealt = dealt.select("component", F.explode(slices).alias("slice"), "many", "node", "shingles")
+    compared = X.struct(_COMPARED)
+    return dealt.groupBy("component", "slice").applyInArrow(_compare_slice(compared), compared)
+
+
+def _in_pairs_of_parts(clustered: DataFrame) -> DataFrame:
+    """Compared pairs of parts: every two sets of a component meet."""
+    cuts = settle(_cuts(clustered, PART_BYTES // 2, 8 * SLICE_SETS), "cuts")
+    dealt = clustered.join(cuts, "component", "left").withColumn("cut", F.coalesce("cut", F.lit(1)))
+    part = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("cut")).cast("int")
+    dealt = dealt.select("component", "node", "shingles", part.alias("part"), "cut", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("other"))
+    # a part meets each other part in one task; without others, itself
+    dealt = dealt.filter("cut = 1 or part <> other").select("component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.lit(False).alias("many"), "node", "shingles")
+    compared = X.struct(_COMPARED)
+    return dealt.groupBy("component", "i", "j").applyInArrow(_compare_slice(compared), compared)
+
+
+def _unseen(lists: DataFrame, compared: DataFrame, named: DataFrame) -> DataFrame:
+    """Postings that may still link with one of another class; those of pivots are done."""
+    told = compared.filter("far is not null").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("pivot"), F.min("far").alias("far"))
+    rows = lists.join(told, "node").join(named, "node", "left").withColumn("class", F.coalesce("component", "node")).filter("node <> pivot")
+    rows = settle(rows.select("shingle", "node", "n", "position", "far", "class", (F.col("n") - F.col("position")).alias("room")), "postings")
+    by_class = rows.groupBy("shingle", "class").agg(F.count("*").alias("many"))
+    main = by_class.groupBy("shingle").agg(F.max_by("class", F.struct("many", "class")).alias("main"), F.count("*").alias("classes")).filter("classes > 1").select("shingle", "main")
+    mixed = rows.join(settle(main, "lists"), "shingle")
+    ends = [f(c).alias(f"{name}_{c}") for c in ("n", "far", "room") for f, name in ((F.min, "least"), (F.max, "most"))]
+    others = settle(mixed.filter("class <> main").groupBy("shingle").agg(*ends), "lists")
+    slack = 1 - WHOLE / PART + 1e-9
+    by_size = (F.col("most_n") * PART >= F.col("n") * WHOLE) & (F.col("n") * PART >= F.col("least_n") * WHOLE)
+    by_position = (F.col("most_room") * PART >= F.col("n") * WHOLE) & (F.col("room") * PART >= F.col("least_n") * WHOLE)
+    by_ring = F.col("far").between(F.col("least_far") - slack, F.col("most_far") + slack)
+    kept = mixed.join(others, "shingle").filter((F.col("class") != F.col("main")) | by_size & by_position & by_ring)
+    return settle(kept.select("shingle", "node", "n", "position"), "postings")
+
+
+def _linked(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, component): sets that links join, directly or not."""
+    edges = None
+    for last in [False] * ROUNDS + [True]:
+        clustered = _clustered(lists, sets)
+        if edges is not None or last:
+            clustered = settle(clustered, "clustered")
+        compared = settle((_in_pairs_of_parts if last else _in_slices)(clustered), "compared")
+        own = compared.select("a", "b")
+        edges = own if edges is None else edges.unionByName(own)
+        if compared.filter("far is not null").isEmpty():
+            break
+        lists = _unseen(lists, compared, components(edges))
+        if lists.isEmpty():
+            break
+    return components(edges)
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: key, n_shingles, component_id (the smallest key linked with it, directly or not).
 
@@ -263,27 +358,10 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
     def ask_again(group: pa.Table) -> pa.Table:
         return _questions(group["block"][0].as_py(), [np.frombuffer(s, np.uint64) for s in group["shingles"].to_pylist()], n_parts, packed)
 
-    indexed = X.struct("node long, shingle long, shingles binary")
+    indexed = X.struct("node long, n long, shingle long, position int, shingles binary")
     told = sets.groupBy("block").applyInArrow(ask_again, packed).groupBy("bucket").applyInArrow(X.answer(packed, np.uint8, _total), packed)
     index = settle(sets.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_second_sieve(indexed), indexed), "index")
 
-    lists = index.filter("shingle is not null").select("shingle", "node")
-    # written, so that the join with a very frequent shingle or class can be split
-    heads = settle(lists.groupBy("shingle").agg(F.min("node").alias("head")), "heads")
-    clusters = components(lists.join(heads, "shingle").select("node", "head"), "node", "head")
-    clustered = index.filter("shingles is not null").select("node", "shingles").join(clusters, "node")
-    sizes = clustered.groupBy("component").agg(F.sum(F.octet_length("shingles")).alias("bytes")).filter(F.col("bytes") > PART_BYTES)
-    # one row for each PART_BYTES of sets at most, so that it can be broadcast and no component meets in one task
-    large = F.broadcast(sizes.select("component", F.ceil(F.col("bytes") / (PART_BYTES / 2)).cast("int").alias("cut")))
-    clustered = clustered.join(large, "component", "left").withColumn("cut", F.coalesce("cut", F.lit(1)))
-    part = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("cut")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("other")
-    dealt = clustered.select("component", "node", "shingles", part.alias("part"), "cut", other)
-    # a part meets each other part in one task; without others, itself
-    dealt = dealt.filter("cut = 1 or part <> other").select("component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "shingles")
-    edge = X.struct("a long, b long")
-    edges = dealt.groupBy("component", "i", "j").applyInArrow(_compare_cluster(edge), edge)
-    named = components(edges)
-
+    named = _linked(index.filter("shingle is not null").drop("shingles"), index.filter("shingles is not null").select("node", "shingles"))
     own = members.select("key", "mark", "n", "node").join(named, "node", "left")
     return own.select("key", "mark", "n", F.coalesce("component", "node").alias("class"))

@@ -55,6 +55,22 @@ def test_against_all_pairs(spark, monkeypatch, small):
     assert sorted((tuple(r) for r in S.near_duplicates(df).collect()), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+def test_clusters_of_many_slices(spark, monkeypatch, rounds):
+    monkeypatch.setattr(S, "SLICE_SETS", 6)
+    monkeypatch.setattr(S, "ROUNDS", rounds)
+    rng = random.Random(2)
+    base = [f"b{i}" for i in range(120)]
+    rows, text = [], list(base)
+    for i in range(70):  # a chain: neighbours are linked, far ones are not
+        text = list(text)
+        for _ in range(2):
+            text[rng.randrange(len(text))] = f"x{i}{rng.randrange(9)}"
+        rows.append((i * 3 + 1, " ".join(text if i % 9 else base + [f"y{i}"] * (i // 4))))
+    got = S.near_duplicates(spark.createDataFrame([(*r, "?") for r in rows], DOCS)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+
+
 def test_chain_of_near_copies():
     base = np.arange(1000, dtype=np.uint64)
     chain = [base[i * 15 : i * 15 + 200] for i in range(50)]
