@@ -14,8 +14,8 @@
 4. What a slice can't see are links between sets of different slices.  For these the index lists are skipped through:
    a list whose sets are linked already is skipped whole; in others, a posting is skipped if by size, by its
    position (how much of each set is left from there), or by its ring around the pivot no set
-   of another class in the list can link with it.  What is left is clustered and sliced again, with new pivots; after
-   ROUNDS rounds the rest is compared in pairs of parts.
+   of another class in the list can link with it.  What is left after ROUNDS rounds of this is clustered again and
+   compared in pairs of parts.
 """
 
 from __future__ import annotations
@@ -36,9 +36,9 @@ SIZE = 5
 #: Links need PART * intersection >= WHOLE * union.
 PART, WHOLE = 100, 80
 #: Bytes of sets, and sets, of a slice of a cluster.
-SLICE_BYTES, SLICE_SETS = 4_000_000, 128
+SLICE_BYTES, SLICE_SETS = 8_000_000, 512
 #: Rounds of slices with a pivot, before the rest is compared in pairs of parts, and bytes of a part.
-ROUNDS, PART_BYTES = 4, 8_000_000
+ROUNDS, PART_BYTES = 1, 16_000_000
 
 
 def shingle_sets(texts: list[str | None], size: int = SIZE) -> list[np.ndarray]:
@@ -264,7 +264,7 @@ def _in_slices(clustered: DataFrame) -> DataFrame:
 
 def _in_pairs_of_parts(clustered: DataFrame) -> DataFrame:
     """Compared pairs of parts: every two sets of a component meet."""
-    cuts = settle(_cuts(clustered, PART_BYTES // 2, 8 * SLICE_SETS), "cuts")
+    cuts = settle(_cuts(clustered, PART_BYTES // 2, SLICE_SETS), "cuts")
     dealt = clustered.join(cuts, "component", "left").withColumn("cut", F.coalesce("cut", F.lit(1)))
     part = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("cut")).cast("int")
     dealt = dealt.select("component", "node", "shingles", part.alias("part"), "cut", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("other"))
@@ -281,9 +281,9 @@ def _unseen(lists: DataFrame, compared: DataFrame, named: DataFrame) -> DataFram
     rows = settle(rows.select("shingle", "node", "n", "position", "far", "class", (F.col("n") - F.col("position")).alias("room")), "postings")
     by_class = rows.groupBy("shingle", "class").agg(F.count("*").alias("many"))
     main = by_class.groupBy("shingle").agg(F.max_by("class", F.struct("many", "class")).alias("main"), F.count("*").alias("classes")).filter("classes > 1").select("shingle", "main")
-    mixed = rows.join(settle(main, "lists"), "shingle")
+    mixed = rows.join(main, "shingle")
     ends = [f(c).alias(f"{name}_{c}") for c in ("n", "far", "room") for f, name in ((F.min, "least"), (F.max, "most"))]
-    others = settle(mixed.filter("class <> main").groupBy("shingle").agg(*ends), "lists")
+    others = mixed.filter("class <> main").groupBy("shingle").agg(*ends)
     slack = 1 - WHOLE / PART + 1e-9
     by_size = (F.col("most_n") * PART >= F.col("n") * WHOLE) & (F.col("n") * PART >= F.col("least_n") * WHOLE)
     by_position = (F.col("most_room") * PART >= F.col("n") * WHOLE) & (F.col("room") * PART >= F.col("least_n") * WHOLE)
@@ -296,18 +296,16 @@ def _linked(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, component): sets that links join, directly or not."""
     edges = None
     for last in [False] * ROUNDS + [True]:
-        clustered = _clustered(lists, sets)
-        if edges is not None or last:
-            clustered = settle(clustered, "clustered")
-        compared = settle((_in_pairs_of_parts if last else _in_slices)(clustered), "compared")
-        own = compared.select("a", "b")
+        compared = settle((_in_pairs_of_parts if last else _in_slices)(_clustered(lists, sets)), "compared")
+        own = compared.select("a", "b").filter("a <> b").distinct()
         edges = own if edges is None else edges.unionByName(own)
-        if compared.filter("far is not null").isEmpty():
+        named = components(edges)
+        if last or compared.filter("far is not null").isEmpty():
             break
-        lists = _unseen(lists, compared, components(edges))
+        lists = _unseen(lists, compared, named)
         if lists.isEmpty():
             break
-    return components(edges)
+    return named
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
