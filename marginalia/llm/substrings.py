@@ -5,8 +5,10 @@ in a document with a smaller id.  Each window is sent to the shard that its mini
 hash among the short word sequences within it), so equal windows meet.  Only minimizers that stand
 in two documents are sent at all, with the words of their windows, equal ones of a block once.
 The windows of a minimizer with many different neighbourhoods are dealt by their own words instead.
-A shard builds an FM-index of what it gets and streams the windows through it by backward search;
-the suffixes in a window's interval say in which documents it stands, and the least goes back.
+A shard builds a compressed FM-index of what it gets, each distinct piece once with the least document that
+has it, and streams all pieces through it: backward search from every word gives the matching statistics against
+documents with smaller ids, the longest sequence that ends there and stands in one of them.
+Intervals of a window or more are reported, and go back with that document.
 """
 
 from __future__ import annotations
@@ -171,6 +173,26 @@ def _unpacked(vocabulary: bytes, places: bytes) -> np.ndarray:
     return distinct[np.frombuffer(places, np.uint16 if len(distinct) <= 2**16 else np.uint32)]
 
 
+def _least_of_windows(index: FMIndex, text: np.ndarray, begin: np.ndarray, n: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each window of each piece: the least document of a reported interval that holds it, or else the piece's own.
+
+    An interval that reaches back to the piece's start covers all windows before its end, so that piece is done.
+    """
+    offset = np.cumsum(n - WINDOW + 1) - (n - WINDOW + 1)
+    least = np.repeat(owner, n - WINDOW + 1)
+    live, end = np.arange(len(n)), n - 1
+    while len(live):
+        length, found = index.longest_before(text, begin[live] + end[live], end[live] + 1, owner[live])
+        far = np.flatnonzero(length >= WINDOW)
+        many = length[far] - WINDOW + 1
+        inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        at = np.repeat(offset[live[far]] + end[live[far]] - length[far] + 1, many) + inner
+        np.minimum.at(least, at, np.repeat(found[far], many))
+        live = live[(length <= end[live]) & (end[live] >= WINDOW)]
+        end[live] -= 1
+    return least
+
+
 def _search_shard(schema):
     """Builds the shard's FM-index and answers, for each window of each piece, the least key of a document that has it."""
 
@@ -180,9 +202,7 @@ def _search_shard(schema):
         doc = np.concatenate([np.frombuffer(x, np.int64) for x in group["docs"].to_pylist()])
         packed = zip(group["vocabulary"].to_pylist(), group["words"].to_pylist(), strict=True)
         words = np.concatenate([_unpacked(v, w) for v, w in packed])
-        vocabulary, symbols = np.unique(words, return_inverse=True)
-        if len(vocabulary) >= 2**21 - 1:
-            raise ValueError("a shard has too many distinct words; use smaller blocks")
+        symbols = np.unique(words, return_inverse=True)[1]
         n = size + WINDOW - 1
         first = np.cumsum(n) - n
         # pieces of other blocks with the same words are one; a piece is named by two hashes of its words
@@ -200,17 +220,10 @@ def _search_shard(schema):
         text = np.zeros(int((ln + 1).sum()), np.int64)
         inner = np.arange(ln.sum()) - np.repeat(np.cumsum(ln) - ln, ln)
         text[np.repeat(begin, ln) + inner] = symbols[np.repeat(first[lead], ln) + inner] + 1
-        owner = np.repeat(doc[lead], ln + 1)
-        index = FMIndex(text)
+        documents, owner = np.unique(doc[lead], return_inverse=True)
+        index = FMIndex(text, np.repeat(owner.astype(np.int32), ln + 1))
         count = size[lead]
-        asked = np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        low, high, matched = index.search(asked, text, WINDOW)
-        assert (matched == WINDOW).all()  # every piece is in the index itself
-        runs, back = np.unique(low, return_inverse=True)
-        stop = np.zeros(len(runs), np.int64)
-        stop[back] = high
-        along = np.append(owner[index.suffixes], _NONE)
-        least = np.minimum.reduceat(along, np.stack([runs, stop], 1).ravel())[::2][back]
+        least = documents[_least_of_windows(index, text, begin, ln, owner.astype(np.int32))]
         # back to all pieces as they came
         from_ = np.cumsum(count) - count
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(from_[which], size)
@@ -257,7 +270,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 
     Null and empty texts have no words.  Keys are integers; rows of the same key are not smaller
     than each other, so neither loses words to the other.  A null key is not smaller than any and
-    none is smaller than it.  Other columns are dropped.  An empty table gives an empty result.
+    none is smaller than it.  Very long texts are searched whole.  Other columns are dropped.  An empty table gives an empty result.
     """
     blocks, n_blocks = X.in_blocks(docs, key, text)
     buckets = max(1, n_blocks // 4)

@@ -72,3 +72,29 @@ def test_fm_index_counts_occurrences():
     assert (matched == 5).all()
     for p, a, b in zip(at, low, high):
         assert sorted(index.suffixes[a:b]) == [q for q in range(len(text) - 4) if (text[q : q + 5] == text[p : p + 5]).all()]
+
+
+def test_matching_statistics_of_any_length():
+    rng = np.random.default_rng(5)
+    parts = [np.append(rng.integers(1, 4, rng.integers(1, 40)), 0) for _ in range(50)]
+    text, owner = np.concatenate(parts), np.repeat(rng.integers(0, 20, 50), [len(p) for p in parts]).astype(np.int32)
+    index = FMIndex(text, owner)
+    starts = np.repeat(np.cumsum([0, *map(len, parts)])[:-1], [len(p) for p in parts])
+    end = np.flatnonzero(text > 0)
+    length, least = index.longest_before(text, end, end - starts[end] + 1, owner[end])
+    words = [(o, "".join(map(str, p[:-1]))) for o, p in zip(owner[np.unique(starts)], parts)]
+    for e, n, doc in zip(end.tolist(), length.tolist(), least.tolist()):
+        before = "".join(map(str, text[starts[e] : e + 1]))
+        held = lambda k: [o for o, w in words if o < owner[e] and before[len(before) - k :] in w]
+        assert n == max((k for k in range(1, len(before) + 1) if held(k)), default=0)
+        assert doc == (min(held(n)) if n else owner[e])
+
+
+def test_sampled_positions_and_wide_symbols(monkeypatch):
+    from marginalia.llm import fm_index
+
+    text = np.concatenate([np.append(np.random.default_rng(2).integers(1, 3, 50), 0) for _ in range(8)])
+    order = fm_index.suffix_order(text)
+    assert (FMIndex(text).suffixes == order).all() and len(FMIndex(text).positions) < len(text) / 8
+    monkeypatch.setattr(fm_index, "symbols_per_key", lambda top: 2)
+    assert (fm_index.suffix_order(text) == order).all()
