@@ -281,9 +281,10 @@ def _unseen(lists: DataFrame, compared: DataFrame, named: DataFrame) -> DataFram
     rows = settle(rows.select("shingle", "node", "n", "position", "far", "class", (F.col("n") - F.col("position")).alias("room")), "postings")
     by_class = rows.groupBy("shingle", "class").agg(F.count("*").alias("many"))
     main = by_class.groupBy("shingle").agg(F.max_by("class", F.struct("many", "class")).alias("main"), F.count("*").alias("classes")).filter("classes > 1").select("shingle", "main")
-    mixed = rows.join(main, "shingle")
+    # written, as the heads are, so that a join with a very frequent shingle can be split
+    mixed = rows.join(settle(main, "lists"), "shingle")
     ends = [f(c).alias(f"{name}_{c}") for c in ("n", "far", "room") for f, name in ((F.min, "least"), (F.max, "most"))]
-    others = mixed.filter("class <> main").groupBy("shingle").agg(*ends)
+    others = settle(mixed.filter("class <> main").groupBy("shingle").agg(*ends), "lists")
     slack = 1 - WHOLE / PART + 1e-9
     by_size = (F.col("most_n") * PART >= F.col("n") * WHOLE) & (F.col("n") * PART >= F.col("least_n") * WHOLE)
     by_position = (F.col("most_room") * PART >= F.col("n") * WHOLE) & (F.col("room") * PART >= F.col("least_n") * WHOLE)
