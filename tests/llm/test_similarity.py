@@ -99,3 +99,17 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 90), (90, 95), (7, 7), (None, 4)]
     got = {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {(i, 0) for i in range(31)} | {(90, 90), (95, 90), (100, 90)}
+
+
+def test_components_of_stars_and_random_graphs(spark):
+    rng = np.random.default_rng(3)
+    graphs = [[], [(5, 1), (4, 1), (9, 7)], [(3, 1), (3, 2)], [(2, 1), (3, 2)]]
+    graphs += [[tuple(int(v) for v in e) for e in rng.integers(0, 60, (n, 2))] for n in (25, 45)]
+    for edges in graphs:
+        least = {v: v for e in edges if e[0] != e[1] for v in e}
+        for _ in least:
+            for a, b in edges:
+                if a != b:
+                    least[a] = least[b] = min(least[a], least[b])
+        got = sorted(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
+        assert got == sorted(least.items())
