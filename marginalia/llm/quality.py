@@ -97,7 +97,7 @@ def sparse_rows(f: Features) -> list[tuple[np.ndarray, np.ndarray]]:
         ids = np.concatenate([f.word_buckets[at], pairs, [BUCKETS]])
         weights = np.concatenate([np.repeat(count * share[word], sizes) / max(1, b - a), np.full(len(pairs), 1 / max(1, len(pairs))), [1.0]])
         ids, back = np.unique(ids, return_inverse=True)
-        out.append((ids, np.bincount(back, weights).astype(np.float32)))
+        out.append((ids.astype(np.int32), np.bincount(back, weights).astype(np.float32)))
     return out
 
 
