@@ -9,7 +9,7 @@ from marginalia.functions import labels as L
 from marginalia.functions import vocabulary as V
 from marginalia.functions.roman import lookup
 
-from .graph import dependency_depth, influence, weighted_edges
+from .graph import depth_of, influence_of, walk, weighted_edges
 from .lineage import settle
 from .triples import match
 
@@ -69,11 +69,11 @@ def weights(explicit: DataFrame, elements: DataFrame) -> DataFrame:
 
     A passage without links has weights of 0 and the score of its type's base plus 5.
     """
-    edges = settle(weighted_edges(explicit), "weighted")  # read four times
-    plain = edges.select("src", "dst").distinct()
+    edges = settle(weighted_edges(explicit), "weighted")  # read three times
+    walked, origins = walk(edges, 12)
     out = edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("outbound_weight"))
     in_ = edges.groupBy(F.col("dst").alias("id")).agg(F.sum("weight").alias("inbound_weight"))
-    joined = elements.select("id", "type").join(in_, "id", "left").join(out, "id", "left").join(influence(plain), "id", "left").join(dependency_depth(plain), "id", "left")
+    joined = elements.select("id", "type").join(in_, "id", "left").join(out, "id", "left").join(influence_of(walked), "id", "left").join(depth_of(walked, origins), "id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     base = F.coalesce(lookup(V.BASE_SCORES, F.col("type")), F.lit(1.0))
     return joined.select(

@@ -72,15 +72,51 @@ def apply_rules(explicit: DataFrame) -> DataFrame:
     return merge(depends, turned, far)
 
 
+def walk(edges: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Walks from all nodes at once: (block, node, bits, d) and the origins (id, block, bit).
+
+    A row holds which of a block's 64 origins first meet the node after d edges, so that pairs take a bit each
+    and not a row.  Neighbours in the order of ids share a block.  A node meets itself at d = 0.
+    A step is one join by node and one aggregation by (block, node) over what was met before.
+    """
+    steps = settle(edges.select("src", "dst").filter("src <> dst").distinct(), "edges")
+    ids = steps.select(F.col("src").alias("id")).distinct().repartitionByRange("id").sortWithinPartitions("id")
+    numbered = ids.withColumn("k", F.monotonically_increasing_id())
+    origins = settle(numbered.select("id", F.shiftright("k", 6).alias("block"), F.col("k").bitwiseAND(F.lit(63)).cast("int").alias("bit")), "origins")
+    front = origins.select("block", F.col("id").alias("node"), F.expr("shiftleft(1L, bit)").alias("bits"), F.lit(0).alias("d"))
+    met, d = front, 0
+    while (limit is None or d < limit) and not front.isEmpty():
+        d += 1
+        found = front.join(steps, F.col("node") == F.col("src")).select("block", F.col("dst").alias("node"), F.col("bits").alias("new"), F.lit(0).cast("long").alias("old"))
+        before = met.select("block", "node", F.lit(0).cast("long").alias("new"), F.col("bits").alias("old"))
+        bits = F.bit_or("new").bitwiseAND(F.bitwise_not(F.bit_or("old")))
+        fresh = found.unionByName(before).groupBy("block", "node").agg(bits.alias("bits")).filter("bits <> 0")
+        front = settle(fresh.withColumn("d", F.lit(d)), "walk")
+        met = met.unionByName(front)
+    return met, origins
+
+
+def influence_of(walked: DataFrame, limit: int = 4) -> DataFrame:
+    """influence() from walks of ``limit`` edges or more."""
+    near = walked.filter(F.col("d").between(1, limit))
+    return near.groupBy(F.col("node").alias("id")).agg(F.sum((6 - F.col("d")) * F.bit_count("bits")).cast("double").alias("influence"))
+
+
+def depth_of(walked: DataFrame, origins: DataFrame) -> DataFrame:
+    """dependency_depth() from walks that ended at its limit."""
+    by_block = walked.filter("d > 0").groupBy("block", "d").agg(F.bit_or("bits").alias("bits"))
+    own = origins.join(by_block, "block").filter("bits & shiftleft(1L, bit) <> 0")
+    return own.groupBy("id").agg(F.max("d").alias("depth"))
+
+
 def influence(edges: DataFrame, limit: int = 4) -> DataFrame:
     """(id, influence): each node within ``limit`` edges that lead to id adds 6 - d."""
-    near = distances(reversed_edges(edges), limit)
-    return near.groupBy(F.col("origin").alias("id")).agg(F.sum(6 - F.col("d")).cast("double").alias("influence"))
+    return influence_of(walk(edges, limit)[0], limit)
 
 
 def dependency_depth(edges: DataFrame, limit: int = 12) -> DataFrame:
     """(id, depth): the largest distance to a node that id leads to, at most ``limit``."""
-    return distances(edges, limit).groupBy(F.col("origin").alias("id")).agg(F.max("d").alias("depth"))
+    return depth_of(*walk(edges, limit))
 
 
 def citation_steps(triples: DataFrame) -> DataFrame:
@@ -108,7 +144,7 @@ def trace_depth_first(triples: DataFrame, origins: DataFrame, limit: int = 3) ->
     steps = citation_steps(triples).select("src", "dst").distinct()
     local = own.unionByName(near).join(steps, "src", "left").select("origin", "src", "dst")
 
-    def walk(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def lines(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         known = group.dropna()
         after = {a: sorted(set(x), reverse=True) for a, x in known.groupby("src")["dst"]}
         out, seen, todo = [], set(), [(key[0], 0)]
@@ -120,7 +156,7 @@ def trace_depth_first(triples: DataFrame, origins: DataFrame, limit: int = 3) ->
                 todo += [(x, depth + 1) for x in after.get(node, [])]
         return pd.DataFrame(out, columns=["origin", "place", "node", "depth"])
 
-    return local.groupBy("origin").applyInPandas(walk, "origin string, place int, node string, depth int")
+    return local.groupBy("origin").applyInPandas(lines, "origin string, place int, node string, depth int")
 
 
 def weighted_edges(triples: DataFrame, weights: dict[str, float] = V.WEIGHTS) -> DataFrame:
@@ -129,10 +165,21 @@ def weighted_edges(triples: DataFrame, weights: dict[str, float] = V.WEIGHTS) ->
     return match(triples, p=list(weights)).select(F.col("s").alias("src"), F.col("o").alias("dst"), weight.alias("weight"))
 
 
+def _core(edges: DataFrame) -> DataFrame:
+    """Edges left when nodes that no edge enters, or none leaves, are taken away until there are none."""
+    now, many = settle(edges.select("src", "dst").filter("src <> dst").distinct(), "edges"), None
+    while many != (left := now.count()) and left:
+        many = left
+        entered, left_by = now.select(F.col("dst").alias("src")).distinct(), now.select(F.col("src").alias("dst")).distinct()
+        now = settle(now.join(entered, "src", "left_semi").join(left_by, "dst", "left_semi").select("src", "dst"), "edges")
+    return now
+
+
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """(id): nodes that lead back to themselves."""
-    pairs = distances(edges).select("origin", "node")
-    back = edges.select(F.col("src").alias("node"), F.col("dst").alias("origin")).distinct()
+    """(id): nodes that lead back to themselves.  Only what lies between cycles is walked, by bits."""
+    core = _core(edges)
+    walked, origins = walk(core)
+    back = walked.join(core, F.col("node") == F.col("src")).select(F.col("dst").alias("id"), "block", "bits")
+    around = origins.join(back, ["id", "block"]).filter("bits & shiftleft(1L, bit) <> 0").select("id")
     own = edges.filter("src = dst").select(F.col("src").alias("id"))
-    return pairs.join(back, ["origin", "node"]).select(F.col("origin").alias("id")).union(own).distinct()
-
+    return around.union(own).distinct()

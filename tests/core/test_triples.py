@@ -103,6 +103,26 @@ def brute_distances(edges, limit):
     return out
 
 
+@pytest.mark.parametrize("n, m, seed", [(150, 320, 1), (90, 90, 2), (5, 0, 3)])
+def test_walks_by_bits(spark, n, m, seed):
+    """More nodes than a block holds, cycles, loops, repeated edges and null ends; and no edges at all."""
+    r = random.Random(seed)
+    pairs = [(f"n{r.randrange(n)}", f"n{r.randrange(n)}") for _ in range(m)]
+    given = pairs + pairs[:5] + [(None, "n1"), ("n1", None)] if m else []
+    e = spark.createDataFrame(given, "src string, dst string")
+    plain = {(a, b) for a, b in pairs if a != b}
+    far = brute_distances(plain, n)
+    depth: dict[str, int] = {}
+    influence: dict[str, int] = {}
+    for (a, b), d in far.items():
+        if d <= 3:
+            depth[a] = max(depth.get(a, 0), d)
+            influence[b] = influence.get(b, 0) + 6 - d
+    assert rows(graph.dependency_depth(e, 3)) == set(depth.items())
+    assert rows(graph.influence(e, 3)) == set(influence.items())
+    around = {(a,) for a, b in plain if (b, a) in far} | {(a,) for a, b in pairs if a == b}
+    assert rows(graph.on_cycles(e)) == around
+
 def brute_trace(cites, part_of, start, limit):
     out, seen = [], set()
 
