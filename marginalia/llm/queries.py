@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, contamination, fingerprint, lm_scoring, mixing, oracle, quality, secrets, similarity, substrings, toxicity
+from . import audit, chat, contamination, fingerprint, lm_scoring, mixing, oracle, quality, secrets, similarity, substrings, toxicity
 from .labelled import remainder
 from .scratch import table
 
@@ -90,6 +90,15 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters do to each source of documents, in all their orders.
+
+    Null texts are empty, null sources the empty string; repeated rows count each, and only a smaller doc_id
+    makes a text repeated, so null ids do not.  Long texts are counted whole; an empty table gives no rows.
+    """
+    return audit.audit(audit.histogram(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_decontamination": op1_decontamination,
@@ -102,5 +111,6 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_jaccard": op9_jaccard,
     "op10_fingerprints": op10_fingerprints,
+    "op12_filter_audit": op12_filter_audit,
 }
-ORACLE_SQL = {"op1_decontamination": oracle.DECONTAMINATION, "op8_substrings": oracle.SUBSTRINGS, "op9_jaccard": oracle.JACCARD} | {"op5_chat_format": oracle.CHAT_FORMAT, "op6_secrets": oracle.SECRETS}
+ORACLE_SQL = {"op1_decontamination": oracle.DECONTAMINATION, "op8_substrings": oracle.SUBSTRINGS, "op9_jaccard": oracle.JACCARD} | {"op5_chat_format": oracle.CHAT_FORMAT, "op6_secrets": oracle.SECRETS, "op12_filter_audit": oracle.FILTER_AUDIT}
