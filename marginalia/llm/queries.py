@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import audit, chat, contamination, fingerprint, lm_scoring, mixing, oracle, quality, secrets, similarity, substrings, toxicity
+from . import audit, chat, contamination, fingerprint, language_id, lm_scoring, mixing, oracle, quality, secrets, similarity, substrings, toxicity
 from .labelled import remainder
 from .scratch import table
 
@@ -99,6 +99,19 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(audit.histogram(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document.
+
+    Null texts and texts without a letter are ``und`` with a score of 0; rows without doc_id are not held out, nor learned from;
+    rows without lang are predicted, not learned from.  Repeated rows stay; long texts are read whole; an empty table gives no rows.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    model = language_id.fit(docs, F.coalesce(remainder("doc_id", 4) != 2, F.lit(False)))
+    named, c = language_id.annotate(docs.select("doc_id", "text"), model)
+    return named.select("doc_id", held_out.alias("held_out"), F.col(f"{c}.lang").alias("lang_pred"), F.col(f"{c}.score").alias("score"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_decontamination": op1_decontamination,
@@ -112,5 +125,6 @@ QUERIES = {
     "op9_jaccard": op9_jaccard,
     "op10_fingerprints": op10_fingerprints,
     "op12_filter_audit": op12_filter_audit,
+    "op13_language_id": op13_language_id,
 }
 ORACLE_SQL = {"op1_decontamination": oracle.DECONTAMINATION, "op8_substrings": oracle.SUBSTRINGS, "op9_jaccard": oracle.JACCARD} | {"op5_chat_format": oracle.CHAT_FORMAT, "op6_secrets": oracle.SECRETS, "op12_filter_audit": oracle.FILTER_AUDIT}

@@ -32,6 +32,8 @@ def _byte_class(separators: Sequence[tuple[int, int]]) -> np.ndarray:
 SPACED = _byte_class([(0x20, 0x20), (0x09, 0x0D)])
 #: ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``, meant for lower-cased texts
 ALNUM = _byte_class([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
+#: ASCII letters, and whatever is not ASCII
+LETTERS = _byte_class([(0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
