@@ -113,13 +113,13 @@ def annotate(docs: DataFrame, model: crf.Tagger, text: str = "text", spans: bool
             sums, many = np.zeros((len(texts), max(1, k))), np.zeros(len(texts), np.int64)
             runs: list[list] = [[] for _ in texts]
             done = [0] * len(texts)  # bytes of a text in earlier pieces
-            for owner, found, p in _labelled(tagger, [t if x else None for t, x in zip(texts, ok, strict=True)]):
+            for owner, found, p in _labelled(tagger, [t if x else None for t, x in zip(texts, ok, strict=True)]) if k else ():
                 np.add.at(sums, owner[found.doc_of()], p)
                 np.add.at(many, owner, found.counts)
                 if spans:
                     begin = 1
                     for piece, d in enumerate(owner):
-                        size = (len(found.buffer) - 2 if len(owner) == 1 else len(W.encode(texts[d])))
+                        size = len(found.buffer) - 2 if len(owner) == 1 else len(W.encode(texts[d]) if ok[d] else b"")
                         runs[d] += _spans(found, p, tagger.labels, piece, done[d] - begin)
                         done[d] += size
                         begin += size + 1
