@@ -73,10 +73,10 @@ def _pieces(raw: bytes) -> list[bytes]:
 
 def _labelled(model: crf.Tagger, texts: list[str | None]) -> Iterator[tuple[np.ndarray, W.Words, np.ndarray]]:
     """For some texts at a time: which text each piece is of, the words of the pieces, and P(label) of every word."""
-    for i, _, raw in W.chunks(texts, lower=True):
-        for held in [raw] if sum(map(len, raw)) <= PIECE_BYTES else [[p] for r in raw for p in _pieces(r)]:
+    for i, j, raw in W.chunks(texts, lower=True):
+        whole = sum(map(len, raw)) <= PIECE_BYTES
+        for owner, held in [(np.arange(i, j), raw)] if whole else [(np.array([d]), [p]) for d, r in enumerate(raw, i) for p in _pieces(r)]:
             found = W.split_words(held, W.LETTERS)
-            owner = i + np.arange(len(held)) if len(held) == len(raw) else np.full(len(held), i)
             yield owner, found, model.posteriors(found)
 
 
