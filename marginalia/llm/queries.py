@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import audit, chat, contamination, fingerprint, language_id, lm_scoring, mixing, oracle, quality, secrets, similarity, substrings, toxicity
+from . import audit, chat, contamination, fingerprint, language_id, lm_scoring, mixing, oracle, quality, secrets, similarity, spelling, substrings, toxicity
 from .labelled import remainder
 from .scratch import table
 
@@ -90,6 +90,16 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with their spelling variants.
+
+    Null texts have no words, a null doc_id is the empty string in the crc32, repeated rows count each, texts are read
+    whole, and ties between forms go to the least word.  An empty table gives no rows.
+    """
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), slips=97)
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters do to each source of documents, in all their orders.
 
@@ -124,6 +134,7 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_jaccard": op9_jaccard,
     "op10_fingerprints": op10_fingerprints,
+    "op11_spelling": op11_spelling,
     "op12_filter_audit": op12_filter_audit,
     "op13_language_id": op13_language_id,
 }
