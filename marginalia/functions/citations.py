@@ -7,6 +7,7 @@ such texts have always been read, and what results are compared with.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -18,16 +19,16 @@ from .roman import from_roman, lookup
 
 # The patterns of the families, in the order in which they are looked for.
 _KIND = r"(Prop(?:osition)?|Def(?:inition)?s?|Deff\.?|Ax(?:iom)?|Lemma|Post(?:ulate)?)"
-_FROM = r"(?:^|[S,(;])"
-EXPLICIT = r"\b(?:Pt\.?|Part)[S]*([ivx]+)\.?,?[S]*(?:" + _KIND + r"\.?[S]*)?([ivxlcdm]+)(?:,?[S]*Coroll?(?:ary)?\.?[S]*([ivxlcdm]+)?)?"
-QUALIFIED = _FROM + r"((?:i{1,3}|iv|v))\.[S]*" + _KIND + r"\.?[S]*([ivxlcdm]+)(?:\.[S]*Coroll?(?:ary)?\.?[S]*([ivxlcdm]+)?)?"
-PART_AND_NUMBER = _FROM + r"([ivx]+)\.[S]*([ivxlcdm]+)(?:\.[S]*Coroll?\.?[S]*([ivxlcdm]+)?)?"
-PART_AND_NUMBER_BUILD = _FROM + r"((?:i{1,3}|iv|v))\.[S]*([ivxlcdm]+)(?:\.[S]*Coroll?(?:ary)?\.?[S]*([ivxlcdm]+)?)?"
-PROPOSITION = _FROM + r"(?:Prop(?:osition)?\.?)[S]*([ivxlcdm]+)(?:,?[S]*Coroll?(?:ary)?\.?[S]*([ivxlcdm]+)?)?"
-DEFINITION = _FROM + r"(?:Def(?:inition)?s?|Deff\.?)\.?[S]*([ivxlcdm]+)(?:[S]*(?:and|,)[S]*([ivxlcdm]+))?"
-AXIOM = _FROM + r"(?:Ax(?:iom)?)\.?[S]*([ivxlcdm]+)(?:[S]*(?:and|,)[S]*([ivxlcdm]+))?"
-LEMMA = _FROM + r"Lemma[S]+([ivxlcdm]+)"
-POSTULATE = _FROM + r"(?:Post(?:ulate)?)\.?[S]*([ivxlcdm]+)"
+_FROM = r"(?:^|[\s,(;])"
+EXPLICIT = r"\b(?:Pt\.?|Part)\s*([ivx]+)\.?,?\s*(?:" + _KIND + r"\.?\s*)?([ivxlcdm]+)(?:,?\s*Coroll?(?:ary)?\.?\s*([ivxlcdm]+)?)?"
+QUALIFIED = _FROM + r"((?:i{1,3}|iv|v))\.\s*" + _KIND + r"\.?\s*([ivxlcdm]+)(?:\.\s*Coroll?(?:ary)?\.?\s*([ivxlcdm]+)?)?"
+PART_AND_NUMBER = _FROM + r"([ivx]+)\.\s*([ivxlcdm]+)(?:\.\s*Coroll?\.?\s*([ivxlcdm]+)?)?"
+PART_AND_NUMBER_BUILD = _FROM + r"((?:i{1,3}|iv|v))\.\s*([ivxlcdm]+)(?:\.\s*Coroll?(?:ary)?\.?\s*([ivxlcdm]+)?)?"
+PROPOSITION = _FROM + r"(?:Prop(?:osition)?\.?)\s*([ivxlcdm]+)(?:,?\s*Coroll?(?:ary)?\.?\s*([ivxlcdm]+)?)?"
+DEFINITION = _FROM + r"(?:Def(?:inition)?s?|Deff\.?)\.?\s*([ivxlcdm]+)(?:\s*(?:and|,)\s*([ivxlcdm]+))?"
+AXIOM = _FROM + r"(?:Ax(?:iom)?)\.?\s*([ivxlcdm]+)(?:\s*(?:and|,)\s*([ivxlcdm]+))?"
+LEMMA = _FROM + r"Lemma\s+([ivxlcdm]+)"
+POSTULATE = _FROM + r"(?:Post(?:ulate)?)\.?\s*([ivxlcdm]+)"
 
 
 @dataclass(frozen=True)
@@ -59,7 +60,8 @@ def families(build: bool) -> list[Family]:
 
 
 def java_pattern(pattern: str) -> str:
-    return "(?i)" + pattern.replace("[S,(;]", f"[{SPACES},(;]").replace("[S]", f"[{SPACES}]")
+    """The pattern as Java reads it, where \\s stands for ASCII white space only."""
+    return "(?i)" + re.sub(r"(\[?)\\s", lambda m: f"[{SPACES}" if m[1] else f"[{SPACES}]", pattern)
 
 
 def kind_of_token(token: Column) -> Column:

@@ -16,13 +16,10 @@ from marginalia.functions import labels as L
 from marginalia.functions.roman import lookup, to_roman
 
 # What a paragraph's beginning tells.
-_STRUCTURE = r"DEFINITIONES(?: AFFECTUUM)?|AFFECTUUM DEFINITIONES|AXIOMATA|AXIOMA(?:\s+[IVXLCDM]+)?|POSTULATA|PROPOSITIO\s+[IVXLCDM]+|LEMMA\s+[IVXLCDM]+"
-_INNER = r"COROLLARIUM(?:\s+[IVXLCDM]+)?|SCHOLIUM(?:\s+[IVXLCDM]+)?|EXPLICATIO|APPENDIX|CAPUT\s+[IVXLCDM]+|AFFECTUUM GENERALIS DEFINITIO|[IVXLCDM]+\."
-_KNOWN = r"DEFINITIONES(?: AFFECTUUM)?|AFFECTUUM DEFINITIONES|AXIOMATA|AXIOMA|POSTULATA|PR(?:AE|Æ|E)FATIO|PROPOSITIO|LEMMA|DEMONSTRATIO|ALITER|COROLLARIUM|SCHOLIUM|EXPLICATIO|APPENDIX|AFFECTUUM GENERALIS DEFINITIO"
 MARKS = {
-    "boundary": rf"(?i)^({_STRUCTURE}|DEMONSTRATIO|ALITER|{_INNER})",
-    "boundary_but_aliter": rf"(?i)^({_STRUCTURE}|DEMONSTRATIO|{_INNER})",
-    "structure": rf"(?i)^({_STRUCTURE}|APPENDIX|AFFECTUUM GENERALIS DEFINITIO)(?:\b|:)",
+    "boundary": r"(?i)^(DEFINITIONES(?: AFFECTUUM)?|AFFECTUUM DEFINITIONES|AXIOMATA|AXIOMA(?:\s+[IVXLCDM]+)?|POSTULATA|PROPOSITIO\s+[IVXLCDM]+|LEMMA\s+[IVXLCDM]+|DEMONSTRATIO|ALITER|COROLLARIUM(?:\s+[IVXLCDM]+)?|SCHOLIUM(?:\s+[IVXLCDM]+)?|EXPLICATIO|APPENDIX|CAPUT\s+[IVXLCDM]+|AFFECTUUM GENERALIS DEFINITIO|[IVXLCDM]+\.)",
+    "boundary_but_aliter": r"(?i)^(DEFINITIONES(?: AFFECTUUM)?|AFFECTUUM DEFINITIONES|AXIOMATA|AXIOMA(?:\s+[IVXLCDM]+)?|POSTULATA|PROPOSITIO\s+[IVXLCDM]+|LEMMA\s+[IVXLCDM]+|DEMONSTRATIO|COROLLARIUM(?:\s+[IVXLCDM]+)?|SCHOLIUM(?:\s+[IVXLCDM]+)?|EXPLICATIO|APPENDIX|CAPUT\s+[IVXLCDM]+|AFFECTUUM GENERALIS DEFINITIO|[IVXLCDM]+\.)",
+    "structure": r"(?i)^(DEFINITIONES(?: AFFECTUUM)?|AFFECTUUM DEFINITIONES|AXIOMATA|AXIOMA(?:\s+[IVXLCDM]+)?|POSTULATA|PROPOSITIO\s+[IVXLCDM]+|LEMMA\s+[IVXLCDM]+|APPENDIX|AFFECTUUM GENERALIS DEFINITIO)(?:\b|:)",
     "caput": r"(?i)^CAPUT\s+[IVXLCDM]+\s*:?\s*",
     "heading preface": r"(?i)^PR(?:AE|Æ|E)FATIO$",
     "heading definitions": r"(?i)^DEFINITIONES$",
@@ -38,7 +35,7 @@ MARKS = {
     "other definition": r"(?i)^DEFINITIO\b",
     "part": r"(?i)^PARS\b",
     "capitals": r"^[A-ZÆŒ\s.;:'-]+$",
-    "known": rf"(?i)^({_KNOWN})\b",
+    "known": r"(?i)^(DEFINITIONES(?: AFFECTUUM)?|AFFECTUUM DEFINITIONES|AXIOMATA|AXIOMA|POSTULATA|PR(?:AE|Æ|E)FATIO|PROPOSITIO|LEMMA|DEMONSTRATIO|ALITER|COROLLARIUM|SCHOLIUM|EXPLICATIO|APPENDIX|AFFECTUUM GENERALIS DEFINITIO)\b",
 }
 # What begins a passage; the last group is its text.
 LABELS = {

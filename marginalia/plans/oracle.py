@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from marginalia.functions import html as H
 from marginalia.functions import vocabulary as V
 from marginalia.functions.citations import Family, families
@@ -88,7 +90,7 @@ _TEXTS = f"""(SELECT DISTINCT upper(part) || '.prop.' || n AS id, {_SENTENCE} AS
 
 def _pattern(p: str) -> str:
     spaces = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
-    return _quoted(p.replace("[S,(;]", f"[{spaces},(;]").replace("[S]", f"[{spaces}]"))
+    return _quoted(re.sub(r"(\[?)\\s", lambda m: f"[{spaces}" if m[1] else f"[{spaces}]", p))
 
 
 def _family(rank: int, f: Family, build: bool) -> str:

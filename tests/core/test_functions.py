@@ -25,10 +25,9 @@ def test_roman_round_trip(spark):
 
 
 def test_references(spark):
-    text = "This is clear from (II. ix. Coroll.) and (II. xi.), see Pt. i., Prop. xxxvi."
-    assert {"II.prop.9", "II.prop.11", "I.prop.36"} <= set(found(spark, text, "II.prop.38.proof"))
-    text = "by Def. ii and iii, Ax. i, Lemma iv, and Post. i."
-    assert {"II.def.2", "II.def.3", "II.ax.1", "II.lemma.4", "II.post.1"} <= set(found(spark, text, "II.prop.1.proof"))
+    assert found(spark, "Walls fall (III. xii.) where roots are (III. xii. Coroll. iii).", "III.prop.40") == ["III.prop.12", "III.prop.12.corollary3"]
+    assert found(spark, "Rain comes first, Part iv, Prop. xx, Coroll. ii", "III.prop.40") == ["IV.prop.20.corollary2", "III.prop.20.corollary2"]
+    assert found(spark, "Post. vi; Lemma ix; Ax. iii and iv; Deff. x, xi", "V.prop.7.note") == ["V.def.10", "V.def.11", "V.ax.3", "V.ax.4", "V.lemma.9", "V.post.6"]
     assert found(spark, "(Prop. v, Coroll. ii)", "III.prop.9") == ["III.prop.5.corollary2"]
     assert found(spark, "(Prop. v)", "III.prop.5") == [] and found(spark, None, "III.prop.5") == []
 
@@ -41,11 +40,13 @@ def test_reference_patterns_without_right_boundary(spark):
 
 
 def test_passage_triples(spark):
-    rows = [("IV.prop.18", "proposition", "see Prop. xvii and Pt. v Prop. xlii", None), ("IV.prop.17", "proposition", "x", None), ("IV.prop.17.proof", "proof", "x", "IV.prop.17"), ("IV.prop.17.note", "note", "x", "IV.prop.17"), ("IV.prop.17.corollary", "corollary", "x", "IV.prop.17")]
-    p = spark.createDataFrame(rows, "id string, type string, text string, parent_id string")
+    inside = [(f"I.lemma.6.{kind}", kind, "Trees age.", "I.lemma.6") for kind in ("proof", "note", "corollary")]
+    p = spark.createDataFrame([("I.lemma.6", "lemma", "Roots hold (Def. iv), not Lemma xxx.", None), ("I.def.4", "definition", "Part iii, Prop. ii is elsewhere.", None), *inside], "id string, type string, text string, parent_id string")
     got = {tuple(r)[:3] for r in T.passage_triples(p).collect()}
-    assert ("IV.prop.18", "cites", "IV.prop.17") in got and not any("V.prop.42" == o for _, _, o in got)
-    assert {("IV.prop.17", "provedBy", "IV.prop.17.proof"), ("IV.prop.17", "hasNote", "IV.prop.17.note"), ("IV.prop.17", "hasCorollary", "IV.prop.17.corollary"), ("IV.prop.17.proof", "partOf", "IV.prop.17"), ("IV.prop.18", "type", "Proposition")} <= got
+    assert {x for x in got if x[1] == "cites"} == {("I.lemma.6", "cites", "I.def.4")}  # of what it refers to, what is there
+    relation = {"proof": "provedBy", "note": "hasNote", "corollary": "hasCorollary"}
+    assert {(i, "partOf", parent) for i, _, _, parent in inside} | {(parent, relation[kind], i) for i, kind, _, parent in inside} <= got
+    assert ("I.def.4", "type", "Definition") in got
 
 
 def labels():
