@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import vocabulary as V
+from marginalia.sources.triples import RULES
 from .lineage import settle
+from .rules import derive
 from .triples import invert_relation, match, merge, rename_relation
 
 
@@ -61,15 +63,12 @@ def two_hops(edges: DataFrame) -> DataFrame:
     return a.join(b, "mid").select("src", "dst").distinct()
 
 
-def apply_rules(explicit: DataFrame) -> DataFrame:
-    """What the written rules infer: as infer(), but only dependencies over two steps are added.
+def apply_rules(explicit: DataFrame, rules: str = ". ".join(RULES)) -> DataFrame:
+    """What rules in N3 infer; by default those that travel with a written graph.
 
-    Two steps of citations are two steps of dependencies, so that the last rule adds nothing.
+    These give what infer() gives, but only dependencies over two steps are added.
     """
-    depends = merge(rename_relation(explicit, "cites", "dependsUpon"), rename_relation(explicit, "provedBy", "dependsUpon"))
-    turned = merge(invert_relation(explicit, "hasCorollary", "derivedFrom"), invert_relation(explicit, "hasNote", "explainsElement"))
-    far = two_hops(edges_of(depends, "dependsUpon")).select(F.col("src").alias("s"), F.lit("transitivelyDependsOn").alias("p"), F.col("dst").alias("o"), F.lit("iri").alias("o_kind"))
-    return merge(depends, turned, far)
+    return derive(explicit, rules)
 
 
 def walk(edges: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
