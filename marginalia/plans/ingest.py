@@ -14,6 +14,7 @@ from marginalia.operators import triples as T
 from marginalia.operators.lineage import shared_folder
 from marginalia.sources import passages as P
 from marginalia.sources import texts as X
+from marginalia.sources.n3 import read_n3
 from marginalia.sources.triples import NAMESPACE, read_triples, write_triples
 
 from .reading import load_library
@@ -46,6 +47,24 @@ def n3_abbreviated(spark: SparkSession, sf: str) -> DataFrame:
     return read_triples(spark, path)
 
 
+def n3_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as N3 of all kinds: prefixes that mean something else in every other file, several statements a line, long
+    strings with anything in them, blank nodes with and without names, and rules over several lines."""
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source", F.floor(F.col("doc_id") / FILE_ROWS).cast("int").alias("file"))
+    key = F.col("doc_id").cast("string")
+    escaped = F.replace(F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\r"), F.lit("\\r"))
+    item = F.concat(
+        *[F.lit(":D."), key, F.lit(' a :Passage ; :text """'), escaped, F.lit('"""@x-any . [ :of :D.'), key, F.lit(' ; :lang "'), "lang", F.lit('"^^:code ] . _:d'), key, F.lit(" :in :S."), "source"],
+        F.lit(" .\n{ ?x :of ?y . # a rule, not a fact .\n  ?y :text ?z .\n}\n=> { ?x :has ?z } ."),
+    )
+    head = F.when(F.col("file") % 2 == 0, "@prefix : <http://example.org/even#> .").otherwise("@prefix : <http://example.org/odd#odd.> .")
+    files = d.select("file", "doc_id", item.alias("item")).groupBy("file").agg(F.concat(F.first(head), F.lit("\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "item"))), lambda x: x["item"]), "\n")).alias("value"))
+    path = _new(spark, "n3")
+    files.select("value", "file").write.partitionBy("file").text(path)
+    blank = F.when(F.col("s").startswith("_:"), "[]").otherwise(F.col("s"))
+    return read_n3(spark, path).groupBy(blank.alias("s"), "p", F.md5("o").alias("digest"), "o_kind").agg(F.count("*").alias("n"))
+
+
 def iri_names(spark: SparkSession, sf: str) -> DataFrame:
     t = triples(spark, sf, "parents")
     full = L.iri(F.col("s"), NAMESPACE)
@@ -179,7 +198,7 @@ def aligned_in_order(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        [n3_written, n3_abbreviated, iri_names, ordered_xml, explorer_outline, marked_appendix, explicit_graph, supplemental_graph, inferred_graph, parallel_json, latin1_pages, library_store]
+        [n3_written, n3_abbreviated, n3_whole, iri_names, ordered_xml, explorer_outline, marked_appendix, explicit_graph, supplemental_graph, inferred_graph, parallel_json, latin1_pages, library_store]
         + [children_shown, fixed_decimals, humanised_headings, public_paths, aligned_in_order]
     )
 }

@@ -37,6 +37,10 @@ _LIBRARY = f"""explicit AS (SELECT s, p, o FROM {_t('places', 'classes')} UNION
 
 ORACLE_SQL = {
     "n3_written": f"SELECT * FROM {_t('parents', 'classes', 'places')}",
+    "n3_whole": """WITH d AS (SELECT *, CASE WHEN doc_id // 500 % 2 = 0 THEN '' ELSE 'odd.' END AS x FROM documents), t AS (
+      SELECT x || 'D.' || doc_id AS s, 'type' AS p, x || 'Passage' AS o, 'iri' AS o_kind FROM d UNION ALL SELECT x || 'D.' || doc_id, x || 'text', coalesce(text, ''), 'literal' FROM d
+      UNION ALL SELECT '[]', x || 'of', x || 'D.' || doc_id, 'iri' FROM d UNION ALL SELECT '[]', x || 'lang', lang, 'literal' FROM d UNION ALL SELECT '[]', x || 'in', x || 'S.' || source, 'iri' FROM d)
+      SELECT s, p, md5(o) AS digest, o_kind, count(*) AS n FROM t GROUP BY ALL""",
     "n3_abbreviated": """SELECT DISTINCT * FROM (SELECT 'P.' || p_partkey AS s, 'type' AS p, 'Proposition' AS o, 'iri' AS o_kind FROM part UNION ALL SELECT 'P.' || p_partkey, 'label', replace(p_name, ' ', ' "'), 'literal' FROM part
       UNION ALL SELECT 'P.' || p_partkey, 'cites', 'B.' || regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g'), 'iri' FROM part UNION ALL SELECT 'P.' || p_partkey, 'cites', 'S.' || p_size, 'iri' FROM part UNION ALL SELECT 'P.' || p_partkey, 'number', CAST(p_size AS VARCHAR), 'literal' FROM part)""",
     "iri_names": f"SELECT s, '{NAMESPACE}' || s AS iri, s AS name, o FROM {_t('parents')}",

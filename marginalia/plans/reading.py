@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from marginalia.operators import analysis, corpus, graph, reader
 from marginalia.operators.lineage import settle
 from marginalia.operators.triples import backfill, entry_triples, merge, passage_triples
+from marginalia.sources.n3 import read_n3
 from marginalia.sources.passages import entries_of, markup, read_passages
 from marginalia.sources.texts import read_parallel
-from marginalia.sources.triples import COLUMNS, read_triples, vocabulary_triples
+from marginalia.sources.triples import COLUMNS, vocabulary_triples
 
 
 @dataclass
@@ -46,7 +47,7 @@ def load_library(spark: SparkSession, xml: str | list[str], n3: list[str], paral
         passages = passages.filter(F.col("part_number") == part)
     if parallel:
         passages = reader.merge_parallel(passages, read_parallel(spark, parallel))
-    return build_library(passages, *[read_triples(spark, x) for x in n3])
+    return build_library(passages, *[read_n3(spark, x) for x in n3])
 
 
 def build_corpus(texts: DataFrame, key: str = "path", text: str = "value", end: str | None = None, editorial: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
