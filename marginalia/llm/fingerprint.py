@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -25,6 +25,8 @@ from . import words as W
 from .scratch import settle
 
 BUCKETS = 256
+#: Code points of a text by which rows of one key are dealt to partitions.
+RANGED_CHARS = 64
 #: Offsets of the bytes of a triplet in the window.
 TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 #: Differences from here on count as no likeness at all.
@@ -154,8 +156,9 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text")
     After the last row comes the first.  Null texts are empty; null keys come first; rows of the same
     key are ordered by text.  Other columns are dropped.  An empty table gives an empty result.
 
-    The table is range-partitioned once and each task streams its rows in order; only the first
-    and last row of each partition are matched up afterwards, so no task sees more than its part.
+    The table is range-partitioned once, by key and the beginning of the text, and each task streams its rows in order; the last
+    row of each partition is joined with the first of the next one afterwards, so no task sees more than its part.  A window in one
+    task has the numbers of the partitions alone.  Rows that are equal in key and in RANGED_CHARS of text stay in one partition, as a stream.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType
@@ -163,19 +166,21 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text")
     carried = T.StructType([*result.fields, T.StructField("part", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("last", T.BooleanType())])
     arrow_carried, arrow_result = to_arrow_schema(carried), to_arrow_schema(result)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
+    ordered = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartitionByRange(parts, "id", F.substring("text", 1, RANGED_CHARS)).sortWithinPartitions("id", "text")
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         return _with_following(rows, arrow_carried, ends=True)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = sorted(((r["part"], r["last"], (r["id"], r["text"])) for b in batches for r in b.to_pylist()), key=lambda x: x[:2])
-        starts, ends = [x[2] for x in held if not x[1]], [x[2] for x in held if x[1]]
-        if ends:
-            made = _fingerprint_pairs([e[0] for e in ends], [e[1] for e in ends], [s[1] for s in starts[1:] + starts[:1]])
+        for b in batches:
+            made = _fingerprint_pairs(*[b.column(k).to_pylist() for k in range(3)])
             yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in arrow_result], schema=arrow_result)
 
     done = settle(ordered.mapInArrow(within, carried), "fingerprints")
-    edges = done.filter(F.col("last").isNotNull()).select("id", "part", "text", "last").coalesce(1).mapInArrow(across, result)
+    # a partition's last row goes with the first of the next partition that has rows, the very last with the very first
+    firsts = done.filter("NOT last").select(F.col("part").alias("after"), F.col("text").alias("following"))
+    numbers = firsts.select(F.col("after").alias("part"))
+    after = numbers.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy(F.lit(0)))).alias("after"))
+    edges = done.filter("last").select("id", "part", "text").join(after, "part").join(firsts, "after").select("id", "text", "following").mapInArrow(across, result)
     return done.filter(F.col("last").isNull()).select(*result.names).unionByName(edges).withColumnRenamed("id", key)

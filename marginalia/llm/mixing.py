@@ -29,6 +29,8 @@ BLOCK_ROWS = 250_000
 MAX_REPEATS = 2.0
 #: Powers that one aggregate over the sources tries.
 TRIED = 32
+#: Equal rows that one task makes from their number.
+COPIES = 10_000
 
 
 def weights(tokens: dict, power: float) -> dict:
@@ -76,6 +78,8 @@ def chosen_power(least: int, most: int, sums: Callable[[list[float]], list[tuple
     def even_enough(powers: list[float]) -> list[bool]:
         return [math.log(z) - p * s / z <= target_entropy for p, (z, s) in zip(powers, sums(powers), strict=True)]
 
+    if not in_limit([1.0])[0]:  # at a power of 1 all sources repeat alike, and less is not to be had
+        raise ValueError(f"{budget} tokens are more than {max_repeats:g} passes over all sources")
     power = max(_least_power(in_limit), 0.0 if target_entropy is None else _least_power(even_enough))
     return power, factors([power])[0]
 
@@ -117,30 +121,42 @@ def _count_words(texts: list) -> dict[str, list]:
     return {"n": counts}
 
 
+def _each_copy(slim: DataFrame) -> DataFrame:
+    """A row for each of the ``copies`` of a row, numbered; very many copies are made in many tasks."""
+    runs = F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / COPIES).cast("int")))
+    many = slim.filter(F.col("copies") > COPIES).withColumn("run", runs).repartition("key", "source", "mark", "run")
+    some = slim.filter(F.col("copies") <= COPIES).withColumn("run", F.lit(0))
+    first = F.col("run").cast("long") * COPIES
+    each = F.explode(F.sequence(first, F.least(first + COPIES, F.col("copies")) - 1))
+    return some.unionByName(many).select("key", "source", "mark", "n_tokens", each.alias("copy"))
+
+
 def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", max_repeats: float = MAX_REPEATS, target_entropy: float | None = None, budget: int | None = None, seed: int = 11) -> DataFrame:
     """One row a draw: the columns key and source, n_tokens, epoch, block and start_token (in the source's stream).
 
     Null sources are a source of their own; null texts have no tokens.  A source without any tokens
-    is drawn once.  Rows are drawn one by one, so repeated rows stay and null keys are drawn too.  A very
+    is drawn once.  Rows are drawn one by one, so repeated rows stay, each in a block of its own choice, and null keys are drawn too.
+    A budget of more than ``max_repeats`` passes over everything raises ValueError; an entropy below that of the sources' own shares isn't reached.  A very
     long text is drawn whole and counts with all its tokens.  Only sums over all sources reach the driver.  Blocks are by
     hash, their number follows the source's tokens and rows up to MAX_BLOCKS, so running sums over blocks stay
     bounded.  Other columns are dropped.  An empty table gives an empty result.
     """
     counted = add_struct(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text")), ["text"], "words", T.StructType([T.StructField("n", T.LongType())]), lambda: _count_words)
-    # rows that are equal in key and source are told apart by their text
-    slim = settle(counted.select("key", "source", F.xxhash64("text").alias("mark"), F.col("words.n").alias("n_tokens")), "mixing")
-    totals = settle(slim.groupBy("source").agg(F.sum("n_tokens").alias("total"), F.count("*").alias("rows")), "totals")
+    # rows that are equal in key and source are told apart by their text; rows that are equal in all are one row with their number
+    told = counted.select("key", "source", F.xxhash64("text").alias("mark"), F.col("words.n").alias("n_tokens"))
+    slim = settle(told.groupBy("key", "source", "mark", "n_tokens").agg(F.count("*").alias("copies")), "mixing")
+    totals = settle(slim.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("total"), F.sum("copies").alias("rows")), "totals")
     # settled: its size is known, so Spark broadcasts it only if it is small
     plan_table = settle(planned(totals, max_repeats, target_entropy, budget), "plan").withColumnRenamed("source", "plan_source")
 
-    placed = slim.join(plan_table, F.col("source").eqNullSafe(F.col("plan_source")))
+    placed = _each_copy(slim).join(plan_table, F.col("source").eqNullSafe(F.col("plan_source")))
     placed = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "key", "mark"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "key", "mark", "copy"), F.col("blocks")).cast("int"))
     sums = placed.groupBy("source", "epoch", "block").agg(F.sum("n_tokens").alias("held"))
     over = Window.partitionBy("source", "epoch").orderBy(F.xxhash64(F.lit(seed), "block", "epoch"), "block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("source").alias("s"), F.col("epoch").alias("e"), F.col("block").alias("b"), F.coalesce(F.sum("held").over(over), F.lit(0)).alias("block_start"))
     found = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("epoch") == F.col("e")) & (F.col("block") == F.col("b")))
-    inside = Window.partitionBy("source", "epoch", "block").orderBy(F.xxhash64(F.lit(seed + 1), "key", "mark", "epoch"), "key", "mark").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "epoch", "block").orderBy(F.xxhash64(F.lit(seed + 1), "key", "mark", "epoch", "copy"), "key", "mark", "copy").rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("start", F.col("block_start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)) + F.col("epoch") * F.col("total"))
     # a text without tokens is drawn too where it stands at the very end of what is drawn
     drawn = (F.col("start") < F.col("drawn")) | (F.col("n_tokens") == 0) & (F.col("start") <= F.col("drawn"))

@@ -41,3 +41,18 @@ def test_hex_round_trip_and_order_of_likeness():
     assert (P.from_hex(P.as_hex(codes)) == codes).all()
     changed = P.digests([P.edited(t, texts[0]).encode() for t in texts])
     assert np.all(P.likeness(codes, changed)[1:] > P.likeness(codes, np.roll(codes, 1, 0))[1:])
+
+
+def test_rows_of_one_key_are_dealt_by_their_text(spark):
+    """All ids null, and a third of the rows equal: partitions are still many, and their ends meet in order."""
+    rows = [(None, f"{k % 7}{k} text") for k in range(200)] + [(None, "copy")] * 100
+    df = spark.createDataFrame([(*r, "?") for r in rows], DOCS)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("7", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert sorted((tuple(r) for r in P.compare_with_next(df).collect()), key=str) == expected(rows)
+        ranged = df.repartitionByRange(8, "doc_id", df.text.substr(1, P.RANGED_CHARS)).rdd.glom().map(len).collect()
+        assert max(ranged) < 200
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -70,3 +70,26 @@ def test_rows_without_tokens_are_spread_over_blocks(spark, monkeypatch):
     rows = [(i, None, "empty", "") for i in range(200)] + [(900, "w " * 300_000, "long", "")]
     got = M.mix(spark.createDataFrame(rows, DOCS)).collect()
     assert len(got) == 201 and len({r["block"] for r in got if r["source"] == "empty"}) > 5
+
+
+def test_a_budget_beyond_the_repeats_is_an_error():
+    with pytest.raises(ValueError, match="passes"):
+        M.budgets({"a": 100, "b": 10}, max_repeats=2.0, budget=1000)
+    power, draw = M.budgets({"a": 100, "b": 10}, max_repeats=2.0, budget=220)
+    assert draw == {"a": 200, "b": 20} and power == pytest.approx(1.0, abs=1e-6)
+
+
+def test_equal_rows_are_spread_over_blocks(spark, monkeypatch):
+    """Half of all rows are equal: they are in as many blocks as the others, also where they are made in runs."""
+    monkeypatch.setattr(M, "BLOCK_TOKENS", 100)
+    monkeypatch.setattr(M, "COPIES", 70)
+    rows = [(7, "the same text", "a", "")] * 1000 + [(i, "w " * 3, "a", "") for i in range(1000, 2000)] + [(None, "x", "b", "")] * 150
+    got = M.mix(spark.createDataFrame(rows, DOCS), budget=6150, max_repeats=1.0).collect()
+    assert len(got) == 2150 and sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted((r[0] is None, r[0] or 0) for r in rows)
+    held = defaultdict(int)
+    for r in got:
+        held[r["source"], r["block"]] += 1
+    own = sorted(n for (s, _), n in held.items() if s == "a")
+    assert len(own) == 60 and own[-1] <= 2 * own[len(own) // 2]
+    streams = sorted((r["start_token"], r["n_tokens"]) for r in got if r["source"] == "a")
+    assert all(a + n == b for (a, n), (b, _) in zip(streams, streams[1:]))
