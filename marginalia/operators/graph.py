@@ -18,10 +18,6 @@ def edges_of(triples: DataFrame, *relations: str) -> DataFrame:
     return match(triples, p=relations).filter("o_kind = 'iri'").select(F.col("s").alias("src"), F.col("o").alias("dst")).distinct()
 
 
-def reversed_edges(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-
-
 def distances(edges: DataFrame, limit: int | None = None, origins: DataFrame | None = None) -> DataFrame:
     """(origin, node, d): the least number of edges from each origin to each other node it reaches.
 
@@ -162,23 +158,3 @@ def weighted_edges(triples: DataFrame, weights: dict[str, float] = V.WEIGHTS) ->
     """(src, dst, weight): an edge for each weighted triple."""
     weight = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])[F.col("p")]
     return match(triples, p=list(weights)).select(F.col("s").alias("src"), F.col("o").alias("dst"), weight.alias("weight"))
-
-
-def _core(edges: DataFrame) -> DataFrame:
-    """Edges left when nodes that no edge enters, or none leaves, are taken away until there are none."""
-    now, many = settle(edges.select("src", "dst").filter("src <> dst").distinct(), "edges"), None
-    while many != (left := now.count()) and left:
-        many = left
-        entered, left_by = now.select(F.col("dst").alias("src")).distinct(), now.select(F.col("src").alias("dst")).distinct()
-        now = settle(now.join(entered, "src", "left_semi").join(left_by, "dst", "left_semi").select("src", "dst"), "edges")
-    return now
-
-
-def on_cycles(edges: DataFrame) -> DataFrame:
-    """(id): nodes that lead back to themselves.  Only what lies between cycles is walked, by bits."""
-    core = _core(edges)
-    walked, origins = walk(core)
-    back = walked.join(core, F.col("node") == F.col("src")).select(F.col("dst").alias("id"), "block", "bits")
-    around = origins.join(back, ["id", "block"]).filter("bits & shiftleft(1L, bit) <> 0").select("id")
-    own = edges.filter("src = dst").select(F.col("src").alias("id"))
-    return around.union(own).distinct()

@@ -11,7 +11,7 @@ from marginalia.functions import html as H
 from marginalia.functions import labels as L
 from marginalia.functions.citations import references
 from marginalia.functions.roman import from_roman, to_roman
-from marginalia.operators import alignment, analysis, corpus, graph, reader
+from marginalia.operators import alignment, analysis, corpus, cycles, graph, reader
 from marginalia.operators import triples as T
 from marginalia.operators.corpus import islands
 from marginalia.operators.lineage import shared_folder
@@ -141,7 +141,7 @@ def trace_depth_first(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cyclic_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.on_cycles(_places(spark, sf))
+    return cycles.on_cycles(_places(spark, sf))
 
 
 def roman_numerals(spark: SparkSession, sf: str) -> DataFrame:

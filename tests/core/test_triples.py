@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from marginalia.operators import analysis, graph
+from marginalia.operators import analysis, cycles, graph
 from marginalia.operators import triples as T
 from marginalia.sources import triples as S
 from marginalia.streaming.triples import append_triples, stream_triples
@@ -88,7 +88,7 @@ def test_inference(spark):
 def test_cycle(spark):
     e = graph.edges_of(store(spark, ("1", "x", "2"), ("2", "x", "3"), ("3", "x", "1"), ("4", "x", "4")), "x")
     assert rows(graph.closure(e)) == {("1", "3"), ("2", "1"), ("3", "2")}
-    assert rows(graph.on_cycles(e)) == {("1",), ("2",), ("3",), ("4",)}
+    assert rows(cycles.on_cycles(e)) == {("1",), ("2",), ("3",), ("4",)}
     assert ("1", "1") not in rows(graph.two_hops(e)) and ("4", "4") in rows(graph.two_hops(e))
 
 
@@ -121,7 +121,7 @@ def test_walks_by_bits(spark, n, m, seed):
     assert rows(graph.dependency_depth(e, 3)) == set(depth.items())
     assert rows(graph.influence(e, 3)) == set(influence.items())
     around = {(a,) for a, b in plain if (b, a) in far} | {(a,) for a, b in pairs if a == b}
-    assert rows(graph.on_cycles(e)) == around
+    assert rows(cycles.on_cycles(e)) == around
 
 def brute_trace(cites, part_of, start, limit):
     out, seen = [], set()
