@@ -19,7 +19,11 @@ def _own_columns(docs: DataFrame) -> list:
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go.  It learns from the labelled rows among its input."""
+    """Documents that the classifier rejects go.  It learns from the labelled rows among its input.
+
+    Null and empty texts are judged as texts without words; rows without doc_id are judged, not learned from; repeated rows go or stay
+    together; texts are read whole.  Without labels all documents stay.
+    """
     usable = F.coalesce(remainder("doc_id", 3) != 1, F.lit(False))
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels"), usable))
 
@@ -34,12 +38,18 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark contaminates go."""
+    """Documents that the benchmark contaminates go.
+
+    Null and empty texts are never contaminated, and stay; repeated rows and null ids are judged row by row; texts are searched whole.
+    """
     return contamination.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced; n_chars follows."""
+    """Secrets in the texts are replaced; n_chars, a column of documents, follows.
+
+    Null texts stay null and have a null n_chars; no row goes, whatever its id, and very long texts are redacted whole.
+    """
     found, spans = secrets.find_secrets(docs)
     clean = found.withColumn("text", secrets.redact(F.col("text"), F.col(spans))).drop(spans)
     kind = docs.schema["n_chars"].dataType
@@ -47,7 +57,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The draws of the training mix: which document comes where in its source's stream."""
+    """The draws of the training mix: which document comes where in its source's stream.
+
+    Null sources are a source; null and empty texts have no tokens; equal rows are drawn each; an empty table gives no draws.
+    """
     return mixing.mix(docs.select("doc_id", "text", "source"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import settle
 
@@ -29,8 +30,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, usable: Co
     held = chosen.orderBy(order, key).limit(rows).collect()
     if not held:
         return []
-    kind = docs.schema[key].dataType.simpleString()
-    keys = docs.sparkSession.createDataFrame(sorted(map(tuple, held)), f"{key} {kind}, _label int")
+    kind = T.StructType([T.StructField(key, docs.schema[key].dataType)])
+    keys = docs.sparkSession.createDataFrame(sorted(map(tuple, held)), T.StructType([*kind.fields, T.StructField("_label", T.IntegerType())]))
     matched = docs.select(key, text).join(F.broadcast(keys), key)
     # at most ``rows`` rows: repeated documents meet in a partial aggregate, in whichever task reads them
     found = settle(matched.groupBy(key).agg(F.min(text).alias("text"), F.first("_label").alias("_label")), "sample")
@@ -42,5 +43,5 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, usable: Co
             left -= size
     if not fits:
         return []
-    some = found.join(F.broadcast(docs.sparkSession.createDataFrame(fits, f"{key} {kind}")), key).select(key, "text", "_label")
+    some = found.join(F.broadcast(docs.sparkSession.createDataFrame(fits, kind)), key).select(key, "text", "_label")
     return [(r[1], r[2]) for r in sorted(some.collect(), key=lambda r: r[0])]

@@ -13,6 +13,12 @@ from .scratch import table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents the benchmark contaminates, and by which items.
+
+    Null texts have no words and are hit by nothing; null doc_ids and repeated rows are judged row by row; long texts and long items are
+    searched whole (an item beyond 4 MB in overlapping pieces).  Ties between longest matches go to the least place.  Without documents no
+    rows; without benchmark nothing is contaminated.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found, c = contamination.annotate(docs, table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -28,6 +34,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The severity of every document, from labels of documents whose crc32 mod 3 is not 1.
+
+    Null and empty texts have the score of no words; rows without doc_id are not held out, nor learned from; repeated rows stay;
+    texts are read whole.  Without labels every grade is 0; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -37,10 +48,20 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log10 probability of every document under the base and under the model.
+
+    Null and empty texts are one end token; rows without doc_id are scored and learned from as the lm_scoring module says; repeated
+    rows count each; long texts are scored whole, in overlapping windows.  An empty table gives no rows.
+    """
     return lm_scoring.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, from labels of documents whose crc32 mod 3 is not 1.
+
+    Null and empty texts have the score of no words; rows without doc_id are not held out, nor learned from; repeated rows stay;
+    texts are read whole.  Without labels every score is 0.5; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
     model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -49,6 +70,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and conversation -1, formatted and read back.
+
+    Null texts and roles are empty; turns of one number are ordered by role and text, null turns come first; repeated turns stay; rows
+    without conv_id are one conversation.  Long texts are formatted whole.  An empty table leaves conversation -1.
+    """
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
@@ -67,6 +93,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets in every document, as spans of code points.
+
+    Null and empty texts have none; null doc_ids and repeated rows are searched row by row, long texts whole.  Spans that begin
+    together are in the order of the rules.  An empty table gives no rows.
+    """
     found, s = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter(s, lambda x: x["rank"] < len(secrets.BASE))
     count = lambda kind: F.size(F.filter(s, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -74,19 +105,39 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The draws of a mix of all sources.
+
+    Null sources are one source, null texts have no tokens and are drawn once a source at least; equal rows are drawn each; long texts
+    are drawn whole.  An empty table gives no rows.
+    """
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of passages that a document with a smaller doc_id has.
+
+    Null texts have no words; rows without doc_id keep theirs; rows of one doc_id don't remove each other's words; long texts are
+    read whole.  An empty table gives no rows.
+    """
     kept = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the least doc_id that links of near-duplicates lead to.
+
+    Null and empty texts are linked with nothing; rows that share a doc_id are linked each by its own text; null doc_ids name a
+    component only where it has no other; copies are linked through their set; long texts are read whole.  An empty table gives no rows.
+    """
     return similarity.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, that of its edited text, and its likeness to the next one's.
+
+    Null texts are empty; null doc_ids come first; rows of one doc_id are in the order of their texts; long texts are read whole.  A
+    single row is its own next one; an empty table gives no rows.
+    """
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

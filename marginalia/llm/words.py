@@ -145,9 +145,3 @@ def covered(n_words: int, starts: np.ndarray, lengths: np.ndarray | int) -> np.n
     np.add.at(delta, starts, 1)
     np.add.at(delta, starts + lengths, -1)
     return np.cumsum(delta[:-1]) > 0
-
-
-def span_starts(text: bytes) -> np.ndarray:
-    """Code point index of every byte of a UTF-8 text."""
-    b = np.frombuffer(text, np.uint8)
-    return np.cumsum((b & 0xC0) != 0x80) - 1

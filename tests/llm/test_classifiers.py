@@ -77,3 +77,10 @@ def test_clashing_column_and_very_long_text(spark):
     docs = spark.createDataFrame([(1, "grim " * 400_000, "mine"), (2, "", "mine")], "doc_id long, text string, toxicity string")
     scored, c = toxicity.annotate(docs, toxicity.SeverityModel.fit([("grim " + str(i), i % 2) for i in range(50)]))
     assert c == "_toxicity" and {r["toxicity"] for r in scored.collect()} == {"mine"}
+
+
+def test_sample_of_a_key_with_any_name(spark):
+    docs, labels = corpus(40)
+    d, lb = (spark.createDataFrame(rows, kind).withColumnRenamed("doc_id", "doc id") for rows, kind in ((docs, DOCS), (labels, LABELS)))
+    got = sample(d, lb, "quality", 10, F.lit(True), key="doc id")
+    assert len(got) == 10
