@@ -11,6 +11,7 @@ from marginalia.functions.roman import lookup
 
 from .graph import depth_of, influence_of, walk, weighted_edges
 from .lineage import settle
+from .ordered import paged
 from .triples import match
 
 
@@ -30,11 +31,21 @@ def relations(explicit: DataFrame, inferred: DataFrame, id_: object = None) -> D
 
 
 def grouped_relations(rows: DataFrame) -> DataFrame:
-    """(element_id, predicate, label, rank, relations): relations by predicate, direct ones first."""
+    """(element_id, predicate, label, rank, relations): relations by predicate, direct ones first.
+
+    All relations of a predicate are one array; relation_pages() has no row that grows with a hub.
+    """
     grouped = rows.groupBy("element_id", "predicate").agg(F.sort_array(F.collect_list(F.struct("subject", "object", "inferred"))).alias("relations"))
     return grouped.select("element_id", "predicate", L.relation_label(F.col("predicate")).alias("label"), L.relation_rank(F.col("predicate")).alias("rank"), "relations").orderBy("element_id", "rank", "label")
 
 
+def relation_pages(rows: DataFrame, size: int = 100) -> DataFrame:
+    """(element_id, place, page, rank, label, predicate, subject, object, inferred): the relations of a passage, direct ones first, in pages."""
+    labelled = rows.select("element_id", L.relation_rank(F.col("predicate")).alias("rank"), L.relation_label(F.col("predicate")).alias("label"), "predicate", "subject", "object", "inferred")
+    found = paged(labelled, ["element_id"], ["rank", "label", "predicate", "subject", "object", "inferred"], size)
+    return found.select("element_id", "place", "page", "rank", "label", "predicate", "subject", "object", "inferred")
+
+
 # Families of chains, the first of which counts where two tell the same.
 _FAMILIES = [("transitive_dependency", "transitivelyDependsOn", False), ("dependency", "dependsUpon", False), ("inverse_transitive_dependency", "transitivelyDependsOn", True), ("inverse_dependency", "dependsUpon", True)]
 

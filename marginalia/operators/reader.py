@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import labels as L
 
+from .ordered import paged, runs, scan
+
 _SEARCHED = ("text", "latin_text", "canonical_label", "heading", "id")
 
 
@@ -67,11 +69,36 @@ def section_summary(passages: DataFrame) -> DataFrame:
 
 
 def children_by_parent(passages: DataFrame) -> DataFrame:
-    """(parent_id, children): arrays in reading order."""
+    """(parent_id, children): arrays in reading order; child_pages() has no row that grows with a parent."""
     kept = F.struct("sort_index", "id", "type", "text")
     return passages.filter(~is_top_level()).groupBy("parent_id").agg(F.sort_array(F.collect_list(kept)).alias("children"))
 
 
+def child_pages(passages: DataFrame, size: int = 100) -> DataFrame:
+    """(parent_id, place, page, id, type, sort_index): passages inside others in reading order, in pages."""
+    inner = passages.filter(~is_top_level()).select("parent_id", "sort_index", "id", "type")
+    return paged(inner, ["parent_id"], ["sort_index", "id"], size).select("parent_id", "place", "page", "id", "type", "sort_index")
+
+
+def numbered_children(passages: DataFrame) -> DataFrame:
+    """(id, numbered_id): passages inside others, named by parent and type, and from the second of a type on by its count."""
+    inner = passages.filter(~is_top_level()).select("parent_id", "type", "sort_index", "id")
+    nth = scan(inner, ["parent_id", "type"], ["sort_index", "id"], counts={"nth": F.lit(True)})
+    return nth.select("id", F.concat("parent_id", F.lit("."), "type", F.when(F.col("nth") > 1, F.col("nth").cast("string")).otherwise("")).alias("numbered_id"))
+
+
+def reading_order(passages: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """(within, id, previous_id, next_id) of a reading order of any length: neighbours() in many tasks."""
+    rows = passages.select(*within, "sort_index", "id")
+    found = scan(rows, within, ["sort_index", "id"], before={"previous_id": F.col("id")}, after={"next_id": F.col("id")})
+    return found.select(*within, "id", "previous_id", "next_id")
+
+
+def section_runs(passages: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """Top-level passages with ``run``: the number of the section they lie in, in a reading order of any length."""
+    return runs(passages.filter(is_top_level()), F.col("section_kind"), within, ["sort_index", "id"])
+
+
 def neighbours(passages: DataFrame, within: tuple[str, ...] = ("part_number",)) -> DataFrame:
     """(id, previous_id, next_id) in reading order within a part."""
     order = Window.partitionBy(*within).orderBy("sort_index", "id")

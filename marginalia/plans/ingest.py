@@ -177,6 +177,12 @@ def fixed_decimals(spark: SparkSession, sf: str) -> DataFrame:
     return quantity.select("l_partkey", L.one_decimal(F.col("n") + F.lit(0.25)).alias("shown"))
 
 
+def decimals_rounded(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices, many of which lie next to a tie, and sixteenths, many of which are ties."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("price"))
+    return rows.select("l_orderkey", "l_linenumber", L.one_decimal(F.col("price")).alias("price"), L.one_decimal(F.lit(-1) * F.col("l_orderkey") / 16).alias("sixteenths"))
+
+
 def humanised_headings(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", L.heading_key(F.concat("p_type", F.lit(".:"))).alias("key"), L.humanised_heading(F.concat_ws("-", "p_type", "p_name")).alias("title"))
 
@@ -199,6 +205,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         [n3_written, n3_abbreviated, n3_whole, iri_names, ordered_xml, explorer_outline, marked_appendix, explicit_graph, supplemental_graph, inferred_graph, parallel_json, latin1_pages, library_store]
-        + [children_shown, fixed_decimals, humanised_headings, public_paths, aligned_in_order]
+        + [children_shown, fixed_decimals, decimals_rounded, humanised_headings, public_paths, aligned_in_order]
     )
 }

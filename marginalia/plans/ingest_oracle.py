@@ -35,6 +35,14 @@ def _graph(build: bool) -> str:
 _LIBRARY = f"""explicit AS (SELECT s, p, o FROM {_t('places', 'classes')} UNION SELECT id, 'type', CASE type WHEN 'proposition' THEN 'Proposition' WHEN 'proof' THEN 'Proof' ELSE 'Note' END FROM r
     UNION SELECT id, 'partOf', parent_id FROM r WHERE parent_id IS NOT NULL UNION SELECT parent_id, CASE type WHEN 'proof' THEN 'provedBy' ELSE 'hasNote' END, id FROM r WHERE parent_id IS NOT NULL)"""
 
+
+def _one_decimal(v: str) -> str:
+    """printf() rounds by the exact value and exact ties to even; ties here are quarters."""
+    n = f"CAST(floor(abs({v}) * 10 + 0.5) AS BIGINT)"
+    up = f"CASE WHEN {v} < 0 THEN '-' ELSE '' END || {n} // 10 || '.' || {n} % 10"
+    return f"CASE WHEN {v} * 4 = floor({v} * 4) AND {v} * 2 <> floor({v} * 2) THEN {up} ELSE printf('%.1f', {v}) END"
+
+
 ORACLE_SQL = {
     "n3_written": f"SELECT * FROM {_t('parents', 'classes', 'places')}",
     "n3_whole": """WITH d AS (SELECT *, CASE WHEN doc_id // 500 % 2 = 0 THEN '' ELSE 'odd.' END AS x FROM documents), t AS (
@@ -64,6 +72,7 @@ ORACLE_SQL = {
       inferred AS (SELECT s, 'dependsUpon' AS p, o FROM explicit WHERE p IN ('cites', 'provedBy') UNION SELECT o, 'derivedFrom', s FROM explicit WHERE p = 'hasCorollary' UNION SELECT o, 'explainsElement', s FROM explicit WHERE p = 'hasNote' UNION SELECT origin, 'transitivelyDependsOn', node FROM walk WHERE d > 1)
       SELECT p, count(*) AS n, count(DISTINCT s) AS subjects FROM (SELECT * FROM explicit UNION ALL SELECT * FROM inferred) GROUP BY p UNION ALL SELECT 'latin texts', count(*), count(DISTINCT id) FROM r WHERE type = 'proof'""",
     "children_shown": f"WITH p AS {_PASSAGES} SELECT id, parent_id FROM p WHERE parent_id IS NOT NULL AND ({_HIT} OR parent_id IN (SELECT id FROM p WHERE {_HIT}))",
+    "decimals_rounded": f"SELECT l_orderkey, l_linenumber, {_one_decimal('CAST(l_extendedprice AS DOUBLE)')} AS price, {_one_decimal('-l_orderkey / 16')} AS sixteenths FROM lineitem",
     "fixed_decimals": "SELECT l_partkey, CAST(n AS VARCHAR) || '.3' AS shown FROM (SELECT l_partkey, sum(CAST(l_quantity AS BIGINT)) AS n FROM lineitem GROUP BY l_partkey)",
     "humanised_headings": r"""SELECT p_partkey, upper(p_type) AS key, array_to_string(list_transform(regexp_extract_all(lower(p_type || '-' || p_name), '\w+|\W+'), lambda x: upper(x[1]) || x[2:]), '') AS title FROM part""",
     "public_paths": "SELECT page_id, '/reader/' || regexp_replace(url, '^[a-z]+:/+', '') AS path FROM pages",
