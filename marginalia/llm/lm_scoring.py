@@ -30,7 +30,7 @@ from .scratch import settle
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PARTS, HELD_OUT = 7, 2
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS, SAMPLE_BYTES = 1000, 8_000_000
 FIRST_STEPS, FIRST_RATE = 600, 0.01
 RATE = 0.002
 #: Text of the documents whose windows are shuffled together.
@@ -51,15 +51,15 @@ class _Streams:
         self.found = W.split_words(raw, W.SPACED)
         self.distinct, self.where, self.inverse = np.unique(self.found.hashes(), return_index=True, return_inverse=True)
 
-    def spell(self, subwords: L.Subwords) -> tuple[tuple, tuple, np.ndarray]:
+    def spell(self, subwords: L.Subwords) -> tuple[tuple, tuple]:
         ids, first = subwords.ids([self.found.word(k) for k in self.where]) if len(self.where) else (np.zeros(0, np.int16), np.zeros(1, np.int64))
         outer = L.outer_streams(ids[first[:-1]][self.inverse], self.found.first)
-        return outer, L.inside_streams(ids, first), first
+        return outer, L.inside_streams(ids, first)
 
-    def bigrams(self, outer: tuple, inside: tuple, first: np.ndarray) -> np.ndarray:
-        often = np.repeat(np.bincount(self.inverse, minlength=len(self.distinct)), np.diff(first))
-        count = lambda s, w: np.bincount(s[0].astype(np.int64) * L.SIZE + s[1], w, L.SIZE**2).reshape(L.SIZE, L.SIZE)
-        return np.stack([count(outer, None), count(inside, often)])
+    def bigrams(self, outer: tuple, inside: tuple) -> np.ndarray:
+        """Counts of ids in texts, and of ids in distinct words: insides are asked for where a word is new, and new words are like rare ones."""
+        count = lambda s: np.bincount(s[0].astype(np.int64) * L.SIZE + s[1], minlength=L.SIZE**2).reshape(L.SIZE, L.SIZE)
+        return np.stack([count(outer), count(inside)])
 
 
 def first_model(texts: list[str | None], subwords: L.Subwords) -> L.Model:
@@ -67,8 +67,8 @@ def first_model(texts: list[str | None], subwords: L.Subwords) -> L.Model:
     counts, streams = np.zeros((2, L.SIZE, L.SIZE)), []
     for _, _, raw in W.chunks(texts, lower=True, size=PIECE_BYTES):
         s = _Streams(raw)
-        outer, inside, first = s.spell(subwords)
-        counts += s.bigrams(outer, inside, first)
+        outer, inside = s.spell(subwords)
+        counts += s.bigrams(outer, inside)
         streams.append((outer, inside))
     model = L.Model.start(counts)
     model.train(streams, FIRST_RATE, steps=FIRST_STEPS)
@@ -87,8 +87,8 @@ def _learn(shared, path: str, schema: pa.Schema):
         for batch in batches:
             for _, _, raw in W.chunks(batch.column(0).to_pylist(), lower=True, size=PIECE_BYTES):
                 s = _Streams(raw)
-                outer, inside, first = s.spell(subwords)
-                counts += s.bigrams(outer, inside, first)
+                outer, inside = s.spell(subwords)
+                counts += s.bigrams(outer, inside)
                 model.train([(outer, inside)], RATE, seed=pieces)
                 pieces += 1
         if pieces:
@@ -100,14 +100,30 @@ def _learn(shared, path: str, schema: pa.Schema):
     return run
 
 
+def first_sample(train: DataFrame, key: str, text: str, rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES) -> list[str]:
+    """At most ``rows`` texts of ``max_bytes`` together, the same ones on every run; rows that are equal in key and text count once.
+
+    Texts are taken in the order of a hash; one that doesn't fit into what is left of the bytes is passed over.
+    Only hashes and sizes are sorted; texts are read again by the hashes that were chosen.
+    """
+    drawn = train.select(F.xxhash64(F.lit(23), key, text).alias("draw"), F.coalesce(text, F.lit("")).alias("text"))
+    # a share of the rows first, so that tasks don't send ``rows`` each
+    share = min(1.0, 3 * rows / max(1, train.count()))
+    some = drawn.filter(F.pmod("draw", F.lit(2**40)) <= int(share * 2**40))
+    sizes = some.groupBy("draw").agg(F.max(F.octet_length("text")).alias("size")).orderBy("draw").limit(rows).collect()
+    fits, left = [], max_bytes
+    for draw, size in sizes:
+        if size <= left:
+            fits.append(draw)
+            left -= size
+    found = some.filter(F.col("draw").isin(fits)).groupBy("draw").agg(F.min("text").alias("text")).collect() if fits else []
+    return [r.text for r in sorted(found, key=lambda r: r.draw)]
+
+
 def learn(train: DataFrame, key: str, text: str, path: str) -> tuple[L.Model, np.ndarray]:
     """The model, and how often each subword id begins a word (or the end) in the training documents."""
     spark = train.sparkSession
-    # a share of the rows first, so that tasks don't send SAMPLE_ROWS each
-    draw = F.xxhash64(F.lit(23), key, text)
-    share = min(1.0, 3 * SAMPLE_ROWS / max(1, train.count()))
-    some = train.filter(F.pmod(draw, F.lit(2**40)) <= int(share * 2**40)).orderBy(draw, text).limit(SAMPLE_ROWS)
-    start = first_model([r[0] for r in some.select(text).collect()], L.Subwords(path))
+    start = first_model(first_sample(train, key, text, SAMPLE_ROWS, SAMPLE_BYTES), L.Subwords(path))
     kind = X.struct("code long, value double")
     told = train.select(text).mapInArrow(_learn(spark.sparkContext.broadcast(start), path, to_arrow_schema(kind)), kind)
     # at most 2 SIZE**2 codes and the weights, whatever the corpus

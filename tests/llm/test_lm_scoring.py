@@ -105,3 +105,52 @@ def test_every_position_is_trained_on(monkeypatch):
     schema = S.pa.schema([("code", S.pa.int64()), ("value", S.pa.float64())])
     list(S._learn(type("Shared", (), {"value": model}), S.VOCABULARY, schema)(iter([S.pa.RecordBatch.from_pydict({"text": texts})])))
     assert [sorted(x) for x in seen] == want
+
+
+def test_the_first_sample_is_bounded_in_rows_and_bytes(spark):
+    rows = [(k, f"text {k} " + "y" * 50) for k in range(200)] + [(7000, "z" * 100_000)] + [(1, "text 1 " + "y" * 50)] * 400 + [(None, None)]
+    sample = lambda df, *bounds: S.first_sample(df, "doc_id", "text", *bounds)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    some = sample(df, 30, 2000)
+    assert 20 <= len(some) <= 30 and sum(map(len, some)) <= 2000 and some == sample(df.repartition(7), 30, 2000)
+    assert len(sample(df, 10_000, 10_000)) < 202 and sum(map(len, sample(df, 10_000, 10_000))) <= 10_000
+    assert sorted(sample(df, 10_000, 10**6)) == sorted({t or "" for _, t in rows})
+    assert sample(df.limit(0), 10, 10) == []
+
+
+def plain_log10(model, kind, inputs, targets):
+    """One position after the other: attention over what its window shows before it."""
+    w, stride, context, total = model.weights, L.STRIDES[kind], L.CONTEXTS[kind], 0.0
+    for i, target in enumerate(targets):
+        begin = i // stride * stride
+        shown = range(max(0, begin - context), i + 1)
+        x = {j: w["embed"][inputs[j]] + w["place"][j - begin + context] + w["kind"][kind] for j in shown}
+        weights = np.array([x[i] @ w["query"] @ (x[j] @ w["key"]) / math.sqrt(L.DIM) for j in shown], float)
+        weights = np.exp(weights - weights.max())
+        mixed = sum(a * (x[j] @ w["value"]) for a, j in zip(weights / weights.sum(), shown, strict=True))
+        logits = ((x[i] + mixed @ w["mix"]) @ w["out"] + model.by_class[kind][inputs[i]]).astype(float)
+        chosen = logits[model.classes[target]] - logits.max() - math.log(np.exp(logits - logits.max()).sum())
+        total += (chosen + model.inside[kind][inputs[i], target]) / math.log(10)
+    return total
+
+
+def test_scores_equal_a_plain_loop(spark, monkeypatch):
+    monkeypatch.setattr(S.X, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(S, "SAMPLE_ROWS", 50)
+    rows = corpus(80)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).persist()
+    got = {(r.doc_id, r.n_tokens): r.score for r in S.score_documents(docs).collect()}
+    train = docs.filter(S.F.coalesce(S.remainder("doc_id", S.PARTS) != S.HELD_OUT, S.F.lit(True))).select("doc_id", S.F.coalesce("text", S.F.lit("")).alias("text"))
+    model, often = S.learn(train, "doc_id", "text", S.VOCABULARY)
+    subwords = L.Subwords(S.VOCABULARY)
+    words = lambda t: [w.encode() for w in (t or "").replace("THE", "the").replace("An", "an").replace("\t", " ").split(" ") if w]
+    counts = Counter(w for k, t in rows if not S.is_held_out(k) for w in words(t))
+    for key, text in rows:
+        spelled = [subwords.ids([w])[0].tolist() for w in words(text)]
+        firsts = [ids[0] for ids in spelled]
+        want = plain_log10(model, 0, [L.END, *firsts], [*firsts, L.END])
+        for w, ids in zip(words(text), spelled, strict=True):
+            inside = 10 ** plain_log10(model, 1, ids, [*ids[1:], L.WORD_END])
+            want += math.log10(S.SHARE * counts[w] / max(1, often[ids[0]]) + (1 - S.SHARE) * inside + 1e-300)
+        assert got[key, len(firsts) + 1] == pytest.approx(want, rel=1e-4, abs=1e-2), key
+    docs.unpersist()
