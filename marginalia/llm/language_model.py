@@ -27,6 +27,9 @@ CLASSES = 64
 STRIDES = (32, 6)
 CONTEXTS = (8, 2)
 _OFF = np.float32(-1e9)
+#: What the model's own scores are kept within, either way; counted logarithms are above -28.
+BOUND = np.float32(25)
+_SCALE = np.float32(DIM**-0.5)
 
 
 class Subwords:
@@ -63,9 +66,9 @@ def windows(first: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(-1, keepdims=True)
+    """In place.  Values are within BOUND but for masked ones, so that no largest one needs to be taken off first."""
     np.exp(x, out=x)
-    x /= x.sum(-1, keepdims=True)
+    x /= (x @ np.ones(x.shape[-1], np.float32))[..., None]
     return x
 
 
@@ -110,17 +113,29 @@ class Model:
         return cls(classes, np.log(by_class).astype(np.float32), np.log(table / by_class[:, :, classes]).astype(np.float32), dict(weights))
 
     def _forward(self, kind: int, ids: np.ndarray, held: np.ndarray) -> dict[str, np.ndarray]:
-        """ids, held: windows x slots; a slot that isn't held is not attended to."""
+        """ids, held: windows x slots; a slot that isn't held is not attended to.
+
+        Those behind a window's last position are later than all that count; those before the first are masked.
+        """
         w, c, n = self.weights, CONTEXTS[kind], STRIDES[kind] + CONTEXTS[kind]
-        x = w["embed"][ids] + (w["place"][:n] + w["kind"][kind])
-        q, k, v = x[:, c:] @ w["query"], x @ w["key"], x @ w["value"]
-        scores = q @ k.transpose(0, 2, 1)
-        scores *= np.float32(DIM**-0.5)
-        scores += np.where(np.arange(n)[None, :] > np.arange(c, n)[:, None], _OFF, np.float32(0))
-        scores += np.where(held, np.float32(0), _OFF)[:, None, :]
-        a = _softmax(scores)
-        mixed = a @ v
-        return {"x": x, "q": q, "k": k, "v": v, "a": a, "c": mixed, "h": x[:, c:] + mixed @ w["mix"]}
+        x = np.take(w["embed"], ids, axis=0)
+        x += w["place"][:n] + w["kind"][kind]
+        own, every = x[:, c:].reshape(-1, DIM), x.reshape(-1, DIM)
+        q = (own @ (w["query"] * _SCALE)).reshape(-1, n - c, DIM)
+        k, v = (every @ w["key"]).reshape(-1, n, DIM), (every @ w["value"]).reshape(-1, n, DIM)
+        a = q @ k.transpose(0, 2, 1)
+        np.clip(a, -BOUND, BOUND, out=a)
+        a += np.where(np.arange(n)[None, :] > np.arange(c, n)[:, None], _OFF, np.float32(0))
+        a[:, :, :c] += np.where(held[:, :c], np.float32(0), _OFF)[:, None, :]
+        a = _softmax(a)
+        mixed = (a @ v).reshape(-1, DIM)
+        return {"own": own, "every": every, "q": q, "k": k, "v": v, "a": a, "c": mixed, "h": own + mixed @ w["mix"]}
+
+    def _logits(self, kind: int, h: np.ndarray, before: np.ndarray) -> np.ndarray:
+        logits = h @ self.weights["out"]
+        np.clip(logits, -BOUND, BOUND, out=logits)
+        logits += np.take(self.by_class[kind], before, axis=0)
+        return logits
 
     def _plan(self, kind: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows of the streams: begin of the scored part, its size, and the context before it."""
@@ -141,43 +156,43 @@ class Model:
         plan, batch = self._plan(kind, first), 2048 // STRIDES[kind]
         for i in range(0, len(plan[0]), batch):
             ids, held, at = self._batch(kind, inputs, plan, slice(i, i + batch))
-            h = self._forward(kind, ids, held)["h"][held[:, CONTEXTS[kind] :]]
-            logits = h @ self.weights["out"]
-            logits += self.by_class[kind][inputs[at]]
-            own = logits[np.arange(len(at)), self.classes[targets[at]]]
-            top = logits.max(1)
-            logits -= top[:, None]
+            h = self._forward(kind, ids, held)["h"][held[:, CONTEXTS[kind] :].ravel()]
+            logits = self._logits(kind, h, inputs[at])
+            own = np.take(logits, np.arange(0, logits.size, CLASSES) + self.classes[targets[at]])
             np.exp(logits, out=logits)
-            out[at] = own - top - np.log(logits.sum(1)) + self.inside[kind][inputs[at], targets[at]]
+            out[at] = own - np.log(logits @ np.ones(CLASSES, np.float32)) + self.inside[kind][inputs[at], targets[at]]
         return out
 
     def _gradient(self, kind: int, ids: np.ndarray, held: np.ndarray, before: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
-        w, s = self.weights, CONTEXTS[kind]
+        w, s, n = self.weights, CONTEXTS[kind], ids.shape[1]
         f = self._forward(kind, ids, held)
-        live = held[:, s:]
-        p = _softmax(f["h"][live] @ w["out"] + self.by_class[kind][before])
-        p[np.arange(len(target)), self.classes[target]] -= 1
-        p /= len(target)
-        g = {"out": f["h"][live].T @ p}
+        live = np.flatnonzero(held[:, s:])
+        h = f["h"][live]
+        p = _softmax(self._logits(kind, h, before))
+        p.reshape(-1)[np.arange(0, p.size, CLASSES) + self.classes[target]] -= 1
+        p /= np.float32(len(target))
+        g = {"out": h.T @ p}
         dh = np.zeros_like(f["h"])
         dh[live] = p @ w["out"].T
-        flat = lambda t: t.reshape(-1, DIM)
-        g["mix"] = flat(f["c"]).T @ flat(dh)
+        g["mix"] = f["c"].T @ dh
         dc = dh @ w["mix"].T
-        da = dc @ f["v"].transpose(0, 2, 1)
-        dv = f["a"].transpose(0, 2, 1) @ dc
-        ds = f["a"] * (da - (da * f["a"]).sum(-1, keepdims=True)) * np.float32(DIM**-0.5)
-        dq, dk = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
-        g["query"], g["key"], g["value"] = flat(f["x"][:, s:]).T @ flat(dq), flat(f["x"]).T @ flat(dk), flat(f["x"]).T @ flat(dv)
-        dx = dk @ w["key"].T + dv @ w["value"].T
-        dx[:, s:] += dh + dq @ w["query"].T
-        dx[~held] = 0
+        # a softmax's gradient takes off the mean of da under a, which is the product of dc and what a has mixed
+        mean = np.einsum("ij,ij->i", dc, f["c"]).reshape(-1, n - s, 1)
+        dc = dc.reshape(-1, n - s, DIM)
+        ds = dc @ f["v"].transpose(0, 2, 1)
+        ds -= mean
+        ds *= f["a"]
+        dv = (f["a"].transpose(0, 2, 1) @ dc).reshape(-1, DIM)
+        dq, dk = (ds @ f["k"]).reshape(-1, DIM) * _SCALE, (ds.transpose(0, 2, 1) @ f["q"]).reshape(-1, DIM)
+        g["query"], g["key"], g["value"] = f["own"].T @ dq, f["every"].T @ dk, f["every"].T @ dv
+        dx = (dk @ w["key"].T + dv @ w["value"].T).reshape(-1, n, DIM)
+        dh += dq @ w["query"].T
+        dx[:, s:] += dh.reshape(-1, n - s, DIM)
         slot = ids.astype(np.int64)[..., None] * DIM + np.arange(DIM)
-        g["embed"] = np.bincount(slot.ravel(), dx.ravel(), SIZE * DIM).astype(np.float32).reshape(SIZE, DIM)
-        g["place"] = np.zeros_like(w["place"])
-        g["place"][: dx.shape[1]] = dx.sum(0)
-        g["kind"] = np.zeros_like(w["kind"])
-        g["kind"][kind] = dx.sum((0, 1))
+        g["embed"] = np.bincount(slot.ravel(), dx.ravel(), SIZE * DIM).astype(np.float32)
+        g["place"], g["kind"] = np.zeros_like(w["place"]), np.zeros_like(w["kind"])
+        g["place"][:n] = dx.sum(0)
+        g["kind"][kind] = g["place"].sum(0)
         return g
 
     def _shuffled(self, plans: list[tuple], rng: np.random.Generator) -> list[tuple[int, int, np.ndarray]]:
@@ -197,8 +212,12 @@ class Model:
         """
         rng = np.random.default_rng(seed)
         plans = [tuple(self._plan(kind, first) for kind, (_, _, first) in enumerate(pair)) for pair in chunks]
-        mean = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        square = {k: np.zeros_like(v) for k, v in self.weights.items()}
+        # all weights lie in one array, that a step is a few operations
+        names = sorted(self.weights)
+        flat = np.concatenate([self.weights[k].ravel() for k in names])
+        cuts = np.cumsum([self.weights[k].size for k in names])[:-1]
+        self.weights = {k: part.reshape(self.weights[k].shape) for k, part in zip(names, np.split(flat, cuts), strict=True)}
+        mean, square = np.zeros_like(flat), np.zeros_like(flat)
         queue = self._shuffled(plans, rng)
         passes = -(-steps // len(queue)) if queue else 0
         total, step = passes * len(queue), 0
@@ -207,11 +226,12 @@ class Model:
                 step += 1
                 inputs, targets, _ = chunks[chunk][kind]
                 ids, held, at = self._batch(kind, inputs, plans[chunk][kind], some)
-                for k, g in self._gradient(kind, ids, held, inputs[at], targets[at]).items():
-                    mean[k] += 0.1 * (g - mean[k])
-                    square[k] += 0.01 * (g * g - square[k])
-                    now = rate * (1 - step / (total + 1))
-                    self.weights[k] -= (now * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                found = self._gradient(kind, ids, held, inputs[at], targets[at])
+                g = np.concatenate([found[k].ravel() for k in names])
+                mean += np.float32(0.1) * (g - mean)
+                square += np.float32(0.01) * (g * g - square)
+                now = rate * (1 - step / (total + 1)) / (1 - 0.9**step)
+                flat -= np.float32(now) * mean / (np.sqrt(square / np.float32(1 - 0.99**step)) + np.float32(1e-8))
 
 
 def inside_streams(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
