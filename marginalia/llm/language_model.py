@@ -47,10 +47,9 @@ class Subwords:
         self.encoding = tiktoken.Encoding("first-ranks", pat_str=r"[^\n]+|\n", mergeable_ranks=ranks, special_tokens={})
         self.line_end = ranks[b"\n"]
 
-    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids end to end, and where each word's begin.  Words hold no line ends."""
-        joined = b"\n".join(words).decode("utf-8", "surrogatepass") + "\n"
-        found = np.array(self.encoding.encode_ordinary(joined), np.int16)
+    def ids(self, lines: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words end to end, and where each word's begin.  A line is a word."""
+        found = np.array(self.encoding.encode_ordinary(lines.decode("utf-8", "surrogatepass")), np.int16)
         stop = found == self.line_end
         first = np.concatenate([[0], np.flatnonzero(stop) + 1])
         return found[~stop], first - np.arange(len(first))

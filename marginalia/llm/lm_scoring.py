@@ -52,7 +52,7 @@ class _Streams:
         self.distinct, self.where, self.inverse = np.unique(self.found.hashes(), return_index=True, return_inverse=True)
 
     def spell(self, subwords: L.Subwords) -> tuple[tuple, tuple]:
-        ids, first = subwords.ids([self.found.word(k) for k in self.where]) if len(self.where) else (np.zeros(0, np.int16), np.zeros(1, np.int64))
+        ids, first = subwords.ids(self.found.lines(self.where)) if len(self.where) else (np.zeros(0, np.int16), np.zeros(1, np.int64))
         outer = L.outer_streams(ids[first[:-1]][self.inverse], self.found.first)
         return outer, L.inside_streams(ids, first)
 
@@ -163,7 +163,7 @@ class _Insides:
         slot = np.minimum(np.searchsorted(self.hashes, s.distinct), max(0, len(self.hashes) - 1))
         new = np.flatnonzero(self.hashes[slot] != s.distinct) if len(self.hashes) else np.arange(len(s.distinct))
         if len(new):
-            ids, first = subwords.ids([s.found.word(k) for k in s.where[new]])
+            ids, first = subwords.ids(s.found.lines(s.where[new]))
             inner = np.add.reduceat(model.scores(1, *L.inside_streams(ids, first)), first[:-1])
             hashes = np.concatenate([self.hashes, s.distinct[new]])
             order = np.argsort(hashes, kind="stable")

@@ -88,6 +88,14 @@ class Words:
     def word(self, i: int) -> bytes:
         return self.buffer[self.starts[i] : self.ends[i]].tobytes()
 
+    def lines(self, chosen: np.ndarray) -> bytes:
+        """The chosen words, a line end behind each."""
+        sizes = self.ends[chosen] - self.starts[chosen] + 1  # the byte behind a word is in the buffer too
+        stops = np.cumsum(sizes)
+        out = self.buffer[np.repeat(self.starts[chosen] - (stops - sizes), sizes) + np.arange(sizes.sum())]
+        out[stops - 1] = 10
+        return out.tobytes()
+
 
 def encode(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""

@@ -146,7 +146,7 @@ def test_scores_equal_a_plain_loop(spark, monkeypatch):
     words = lambda t: [w.encode() for w in (t or "").replace("THE", "the").replace("An", "an").replace("\t", " ").split(" ") if w]
     counts = Counter(w for k, t in rows if not S.is_held_out(k) for w in words(t))
     for key, text in rows:
-        spelled = [subwords.ids([w])[0].tolist() for w in words(text)]
+        spelled = [subwords.ids(w + b"\n")[0].tolist() for w in words(text)]
         firsts = [ids[0] for ids in spelled]
         want = plain_log10(model, 0, [L.END, *firsts], [*firsts, L.END])
         for w, ids in zip(words(text), spelled, strict=True):
