@@ -26,6 +26,9 @@ CLASSES = 64
 #: Positions that a window scores, and those before them for context, by kind: first ids of words, ids inside words.
 STRIDES = (32, 6)
 CONTEXTS = (8, 2)
+#: Rows that go into one matrix product.  Spark has a worker on each core, and a larger product would start threads of its own,
+#: which take more time to wait for each other than they save.
+ROWS = 128
 _OFF = np.float32(-1e9)
 #: What the model's own scores are kept within, either way; counted logarithms are above -28.
 BOUND = np.float32(25)
@@ -64,10 +67,26 @@ def windows(first: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.minimum(stride, np.repeat(first[1:], counts) - begin)
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b for many rows, by ROWS of them."""
+    n, (wide, high) = len(a) // ROWS * ROWS, b.shape
+    out = np.empty((len(a), high), np.float32)
+    np.matmul(a[:n].reshape(-1, ROWS, wide), b, out=out[:n].reshape(-1, ROWS, high))
+    np.matmul(a[n:], b, out=out[n:])
+    return out
+
+
+def _sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b for many rows, by ROWS of them."""
+    n = len(a) // ROWS * ROWS
+    whole = a[:n].reshape(-1, ROWS, a.shape[1]).transpose(0, 2, 1) @ b[:n].reshape(-1, ROWS, b.shape[1])
+    return whole.sum(0) + a[n:].T @ b[n:]
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     """In place.  Values are within BOUND but for masked ones, so that no largest one needs to be taken off first."""
     np.exp(x, out=x)
-    x /= (x @ np.ones(x.shape[-1], np.float32))[..., None]
+    x /= x.sum(-1, keepdims=True)
     return x
 
 
@@ -120,18 +139,18 @@ class Model:
         x = np.take(w["embed"], ids, axis=0)
         x += w["place"][:n] + w["kind"][kind]
         own, every = x[:, c:].reshape(-1, DIM), x.reshape(-1, DIM)
-        q = (own @ (w["query"] * _SCALE)).reshape(-1, n - c, DIM)
-        k, v = (every @ w["key"]).reshape(-1, n, DIM), (every @ w["value"]).reshape(-1, n, DIM)
+        q = _times(own, w["query"] * _SCALE).reshape(-1, n - c, DIM)
+        k, v = (_times(every, w[k]).reshape(-1, n, DIM) for k in ("key", "value"))
         a = q @ k.transpose(0, 2, 1)
         np.clip(a, -BOUND, BOUND, out=a)
         a += np.where(np.arange(n)[None, :] > np.arange(c, n)[:, None], _OFF, np.float32(0))
         a[:, :, :c] += np.where(held[:, :c], np.float32(0), _OFF)[:, None, :]
         a = _softmax(a)
         mixed = (a @ v).reshape(-1, DIM)
-        return {"own": own, "every": every, "q": q, "k": k, "v": v, "a": a, "c": mixed, "h": own + mixed @ w["mix"]}
+        return {"own": own, "every": every, "q": q, "k": k, "v": v, "a": a, "c": mixed, "h": own + _times(mixed, w["mix"])}
 
     def _logits(self, kind: int, h: np.ndarray, before: np.ndarray) -> np.ndarray:
-        logits = h @ self.weights["out"]
+        logits = _times(h, self.weights["out"])
         np.clip(logits, -BOUND, BOUND, out=logits)
         logits += np.take(self.by_class[kind], before, axis=0)
         return logits
@@ -159,7 +178,7 @@ class Model:
             logits = self._logits(kind, h, inputs[at])
             own = np.take(logits, np.arange(0, logits.size, CLASSES) + self.classes[targets[at]])
             np.exp(logits, out=logits)
-            out[at] = own - np.log(logits @ np.ones(CLASSES, np.float32)) + self.inside[kind][inputs[at], targets[at]]
+            out[at] = own - np.log(logits.sum(1)) + self.inside[kind][inputs[at], targets[at]]
         return out
 
     def _gradient(self, kind: int, ids: np.ndarray, held: np.ndarray, before: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
@@ -170,11 +189,11 @@ class Model:
         p = _softmax(self._logits(kind, h, before))
         p.reshape(-1)[np.arange(0, p.size, CLASSES) + self.classes[target]] -= 1
         p /= np.float32(len(target))
-        g = {"out": h.T @ p}
+        g = {"out": _sums(h, p)}
         dh = np.zeros_like(f["h"])
-        dh[live] = p @ w["out"].T
-        g["mix"] = f["c"].T @ dh
-        dc = dh @ w["mix"].T
+        dh[live] = _times(p, w["out"].T)
+        g["mix"] = _sums(f["c"], dh)
+        dc = _times(dh, w["mix"].T)
         # a softmax's gradient takes off the mean of da under a, which is the product of dc and what a has mixed
         mean = np.einsum("ij,ij->i", dc, f["c"]).reshape(-1, n - s, 1)
         dc = dc.reshape(-1, n - s, DIM)
@@ -183,9 +202,9 @@ class Model:
         ds *= f["a"]
         dv = (f["a"].transpose(0, 2, 1) @ dc).reshape(-1, DIM)
         dq, dk = (ds @ f["k"]).reshape(-1, DIM) * _SCALE, (ds.transpose(0, 2, 1) @ f["q"]).reshape(-1, DIM)
-        g["query"], g["key"], g["value"] = f["own"].T @ dq, f["every"].T @ dk, f["every"].T @ dv
-        dx = (dk @ w["key"].T + dv @ w["value"].T).reshape(-1, n, DIM)
-        dh += dq @ w["query"].T
+        g["query"], g["key"], g["value"] = _sums(f["own"], dq), _sums(f["every"], dk), _sums(f["every"], dv)
+        dx = (_times(dk, w["key"].T) + _times(dv, w["value"].T)).reshape(-1, n, DIM)
+        dh += _times(dq, w["query"].T)
         dx[:, s:] += dh.reshape(-1, n - s, DIM)
         slot = ids.astype(np.int64)[..., None] * DIM + np.arange(DIM)
         g["embed"] = np.bincount(slot.ravel(), dx.ravel(), SIZE * DIM).astype(np.float32)
