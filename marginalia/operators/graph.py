@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import vocabulary as V
 from marginalia.sources.triples import RULES
 from .lineage import settle
+from .ordered import scan
 from .rules import derive
 from .triples import invert_relation, match, merge, rename_relation
 
@@ -131,27 +133,30 @@ def trace(triples: DataFrame, limit: int = 3, origins: DataFrame | None = None)
 def trace_depth_first(triples: DataFrame, origins: DataFrame, limit: int = 3) -> DataFrame:
     """(origin, place, node, depth): the lines of a depth-first trace, siblings in the order of ids.
 
-    A node is entered once, also if that is at the limit and a shorter way comes later.  Each origin's
-    neighbourhood, which trace() finds, goes to one task.
+    A node is entered once, also if that is at the limit and a shorter way comes later.  Origins that lead nowhere
+    have their own line; null origins have none.
+
+    Attempts to enter nodes follow each other in the order of their paths of ids, and the first one counts.  So a node's
+    path is the least of those that are one step longer than the path of a node entered short of the limit.  Only
+    one choice of paths satisfies this.  Rounds lead to it: each works out all paths from those of the round before, for origins
+    where something changed.  A round is a join by node and an aggregation by (origin, node), so that neither a hub nor a
+    large neighbourhood is one task's work.  It takes ``limit`` + 1 rounds, and more where nodes are met at the limit
+    before they are met nearer, as many as there are such nodes in a row that depend on each other.
     """
-    near = trace(triples, limit, origins).select("origin", F.col("node").alias("src"))
-    own = origins.select(F.col("id").alias("origin"), F.col("id").alias("src")).distinct()
-    steps = citation_steps(triples).select("src", "dst").distinct()
-    local = own.unionByName(near).join(steps, "src", "left").select("origin", "src", "dst")
-
-    def lines(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        known = group.dropna()
-        after = {a: sorted(set(x), reverse=True) for a, x in known.groupby("src")["dst"]}
-        out, seen, todo = [], set(), [(key[0], 0)]
-        while todo:
-            node, depth = todo.pop()
-            if depth <= limit and node not in seen:
-                seen.add(node)
-                out.append((key[0], len(out), node, depth))
-                todo += [(x, depth + 1) for x in after.get(node, [])]
-        return pd.DataFrame(out, columns=["origin", "place", "node", "depth"])
-
-    return local.groupBy("origin").applyInPandas(lines, "origin string, place int, node string, depth int")
+    steps = settle(citation_steps(triples).select("src", "dst").filter("src <> dst").distinct(), "edges")
+    begin = origins.select(F.col("id").alias("origin")).filter("origin IS NOT NULL").distinct()
+    entered, done = settle(begin.select("origin", F.col("origin").alias("node"), F.array("origin").alias("path")), "trace"), []
+    while not entered.isEmpty():
+        attempts = entered.filter(F.size("path") <= limit).join(steps, F.col("node") == F.col("src")).filter("dst <> origin")
+        new = attempts.select("origin", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        old = entered.select("origin", "node", F.when(F.col("node") == F.col("origin"), F.col("path")).alias("path"), F.col("path").alias("old"))
+        both = new.unionByName(old, allowMissingColumns=True).groupBy("origin", "node")
+        found = settle(both.agg(F.min("path").alias("path"), F.min("old").alias("old")), "trace")
+        changed = found.filter(~F.col("path").eqNullSafe(F.col("old"))).select("origin").distinct()
+        done.append(found.join(changed, "origin", "left_anti").select("origin", "node", "path"))
+        entered = settle(found.join(changed, "origin", "left_semi").filter("path IS NOT NULL").select("origin", "node", "path"), "trace")
+    lines = scan(reduce(DataFrame.unionByName, done, entered), ["origin"], ["path"], counts={"place": F.lit(True)})
+    return lines.select("origin", (F.col("place") - 1).cast("int").alias("place"), "node", (F.size("path") - 1).alias("depth"))
 
 
 def weighted_edges(triples: DataFrame, weights: dict[str, float] = V.WEIGHTS) -> DataFrame:

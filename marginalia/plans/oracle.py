@@ -129,6 +129,19 @@ def _walk(edges: str, limit: int | None) -> str:
     ), walk AS (SELECT origin, node, min(d) AS d FROM steps WHERE origin <> node GROUP BY ALL)"""
 
 
+
+
+def _depth_first(edges: str, roots: str, limit: int) -> str:
+    """The lines of depth-first walks, with a stack for each origin; to stand behind WITH RECURSIVE."""
+    return f"""kids AS (SELECT s, list(o ORDER BY o DESC) AS below FROM ({edges}) GROUP BY s),
+      walk(origin, todo, depths, seen, node, depth, fresh) AS (
+        SELECT DISTINCT s, [s], [0], CAST([] AS VARCHAR[]), '', 0, false FROM ({roots}) UNION ALL
+        SELECT origin, list_concat(todo[1:-2], CASE WHEN new THEN coalesce(below, []) ELSE [] END), list_concat(depths[1:-2], CASE WHEN new THEN list_transform(coalesce(below, []), lambda x: deep + 1) ELSE [] END),
+          CASE WHEN new THEN list_append(seen, top) ELSE seen END, top, deep, new
+        FROM (SELECT *, deep <= {limit} AND NOT list_contains(seen, top) AS new FROM (SELECT *, todo[-1] AS top, depths[-1] AS deep FROM walk WHERE len(todo) > 0)) LEFT JOIN kids ON kids.s = top)
+      SELECT origin, CAST(len(seen) - 1 AS BIGINT) AS place, node, CAST(depth AS BIGINT) AS depth FROM walk WHERE fresh"""
+
+
 _PLACES = f"SELECT s AS src, o AS dst FROM {_t('places')}"
 _BACK = f"SELECT o AS src, s AS dst FROM {_t('places')}"
 _INFERRED = f"(SELECT s, 'dependsUpon' AS p, o FROM {_t('places')} UNION SELECT o, 'derivedFrom', s FROM {_t('brands')})"
@@ -229,13 +242,10 @@ ORACLE_SQL = {
       edges AS (SELECT * FROM cites UNION SELECT t.o, c.dst FROM t JOIN cites c ON t.s = c.src WHERE t.p = 'partOf' AND t.o NOT IN (SELECT src FROM cites)),
       steps(origin, node, d) AS (SELECT src, dst, 1 FROM edges WHERE src <> dst UNION SELECT w.origin, e.dst, w.d + 1 FROM steps w JOIN edges e ON w.node = e.src WHERE w.d < 3 AND e.src <> e.dst)
       SELECT origin, node, CAST(min(d) AS BIGINT) AS d FROM steps WHERE origin <> node GROUP BY ALL""",
-    "trace_depth_first": f"""WITH RECURSIVE t AS (SELECT DISTINCT s, o FROM {_t('places')}), kids AS (SELECT s, list(o ORDER BY o DESC) AS below FROM t GROUP BY s),
-      walk(origin, todo, depths, seen, node, depth, fresh) AS (
-        SELECT s, [s], [0], CAST([] AS VARCHAR[]), '', 0, false FROM kids UNION ALL
-        SELECT origin, list_concat(todo[1:-2], CASE WHEN new THEN coalesce(below, []) ELSE [] END), list_concat(depths[1:-2], CASE WHEN new THEN list_transform(coalesce(below, []), lambda x: deep + 1) ELSE [] END),
-          CASE WHEN new THEN list_append(seen, top) ELSE seen END, top, deep, new
-        FROM (SELECT *, deep <= 2 AND NOT list_contains(seen, top) AS new FROM (SELECT *, todo[-1] AS top, depths[-1] AS deep FROM walk WHERE len(todo) > 0)) LEFT JOIN kids ON kids.s = top)
-      SELECT origin, CAST(len(seen) - 1 AS BIGINT) AS place, node, CAST(depth AS BIGINT) AS depth FROM walk WHERE fresh""",
+    "trace_depth_first": f"""WITH RECURSIVE t AS (SELECT DISTINCT s, o FROM {_t('places')}), {_depth_first('SELECT s, o FROM t', 'SELECT s FROM t', 2)}""",
+    "trace_fallback": f"""WITH RECURSIVE t AS {_t('places', 'parents')}, cites AS (SELECT s, o FROM t WHERE p = 'cites'),
+      edges AS (SELECT * FROM cites UNION SELECT t.o, c.o FROM t JOIN cites c ON t.s = c.s WHERE t.p = 'partOf' AND t.o NOT IN (SELECT s FROM cites)),
+      {_depth_first('SELECT s, o FROM edges', 'SELECT s FROM t UNION SELECT o FROM t', 3)}""",
     "passage_markup": f"""WITH p AS (SELECT *, sort_index // 500000 + 1 AS file FROM {_PASSAGES}),
       inner_ AS (SELECT parent_id, string_agg('      <' || type || ' id="' || id || '"' || {_EDITORIAL} || '>' || chr(10) || '        <text>' || {_escaped_text('text')} || '</text>' || chr(10) || '      </' || type || '>', chr(10) ORDER BY sort_index) AS inside FROM p WHERE parent_id IS NOT NULL GROUP BY parent_id),
       tops AS (SELECT p.*, lag(section_kind) OVER (PARTITION BY file ORDER BY sort_index) IS DISTINCT FROM section_kind AS new,

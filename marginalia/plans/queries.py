@@ -140,6 +140,12 @@ def trace_depth_first(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("origin", F.col("place").cast("long").alias("place"), "node", F.col("depth").cast("long").alias("depth"))
 
 
+def trace_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    t = triples(spark, sf, "places", "parents")
+    found = graph.trace_depth_first(t, t.select(F.explode(F.array("s", "o")).alias("id")), 3)
+    return found.select("origin", F.col("place").cast("long").alias("place"), "node", F.col("depth").cast("long").alias("depth"))
+
+
 def cyclic_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return cycles.on_cycles(_places(spark, sf))
 
@@ -294,7 +300,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         [top_cited, outward_citations, inward_citations, consequences, reductio_subjects, elements_of_class, graph_counts, several_proofs, relation_counts, merge_stores, backfill, project_invert]
-        + [transitive_closure, rules_two_hops, apply_rules, influence, dependency_depth, element_weights, relations_all, relation_groups, chains_first, trace_levels, trace_depth_first, cyclic_nodes]
+        + [transitive_closure, rules_two_hops, apply_rules, influence, dependency_depth, element_weights, relations_all, relation_groups, chains_first, trace_levels, trace_depth_first, trace_fallback, cyclic_nodes]
         + [roman_numerals, relation_labels, passage_labels, humanised_tokens, previews, search_visible, search_selectable, search_neighbours, section_summary, section_starts, children_by_parent]
         + [parallel_texts, citations_found, citations_known, page_paragraphs, url_components, text_blocks, child_counters, first_of_text, paragraph_rows, escaped_markup, passage_markup, triple_statements]
         + [corpus_passages, aligned_passages]

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.operators import analysis, cycles, graph
 from marginalia.operators import triples as T
@@ -158,6 +159,35 @@ def test_walks_against_plain_loops(spark, seed):
         assert [(r["node"], r["depth"]) for r in lines if r["origin"] == start] == brute_trace(cites, part_of, start, 2)
 
 
+@pytest.mark.parametrize("limit", [0, 1, 3, 4])
+def test_depth_first_lines_where_nodes_meet_at_the_limit(spark, limit):
+    rng = random.Random(limit)
+    # many short cycles, so that nodes are often met at the limit before they are met nearer
+    cites = {(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(22)} | {(f"c{k}", f"c{k + 1}") for k in range(6)} | {("hub", f"c{k}") for k in range(7)}
+    part_of = {(f"n{rng.randrange(9)}", f"m{rng.randrange(3)}") for _ in range(8)}
+    t = store(spark, *[(a, "cites", b) for a, b in cites], *[(a, "partOf", b) for a, b in part_of])
+    names = [f"n{k}" for k in range(9)] + ["m0", "m1", "m2", "hub", "gone"]
+    lines = graph.trace_depth_first(t, spark.createDataFrame([(n,) for n in names * 2] + [(None,)], "id string"), limit).collect()
+    assert {r["origin"] for r in lines} == set(names)
+    for start in names:
+        own = sorted((r for r in lines if r["origin"] == start), key=lambda r: r["place"])
+        assert [r["place"] for r in own] == list(range(len(own)))
+        assert [(r["node"], r["depth"]) for r in own] == brute_trace(cites, part_of, start, limit), start
+    assert graph.trace_depth_first(t, spark.createDataFrame([], "id string"), limit).count() == 0
+
+
+def test_depth_first_lines_of_a_hub(spark):
+    ids = spark.range(100_000).select(F.lit("hub").alias("s"), F.lit("cites").alias("p"), F.format_string("k%06d", "id").alias("o"), F.lit("iri").alias("o_kind"))
+    t = ids.unionByName(store(spark, ("a", "cites", "hub"), ("a", "cites", "k000007"), ("k000003", "cites", "k000001"), ("k000005", "cites", "z")).select(ids.columns))
+    lines = graph.trace_depth_first(t, spark.createDataFrame([("a",), ("k000003",)], "id string"), 2)
+    assert "InPandas" not in lines._jdf.queryExecution().toString()
+    own = lines.persist()
+    assert own.filter("origin = 'a'").count() == 100_002 and own.filter("depth = 2").count() == 100_000
+    near = {(r["origin"], r["place"]): (r["node"], r["depth"]) for r in own.filter("place < 3 OR place > 100000").collect()}
+    assert near == {("a", 0): ("a", 0), ("a", 1): ("hub", 1), ("a", 2): ("k000000", 2), ("a", 100_001): ("k099999", 2), ("k000003", 0): ("k000003", 0), ("k000003", 1): ("k000001", 1)}
+    own.unpersist()
+
+
 def test_weights(spark):
     t = store(spark, ("a", "cites", "b"), ("c", "provedBy", "b"), ("b", "groundedIn", "d"), ("x", "mentions", "b"))
     e = spark.createDataFrame([("b", "proposition"), ("d", "definition"), ("lone", "lemma")], "id string, type string")
