@@ -17,19 +17,19 @@ def remainder(key: str, parts: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % parts
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, usable: Column, key: str = "doc_id", text: str = "text", max_bytes: int = SAMPLE_BYTES) -> list[tuple[str | None, int]]:
-    """Texts and labels of at most ``rows`` labelled documents of ``max_bytes`` together, the same ones on every run.
+def sampled(docs: DataFrame, labels: DataFrame, label: str, rows: int, usable: Column, key: str = "doc_id", text: str = "text", max_bytes: int = SAMPLE_BYTES) -> DataFrame | None:
+    """(key, text, _label): at most ``rows`` labelled documents of ``max_bytes`` together, the same ones on every run; None without any.
 
     Where a key has several label rows the largest label counts; of several documents of a key,
     the least text.  Texts are taken in the order of a hash of their keys; a text that doesn't fit into what is left
     of the bytes is passed over, so a very long one costs no others.  Null keys and null labels are no examples.
-    Only the keys of the sample are broadcast.
+    Only the keys of the sample are broadcast, and only keys and sizes are collected.
     """
     order = F.xxhash64(F.lit(17), F.col(key))
     chosen = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & usable).groupBy(key).agg(F.max(label).cast("int").alias("_label"))
     held = chosen.orderBy(order, key).limit(rows).collect()
     if not held:
-        return []
+        return None
     kind = T.StructType([T.StructField(key, docs.schema[key].dataType)])
     keys = docs.sparkSession.createDataFrame(sorted(map(tuple, held)), T.StructType([*kind.fields, T.StructField("_label", T.IntegerType())]))
     matched = docs.select(key, text).join(F.broadcast(keys), key)
@@ -42,6 +42,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, usable: Co
             fits.append((k,))
             left -= size
     if not fits:
-        return []
-    some = found.join(F.broadcast(docs.sparkSession.createDataFrame(fits, kind)), key).select(key, "text", "_label")
-    return [(r[1], r[2]) for r in sorted(some.collect(), key=lambda r: r[0])]
+        return None
+    return found.join(F.broadcast(docs.sparkSession.createDataFrame(fits, kind)), key).select(key, "text", "_label")
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, usable: Column, key: str = "doc_id", text: str = "text", max_bytes: int = SAMPLE_BYTES) -> list[tuple[str | None, int]]:
+    """The texts and labels of ``sampled``, collected in the order of their keys."""
+    some = sampled(docs, labels, label, rows, usable, key, text, max_bytes)
+    return [(r[1], r[2]) for r in sorted(some.collect(), key=lambda r: r[0])] if some is not None else []

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from marginalia.llm import quality, toxicity
@@ -50,6 +51,15 @@ def test_no_examples_nulls_and_extra_columns(spark):
     assert quality.annotate(docs.limit(0), quality.fit(docs, none, F.lit(True)))[0].count() == 0
 
 
+def test_a_task_fits_the_quality_model_and_not_the_driver(spark, monkeypatch):
+    docs, labels = corpus(80)
+    d, lb = spark.createDataFrame(docs, DOCS).repartition(5), spark.createDataFrame(labels, LABELS)
+    want = quality.QualityModel.fit(sample(d, lb, "quality", 50, F.lit(True))).margin
+    monkeypatch.setattr(quality.QualityModel, "fit", lambda *_: pytest.fail("fitted in the driver"))
+    got = quality.fit(d, lb, F.lit(True), rows=50).margin
+    assert np.allclose(got, want, atol=1e-6) and np.ptp(got) > 0
+
+
 def test_sample_is_bounded_and_repeatable(spark):
     docs, labels = corpus(100)
     d, lb = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels + labels, LABELS)
