@@ -49,7 +49,7 @@ class _Streams:
 
     def __init__(self, raw: list[bytes]) -> None:
         self.found = W.split_words(raw, W.SPACED)
-        self.distinct, self.where, self.inverse = np.unique(self.found.hashes(), return_index=True, return_inverse=True)
+        self.distinct, self.where, self.inverse = W.distinct(self.found.hashes())
 
     def spell(self, subwords: L.Subwords) -> tuple[tuple, tuple]:
         ids, first = subwords.ids(self.found.lines(self.where)) if len(self.where) else (np.zeros(0, np.int16), np.zeros(1, np.int64))

@@ -10,9 +10,12 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text stands alone.
 CHUNK_BYTES = 1_000_000
+#: Bytes of text that are hashed at once; a longer word stands alone.
+HASHED_BYTES = 64_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -52,7 +55,7 @@ _powers = np.ones(1, _U), np.ones(1, _U)
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES // 2)
+        size = max(n, HASHED_BYTES)
         with np.errstate(over="ignore"):
             up, down = np.full(size, _BASE, _U), np.full(size, _INVERSE, _U)
             up[0] = down[0] = 1
@@ -77,13 +80,21 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
     def hashes(self) -> np.ndarray:
-        if not len(self.starts):
-            return np.zeros(0, _U)
-        up, down = _power_tables(len(self.buffer))
+        out, i = np.empty(len(self.starts), _U), 0
+        while i < len(out):
+            # a block of whole words at a time, whose arrays stay in a core's cache
+            a = self.starts[i]
+            j = max(i + 1, int(np.searchsorted(self.ends, a + HASHED_BYTES, "right")))
+            size = self.ends[j - 1] - a
+            up, down = _power_tables(size)
+            run = np.zeros(size + 1, _U)
+            with np.errstate(over="ignore"):
+                np.cumsum(_BYTE[self.buffer[a : a + size]] * up[:size], out=run[1:])
+                starts, ends = self.starts[i:j] - a, self.ends[i:j] - a
+                out[i:j] = (run[ends] - run[starts]) * down[starts]
+            i = j
         with np.errstate(over="ignore"):
-            run = np.zeros(len(self.buffer) + 1, _U)
-            np.cumsum(_BYTE[self.buffer] * up[: len(self.buffer)], out=run[1:])
-            return mix((run[self.ends] - run[self.starts]) * down[self.starts])
+            return mix(out)
 
     def word(self, i: int) -> bytes:
         return self.buffer[self.starts[i] : self.ends[i]].tobytes()
@@ -97,6 +108,18 @@ class Words:
         return out.tobytes()
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct hashes, where each is first, and which of them is where: np.unique, by a hash table and not a sort of all."""
+    coded = pa.array(hashes).dictionary_encode()
+    found, codes = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    order = np.argsort(found)
+    rank = np.empty(len(found), np.int64)
+    rank[order] = np.arange(len(found))
+    where = np.empty(len(found), np.int64)
+    where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return found[order], where[order], rank[codes]
+
+
 def encode(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 

@@ -32,6 +32,23 @@ def test_base_is_exact_and_the_model_beats_it(spark, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) and all(r.score < 0 for r in got)
 
 
+def test_words_are_hashed_by_blocks_of_bounded_size(monkeypatch):
+    rng = random.Random(4)
+    raw = [" ".join(rng.choice(["the", "an", "ille", f"w{rng.randrange(10**6)}", "\u00e7" * 9]) for _ in range(n)).encode() for n in (40_000, 0, 1, 5000)] + [b"x" * 200_000, b" y  z"]
+    monkeypatch.setattr(S.W, "_powers", (np.ones(1, np.uint64), np.ones(1, np.uint64)))
+    S._Streams(raw[:1] * 5)
+    assert len(S.W._powers[0]) <= 70_000  # of a megabyte of text
+    s = S._Streams(raw)
+    want = np.unique(s.found.hashes(), return_index=True, return_inverse=True)
+    assert all(np.array_equal(a, b) for a, b in zip((s.distinct, s.where, s.inverse), want, strict=True))
+    words = [w for t in raw for w in t.split()]
+    assert len(words) == len(s.inverse) and len(set(words)) == len(s.distinct) and [words[i] for i in s.where] == [s.found.word(i) for i in s.where]
+    monkeypatch.setattr(S.W, "HASHED_BYTES", 10**6)
+    assert np.array_equal(s.found.hashes(), s.distinct[s.inverse])
+    monkeypatch.setattr(S.W, "HASHED_BYTES", 1)
+    assert np.array_equal(s.found.hashes(), s.distinct[s.inverse])
+
+
 def test_empty_table(spark):
     assert S.score_documents(spark.createDataFrame([], DOCS)).count() == 0
 
