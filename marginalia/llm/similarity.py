@@ -298,7 +298,7 @@ def _linked(lists: DataFrame, sets: DataFrame) -> DataFrame:
     edges = None
     for last in [False] * ROUNDS + [True]:
         compared = settle((_in_pairs_of_parts if last else _in_slices)(_clustered(lists, sets)), "compared")
-        own = compared.select("a", "b").filter("a <> b").distinct()
+        own = compared.select("a", "b").filter("a <> b")
         edges = own if edges is None else edges.unionByName(own)
         named = components(edges)
         if last or compared.filter("far is not null").isEmpty():

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from marginalia.llm import similarity as S
+from marginalia.llm import components as C
 from marginalia.llm.components import components
 
 DOCS = "doc_id long, text string, node string"
@@ -113,3 +114,34 @@ def test_components_of_stars_and_random_graphs(spark):
                     least[a] = least[b] = min(least[a], least[b])
         got = sorted(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
         assert got == sorted(least.items())
+
+
+def test_components_of_a_large_group_take_few_rounds(spark, monkeypatch):
+    checks, real = [], C._only_stars
+    monkeypatch.setattr(C, "_only_stars", lambda edges: checks.append(edges) or real(edges))
+    rng = np.random.default_rng(6)
+    chain = [(i, i + 1) for i in range(10, 3000)]
+    dense = [(int(a), int(b)) for a, b in rng.integers(5000, 6000, (9000, 2))]
+    for edges, most in ((chain, 2), (dense, 2)):
+        checks.clear()
+        got = components(spark.createDataFrame(edges, "a long, b long").repartition(12)).collect()
+        assert len(got) == len({v for e in edges if e[0] != e[1] for v in e}) and {r.component for r in got} == {min(map(min, edges))}
+        assert len(checks) <= most
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 10**6])
+def test_contraction_keeps_what_is_linked(spark, monkeypatch, at_once):
+    monkeypatch.setattr(C, "CONTRACTED", at_once)
+    rng = np.random.default_rng(at_once)
+    for n in (1, 30, 90):
+        edges = [(int(max(e)), int(min(e))) for e in rng.integers(-50, 50, (n, 2)) if e[0] != e[1]]
+        batches = [S.pa.RecordBatch.from_pydict({"a": [a for a, _ in part], "b": [b for _, b in part]}, S.pa.schema([("a", S.pa.int64()), ("b", S.pa.int64())])) for part in (edges[:20], [], edges[20:])]
+        got = [tuple(r.values()) for batch in C._contract(iter(batches)) for r in batch.to_pylist()]
+        assert all(a > b for a, b in got)
+        for some in (got, edges):
+            label = {v: v for e in edges for v in e}
+            for _ in label:
+                for a, b in some:
+                    label[a] = label[b] = min(label[a], label[b])
+            want = label if some is got else want
+        assert label == want
