@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import base64
 from dataclasses import dataclass
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 
@@ -33,6 +35,7 @@ _OFF = np.float32(-1e9)
 #: What the model's own scores are kept within, either way; counted logarithms are above -28.
 BOUND = np.float32(25)
 _SCALE = np.float32(DIM**-0.5)
+_PLACES = np.arange(SIZE * DIM).reshape(SIZE, DIM)
 
 
 class Subwords:
@@ -67,6 +70,24 @@ def windows(first: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.minimum(stride, np.repeat(first[1:], counts) - begin)
 
 
+class Held(NamedTuple):
+    """Which slots of some windows are held: the first ``context`` ones lie before what is scored."""
+
+    context: int
+    slots: np.ndarray
+
+
+@cache
+def _later(context: int, slots: int) -> np.ndarray:
+    """What is added to a window's attention: no slot attends to later ones."""
+    return np.where(np.arange(slots)[None, :] > np.arange(context, slots)[:, None], _OFF, np.float32(0))
+
+
+def _alike(size: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Windows by size and context, those of equal ones in the order they are in: batches of neighbours have next to no empty slots."""
+    return np.argsort((before * (max(STRIDES) + 1) + size).astype(np.uint16), kind="stable")
+
+
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a @ b for many rows, by ROWS of them."""
     n, (wide, high) = len(a) // ROWS * ROWS, b.shape
@@ -83,10 +104,15 @@ def _sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return whole.sum(0) + a[n:].T @ b[n:]
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """In place.  Values are within BOUND but for masked ones, so that no largest one needs to be taken off first."""
+def _totals(x: np.ndarray) -> np.ndarray:
+    """Sums along the last axis, which stays: as products, that are several times as quick as sums of short rows."""
+    return x @ np.ones((x.shape[-1], 1), np.float32)
+
+
+def _softmax(x: np.ndarray, times: int = 1) -> np.ndarray:
+    """In place, divided by ``times``.  Values are within BOUND but for masked ones, so that no largest one needs to be taken off first."""
     np.exp(x, out=x)
-    x /= x.sum(-1, keepdims=True)
+    x /= _totals(x) * np.float32(times)
     return x
 
 
@@ -130,21 +156,22 @@ class Model:
         by_class = table @ np.eye(CLASSES)[classes] + 1e-12
         return cls(classes, np.log(by_class).astype(np.float32), np.log(table / by_class[:, :, classes]).astype(np.float32), dict(weights))
 
-    def _forward(self, kind: int, ids: np.ndarray, held: np.ndarray) -> dict[str, np.ndarray]:
+    def _forward(self, kind: int, ids: np.ndarray, held: Held) -> dict[str, np.ndarray]:
         """ids, held: windows x slots; a slot that isn't held is not attended to.
 
         Those behind a window's last position are later than all that count; those before the first are masked.
         """
-        w, c, n = self.weights, CONTEXTS[kind], STRIDES[kind] + CONTEXTS[kind]
+        w, c, n = self.weights, held.context, ids.shape[1]
         x = np.take(w["embed"], ids, axis=0)
-        x += w["place"][:n] + w["kind"][kind]
+        x += w["place"][CONTEXTS[kind] - c :][:n] + w["kind"][kind]
         own, every = x[:, c:].reshape(-1, DIM), x.reshape(-1, DIM)
         q = _times(own, w["query"] * _SCALE).reshape(-1, n - c, DIM)
         k, v = (_times(every, w[k]).reshape(-1, n, DIM) for k in ("key", "value"))
         a = q @ k.transpose(0, 2, 1)
         np.clip(a, -BOUND, BOUND, out=a)
-        a += np.where(np.arange(n)[None, :] > np.arange(c, n)[:, None], _OFF, np.float32(0))
-        a[:, :, :c] += np.where(held[:, :c], np.float32(0), _OFF)[:, None, :]
+        a += _later(c, n)
+        if not held.slots[:, :c].all():
+            a[:, :, :c] += np.where(held.slots[:, :c], np.float32(0), _OFF)[:, None, :]
         a = _softmax(a)
         mixed = (a @ v).reshape(-1, DIM)
         return {"own": own, "every": every, "q": q, "k": k, "v": v, "a": a, "c": mixed, "h": own + _times(mixed, w["mix"])}
@@ -156,17 +183,19 @@ class Model:
         return logits
 
     def _plan(self, kind: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows of the streams: begin of the scored part, its size, and the context before it."""
+        """Windows of the streams, those alike together: begin of the scored part, its size, and the context before it."""
         begin, size = windows(first, STRIDES[kind])
-        return begin, size, np.minimum(CONTEXTS[kind], begin - first[np.searchsorted(first, begin, "right") - 1])
+        before = np.minimum(CONTEXTS[kind], begin - first[np.searchsorted(first, begin, "right") - 1])
+        order = _alike(size, before)
+        return begin[order], size[order], before[order]
 
-    def _batch(self, kind: int, inputs: np.ndarray, plan: tuple, some: slice | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _batch(self, kind: int, inputs: np.ndarray, plan: tuple, some: slice | np.ndarray) -> tuple[np.ndarray, Held, np.ndarray]:
         begin, size, before = (x[some, None] for x in plan)
-        slots = np.arange(-CONTEXTS[kind], STRIDES[kind])
+        c = int(before.max())
+        slots = np.arange(-c, size.max())
         held = (slots >= -before) & (slots < size)
         at = begin + slots
-        c = CONTEXTS[kind]
-        return inputs[np.where(held, at, 0)], held, at[:, c:][held[:, c:]]
+        return inputs[np.where(held, at, 0)], Held(c, held), at[:, c:][held[:, c:]]
 
     def scores(self, kind: int, inputs: np.ndarray, targets: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Natural log probability of each target; inputs[i] is the id before targets[i]."""
@@ -174,26 +203,28 @@ class Model:
         plan, batch = self._plan(kind, first), 2048 // STRIDES[kind]
         for i in range(0, len(plan[0]), batch):
             ids, held, at = self._batch(kind, inputs, plan, slice(i, i + batch))
-            h = self._forward(kind, ids, held)["h"][held[:, CONTEXTS[kind] :].ravel()]
+            h = self._forward(kind, ids, held)["h"][held.slots[:, held.context :].ravel()]
             logits = self._logits(kind, h, inputs[at])
             own = np.take(logits, np.arange(0, logits.size, CLASSES) + self.classes[targets[at]])
             np.exp(logits, out=logits)
-            out[at] = own - np.log(logits.sum(1)) + self.inside[kind][inputs[at], targets[at]]
+            out[at] = own - np.log(_totals(logits)[:, 0]) + self.inside[kind][inputs[at], targets[at]]
         return out
 
-    def _gradient(self, kind: int, ids: np.ndarray, held: np.ndarray, before: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
-        w, s, n = self.weights, CONTEXTS[kind], ids.shape[1]
+    def _gradient(self, kind: int, ids: np.ndarray, held: Held, before: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
+        w, s, n = self.weights, held.context, ids.shape[1]
         f = self._forward(kind, ids, held)
-        live = np.flatnonzero(held[:, s:])
-        h = f["h"][live]
-        p = _softmax(self._logits(kind, h, before))
-        p.reshape(-1)[np.arange(0, p.size, CLASSES) + self.classes[target]] -= 1
-        p /= np.float32(len(target))
+        full = len(target) == len(f["h"])
+        live = np.flatnonzero(held.slots[:, s:])
+        h = f["h"] if full else f["h"][live]
+        p = _softmax(self._logits(kind, h, before), times=len(target))
+        p.reshape(-1)[np.arange(0, p.size, CLASSES) + self.classes[target]] -= np.float32(1 / len(target))
         g = {"out": _sums(h, p)}
-        dh = np.zeros_like(f["h"])
-        dh[live] = _times(p, w["out"].T)
+        dh = _times(p, w["out"].T.copy())
+        if not full:
+            dh, some = np.zeros_like(f["h"]), dh
+            dh[live] = some
         g["mix"] = _sums(f["c"], dh)
-        dc = _times(dh, w["mix"].T)
+        dc = _times(dh, w["mix"].T.copy())
         # a softmax's gradient takes off the mean of da under a, which is the product of dc and what a has mixed
         mean = np.einsum("ij,ij->i", dc, f["c"]).reshape(-1, n - s, 1)
         dc = dc.reshape(-1, n - s, DIM)
@@ -203,24 +234,25 @@ class Model:
         dv = (f["a"].transpose(0, 2, 1) @ dc).reshape(-1, DIM)
         dq, dk = (ds @ f["k"]).reshape(-1, DIM) * _SCALE, (ds.transpose(0, 2, 1) @ f["q"]).reshape(-1, DIM)
         g["query"], g["key"], g["value"] = _sums(f["own"], dq), _sums(f["every"], dk), _sums(f["every"], dv)
-        dx = (_times(dk, w["key"].T) + _times(dv, w["value"].T)).reshape(-1, n, DIM)
-        dh += _times(dq, w["query"].T)
+        dx = (_times(dk, w["key"].T.copy()) + _times(dv, w["value"].T.copy())).reshape(-1, n, DIM)
+        dh += _times(dq, w["query"].T.copy())
         dx[:, s:] += dh.reshape(-1, n - s, DIM)
-        slot = ids.astype(np.int64)[..., None] * DIM + np.arange(DIM)
-        g["embed"] = np.bincount(slot.ravel(), dx.ravel(), SIZE * DIM).astype(np.float32)
+        g["embed"] = np.bincount(np.take(_PLACES, ids, axis=0).ravel(), dx.ravel(), SIZE * DIM).astype(np.float32)
         g["place"], g["kind"] = np.zeros_like(w["place"]), np.zeros_like(w["kind"])
-        g["place"][:n] = dx.sum(0)
+        g["place"][CONTEXTS[kind] - s :][:n] = dx.sum(0)
         g["kind"][kind] = g["place"].sum(0)
         return g
 
     def _shuffled(self, plans: list[tuple], rng: np.random.Generator) -> list[tuple[int, int, np.ndarray]]:
-        """Batches (chunk, kind, windows) in any order; each window of each plan is in one of them."""
+        """Batches (chunk, kind, windows) in any order; each window of each plan is in one of them, with others like it."""
         out = []
         for chunk, pair in enumerate(plans):
-            for kind, (begin, _, _) in enumerate(pair):
+            for kind, (begin, size, before) in enumerate(pair):
                 if len(begin):
                     batches = -(-len(begin) // (1024 // STRIDES[kind]))
-                    out += [(chunk, kind, some) for some in np.array_split(rng.permutation(len(begin)), batches)]
+                    drawn = rng.permutation(len(begin))
+                    drawn = drawn[_alike(size[drawn], before[drawn])]
+                    out += [(chunk, kind, some) for some in np.array_split(drawn, batches)]
         return [out[k] for k in rng.permutation(len(out))]
 
     def train(self, chunks: list[tuple[tuple, tuple]], rate: float, seed: int = 3, steps: int = 1) -> None:
@@ -235,7 +267,7 @@ class Model:
         flat = np.concatenate([self.weights[k].ravel() for k in names])
         cuts = np.cumsum([self.weights[k].size for k in names])[:-1]
         self.weights = {k: part.reshape(self.weights[k].shape) for k, part in zip(names, np.split(flat, cuts), strict=True)}
-        mean, square = np.zeros_like(flat), np.zeros_like(flat)
+        mean, square, part = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
         queue = self._shuffled(plans, rng)
         passes = -(-steps // len(queue)) if queue else 0
         total, step = passes * len(queue), 0
@@ -246,10 +278,17 @@ class Model:
                 ids, held, at = self._batch(kind, inputs, plans[chunk][kind], some)
                 found = self._gradient(kind, ids, held, inputs[at], targets[at])
                 g = np.concatenate([found[k].ravel() for k in names])
-                mean += np.float32(0.1) * (g - mean)
-                square += np.float32(0.01) * (g * g - square)
+                mean *= np.float32(0.9)
+                square *= np.float32(0.99)
+                mean += np.multiply(g, np.float32(0.1), out=part)
+                g *= g
+                square += np.multiply(g, np.float32(0.01), out=part)
                 now = rate * (1 - step / (total + 1)) / (1 - 0.9**step)
-                flat -= np.float32(now) * mean / (np.sqrt(square / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+                np.sqrt(np.multiply(square, np.float32(1 / (1 - 0.99**step)), out=part), out=part)
+                part += np.float32(1e-8)
+                np.divide(mean, part, out=part)
+                part *= np.float32(now)
+                flat -= part
 
 
 def inside_streams(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

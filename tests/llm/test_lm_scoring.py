@@ -171,3 +171,19 @@ def test_scores_equal_a_plain_loop(spark, monkeypatch):
             want += math.log10(S.SHARE * counts[w] / max(1, often[ids[0]]) + (1 - S.SHARE) * inside + 1e-300)
         assert got[key, len(firsts) + 1] == pytest.approx(want, rel=1e-4, abs=1e-2), key
     docs.unpersist()
+
+
+def test_windows_are_batched_with_others_like_them(model, monkeypatch):
+    rng, slots = np.random.default_rng(7), [0, 0]
+    real = L.Model._forward
+    monkeypatch.setattr(L.Model, "_forward", lambda self, kind, ids, held: slots.__setitem__(kind, slots[kind] + ids.size) or real(self, kind, ids, held))
+    pair = []
+    for sizes in (rng.integers(1, 150, 400), rng.integers(1, 10, 5000)):
+        inputs, targets = (rng.integers(0, L.SIZE, sizes.sum()).astype(np.int16) for _ in range(2))
+        pair.append((inputs, targets, np.concatenate([[0], np.cumsum(sizes)])))
+    # a slot for each position, and for each one that a window sees before it; hardly any more
+    needed = [sum(size + min(context, at) for n in np.diff(first).tolist() for at in range(0, n, stride) for size in [min(stride, n - at)]) for (_, _, first), stride, context in zip(pair, L.STRIDES, L.CONTEXTS)]
+    for work in (lambda: [model.scores(kind, *s) for kind, s in enumerate(pair)], lambda: model.train([tuple(pair)], 0.001)):
+        slots[:] = [0, 0]
+        work()
+        assert all(n <= got <= 1.15 * n for got, n in zip(slots, needed)), (slots, needed)
