@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import base64
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -28,10 +28,9 @@ CLASSES = 64
 #: Positions that a window scores, and those before them for context, by kind: first ids of words, ids inside words.
 STRIDES = (32, 6)
 CONTEXTS = (8, 2)
-#: Rows that go into one matrix product.  Spark has a worker on each core, and a larger product would start threads of its own,
-#: which take more time to wait for each other than they save.
-ROWS = 128
-_OFF = np.float32(-1e9)
+#: Multiplications that go into one matrix product, at most.  Spark has a worker on each core, and a larger product would start threads of
+#: its own, which take more time to wait for each other than they save.
+PRODUCT = 2**18
 #: What the model's own scores are kept within, either way; counted logarithms are above -28.
 BOUND = np.float32(25)
 _SCALE = np.float32(DIM**-0.5)
@@ -71,16 +70,16 @@ def windows(first: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Held(NamedTuple):
-    """Which slots of some windows are held: the first ``context`` ones lie before what is scored."""
+    """Which slots of some windows are held (None: all of them): the first ``context`` ones lie before what is scored."""
 
     context: int
-    slots: np.ndarray
+    slots: np.ndarray | None
 
 
 @cache
 def _later(context: int, slots: int) -> np.ndarray:
-    """What is added to a window's attention: no slot attends to later ones."""
-    return np.where(np.arange(slots)[None, :] > np.arange(context, slots)[:, None], _OFF, np.float32(0))
+    """What a window's attention is multiplied by: no slot attends to later ones."""
+    return (np.arange(slots)[None, :] <= np.arange(context, slots)[:, None]).astype(np.float32)
 
 
 def _alike(size: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -89,31 +88,43 @@ def _alike(size: np.ndarray, before: np.ndarray) -> np.ndarray:
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b for many rows, by ROWS of them."""
-    n, (wide, high) = len(a) // ROWS * ROWS, b.shape
+    """a @ b for many rows, by as many of them as a product takes."""
+    wide, high = b.shape
+    rows = PRODUCT // b.size
+    if len(a) <= rows:
+        return a @ b
+    n = len(a) // rows * rows
     out = np.empty((len(a), high), np.float32)
-    np.matmul(a[:n].reshape(-1, ROWS, wide), b, out=out[:n].reshape(-1, ROWS, high))
-    np.matmul(a[n:], b, out=out[n:])
+    if n:
+        np.matmul(a[:n].reshape(-1, rows, wide), b, out=out[:n].reshape(-1, rows, high))
+    if n < len(a):
+        np.matmul(a[n:], b, out=out[n:])
     return out
 
 
 def _sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a.T @ b for many rows, by ROWS of them."""
-    n = len(a) // ROWS * ROWS
-    whole = a[:n].reshape(-1, ROWS, a.shape[1]).transpose(0, 2, 1) @ b[:n].reshape(-1, ROWS, b.shape[1])
-    return whole.sum(0) + a[n:].T @ b[n:]
+    """a.T @ b for many rows, by as many of them as a product takes."""
+    rows = PRODUCT // (a.shape[1] * b.shape[1])
+    total = b[:rows].T @ a[:rows]
+    for i in range(rows, len(a), rows):
+        total += b[i : i + rows].T @ a[i : i + rows]
+    return total.T
+
+
+@cache
+def _ones(n: int) -> np.ndarray:
+    return np.ones((n, 1), np.float32)
 
 
 def _totals(x: np.ndarray) -> np.ndarray:
-    """Sums along the last axis, which stays: as products, that are several times as quick as sums of short rows."""
-    return x @ np.ones((x.shape[-1], 1), np.float32)
+    """Sums along the last axis, which stays: as a product, that is several times as quick as sums of short rows."""
+    return (x.reshape(-1, x.shape[-1]) @ _ones(x.shape[-1])).reshape(*x.shape[:-1], 1)
 
 
-def _softmax(x: np.ndarray, times: int = 1) -> np.ndarray:
-    """In place, divided by ``times``.  Values are within BOUND but for masked ones, so that no largest one needs to be taken off first."""
-    np.exp(x, out=x)
-    x /= _totals(x) * np.float32(times)
-    return x
+def _exp(x: np.ndarray) -> np.ndarray:
+    """In place, of values kept within BOUND, so that no largest one needs to be taken off first."""
+    np.clip(x, -BOUND, BOUND, out=x)
+    return np.exp(x, out=x)
 
 
 def id_classes(counts: np.ndarray, classes: int = CLASSES, seed: int = 9) -> np.ndarray:
@@ -156,31 +167,40 @@ class Model:
         by_class = table @ np.eye(CLASSES)[classes] + 1e-12
         return cls(classes, np.log(by_class).astype(np.float32), np.log(table / by_class[:, :, classes]).astype(np.float32), dict(weights))
 
+    @cached_property
+    def _by_class(self) -> np.ndarray:
+        return np.exp(self.by_class)
+
     def _forward(self, kind: int, ids: np.ndarray, held: Held) -> dict[str, np.ndarray]:
         """ids, held: windows x slots; a slot that isn't held is not attended to.
 
         Those behind a window's last position are later than all that count; those before the first are masked.
+        Queries and keys meet in one small matrix, ``near``, and so do values and the mix, ``mixing``: slots are attended to as they are,
+        and only positions are multiplied.  ``a`` are weights whose sums are 1 / ``scale``: dividing what they mix is less work.
         """
         w, c, n = self.weights, held.context, ids.shape[1]
+        near, mixing = (w["query"] * _SCALE) @ w["key"].T, w["value"] @ w["mix"]
         x = np.take(w["embed"], ids, axis=0)
         x += w["place"][CONTEXTS[kind] - c :][:n] + w["kind"][kind]
-        own, every = x[:, c:].reshape(-1, DIM), x.reshape(-1, DIM)
-        q = _times(own, w["query"] * _SCALE).reshape(-1, n - c, DIM)
-        k, v = (_times(every, w[k]).reshape(-1, n, DIM) for k in ("key", "value"))
-        a = q @ k.transpose(0, 2, 1)
-        np.clip(a, -BOUND, BOUND, out=a)
-        a += _later(c, n)
-        if not held.slots[:, :c].all():
-            a[:, :, :c] += np.where(held.slots[:, :c], np.float32(0), _OFF)[:, None, :]
-        a = _softmax(a)
-        mixed = (a @ v).reshape(-1, DIM)
-        return {"own": own, "every": every, "q": q, "k": k, "v": v, "a": a, "c": mixed, "h": own + _times(mixed, w["mix"])}
-
-    def _logits(self, kind: int, h: np.ndarray, before: np.ndarray) -> np.ndarray:
-        logits = _times(h, self.weights["out"])
-        np.clip(logits, -BOUND, BOUND, out=logits)
-        logits += np.take(self.by_class[kind], before, axis=0)
-        return logits
+        own = x[:, c:].reshape(-1, DIM)
+        q = _times(own, near).reshape(-1, n - c, DIM)
+        a = _exp(q @ x.transpose(0, 2, 1))
+        a *= _later(c, n)
+        if held.slots is not None and not held.slots[:, :c].all():
+            a[:, :, :c] *= held.slots[:, None, :c]
+        scale = 1 / _totals(a)
+        mixed = a @ x
+        mixed *= scale
+        mixed = mixed.reshape(-1, DIM)
+        h = _times(mixed, mixing)
+        h += own
+        return {"x": x, "own": own, "near": near, "mixing": mixing, "q": q, "a": a, "scale": scale, "mixed": mixed, "h": h}
+
+    def _odds(self, kind: int, h: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Of the next id's classes; a row's divided by their sum are probabilities."""
+        odds = _exp(_times(h, self.weights["out"]))
+        odds *= np.take(self._by_class[kind], before, axis=0)
+        return odds
 
     def _plan(self, kind: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows of the streams, those alike together: begin of the scored part, its size, and the context before it."""
@@ -190,11 +210,13 @@ class Model:
         return begin[order], size[order], before[order]
 
     def _batch(self, kind: int, inputs: np.ndarray, plan: tuple, some: slice | np.ndarray) -> tuple[np.ndarray, Held, np.ndarray]:
-        begin, size, before = (x[some, None] for x in plan)
+        begin, size, before = (x[some] for x in plan)
         c = int(before.max())
         slots = np.arange(-c, size.max())
-        held = (slots >= -before) & (slots < size)
-        at = begin + slots
+        at = begin[:, None] + slots
+        if size.min() == len(slots) - c and before.min() == c:
+            return inputs[at], Held(c, None), at[:, c:].ravel()
+        held = (slots >= -before[:, None]) & (slots < size[:, None])
         return inputs[np.where(held, at, 0)], Held(c, held), at[:, c:][held[:, c:]]
 
     def scores(self, kind: int, inputs: np.ndarray, targets: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -203,39 +225,48 @@ class Model:
         plan, batch = self._plan(kind, first), 2048 // STRIDES[kind]
         for i in range(0, len(plan[0]), batch):
             ids, held, at = self._batch(kind, inputs, plan, slice(i, i + batch))
-            h = self._forward(kind, ids, held)["h"][held.slots[:, held.context :].ravel()]
-            logits = self._logits(kind, h, inputs[at])
-            own = np.take(logits, np.arange(0, logits.size, CLASSES) + self.classes[targets[at]])
-            np.exp(logits, out=logits)
-            out[at] = own - np.log(_totals(logits)[:, 0]) + self.inside[kind][inputs[at], targets[at]]
+            h = self._forward(kind, ids, held)["h"]
+            if held.slots is not None:
+                h = h[held.slots[:, held.context :].ravel()]
+            before, target = inputs[at], targets[at]
+            odds = self._odds(kind, h, before)
+            own = np.take(odds, np.arange(0, odds.size, CLASSES) + self.classes[target])
+            out[at] = np.log(own / _totals(odds)[:, 0]) + self.inside[kind][before, target]
         return out
 
     def _gradient(self, kind: int, ids: np.ndarray, held: Held, before: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
         w, s, n = self.weights, held.context, ids.shape[1]
         f = self._forward(kind, ids, held)
         full = len(target) == len(f["h"])
-        live = np.flatnonzero(held.slots[:, s:])
+        live = None if full else np.flatnonzero(held.slots[:, s:])
         h = f["h"] if full else f["h"][live]
-        p = _softmax(self._logits(kind, h, before), times=len(target))
-        p.reshape(-1)[np.arange(0, p.size, CLASSES) + self.classes[target]] -= np.float32(1 / len(target))
-        g = {"out": _sums(h, p)}
-        dh = _times(p, w["out"].T.copy())
+        # probabilities less the targets are odds / totals; the totals divide what is made of the odds, which is less than they are
+        odds = self._odds(kind, h, before)
+        totals = _totals(odds)
+        odds.reshape(-1)[np.arange(0, odds.size, CLASSES) + self.classes[target]] -= totals[:, 0]
+        share = 1 / (totals * np.float32(len(target)))
+        g = {"out": _sums(h * share, odds)}
+        dh = _times(odds, w["out"].T)
+        dh *= share
         if not full:
             dh, some = np.zeros_like(f["h"]), dh
             dh[live] = some
-        g["mix"] = _sums(f["c"], dh)
-        dc = _times(dh, w["mix"].T.copy())
+        mixing = _sums(f["mixed"], dh)
+        dc = _times(dh, f["mixing"].T)
+        dc *= f["scale"].reshape(-1, 1)
         # a softmax's gradient takes off the mean of da under a, which is the product of dc and what a has mixed
-        mean = np.einsum("ij,ij->i", dc, f["c"]).reshape(-1, n - s, 1)
+        mean = _totals(dc * f["mixed"]).reshape(-1, n - s, 1)
         dc = dc.reshape(-1, n - s, DIM)
-        ds = dc @ f["v"].transpose(0, 2, 1)
-        ds -= mean
-        ds *= f["a"]
-        dv = (f["a"].transpose(0, 2, 1) @ dc).reshape(-1, DIM)
-        dq, dk = (ds @ f["k"]).reshape(-1, DIM) * _SCALE, (ds.transpose(0, 2, 1) @ f["q"]).reshape(-1, DIM)
-        g["query"], g["key"], g["value"] = _sums(f["own"], dq), _sums(f["every"], dk), _sums(f["every"], dv)
-        dx = (_times(dk, w["key"].T.copy()) + _times(dv, w["value"].T.copy())).reshape(-1, n, DIM)
-        dh += _times(dq, w["query"].T.copy())
+        da = dc @ f["x"].transpose(0, 2, 1)
+        da -= mean
+        da *= f["a"]
+        dq = (da @ f["x"]).reshape(-1, DIM)
+        near = _sums(f["own"], dq)
+        g["query"], g["key"] = near @ w["key"] * _SCALE, near.T @ w["query"] * _SCALE
+        g["value"], g["mix"] = mixing @ w["mix"].T, w["value"].T @ mixing
+        dx = da.transpose(0, 2, 1) @ f["q"]
+        dx += f["a"].transpose(0, 2, 1) @ dc
+        dh += _times(dq, f["near"].T)
         dx[:, s:] += dh.reshape(-1, n - s, DIM)
         g["embed"] = np.bincount(np.take(_PLACES, ids, axis=0).ravel(), dx.ravel(), SIZE * DIM).astype(np.float32)
         g["place"], g["kind"] = np.zeros_like(w["place"]), np.zeros_like(w["kind"])
@@ -278,16 +309,17 @@ class Model:
                 ids, held, at = self._batch(kind, inputs, plans[chunk][kind], some)
                 found = self._gradient(kind, ids, held, inputs[at], targets[at])
                 g = np.concatenate([found[k].ravel() for k in names])
+                # ten times the mean and a hundred times the square; what they lack goes into the rate
                 mean *= np.float32(0.9)
-                square *= np.float32(0.99)
-                mean += np.multiply(g, np.float32(0.1), out=part)
+                mean += g
                 g *= g
-                square += np.multiply(g, np.float32(0.01), out=part)
-                now = rate * (1 - step / (total + 1)) / (1 - 0.9**step)
-                np.sqrt(np.multiply(square, np.float32(1 / (1 - 0.99**step)), out=part), out=part)
-                part += np.float32(1e-8)
+                square *= np.float32(0.99)
+                square += g
+                root = (0.01 / (1 - 0.99**step)) ** 0.5
+                np.sqrt(square, out=part)
+                part += np.float32(1e-8 / root)
                 np.divide(mean, part, out=part)
-                part *= np.float32(now)
+                part *= np.float32(rate * (1 - step / (total + 1)) / (1 - 0.9**step) * 0.1 / root)
                 flat -= part
 
 

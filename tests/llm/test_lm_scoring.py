@@ -187,3 +187,33 @@ def test_windows_are_batched_with_others_like_them(model, monkeypatch):
         slots[:] = [0, 0]
         work()
         assert all(n <= got <= 1.15 * n for got, n in zip(slots, needed)), (slots, needed)
+
+
+def test_only_scored_positions_are_multiplied(model, monkeypatch):
+    rng, rows, done = np.random.default_rng(8), [], []
+    times, sums = L._times, L._sums
+    monkeypatch.setattr(L, "_times", lambda a, b: rows.append(len(a)) or done.append(len(a) * b.size) or times(a, b))
+    monkeypatch.setattr(L, "_sums", lambda a, b: rows.append(len(a)) or done.append(len(a) * a.shape[1] * b.shape[1]) or sums(a, b))
+    for kind in (0, 1):
+        n = 20 * L.STRIDES[kind]
+        inputs, targets = (rng.integers(0, L.SIZE, n).astype(np.int16) for _ in range(2))
+        plan = model._plan(kind, np.array([0, n]))
+        ids, held, at = model._batch(kind, inputs, plan, slice(1, None))
+        assert held.context and ids.size > len(at) == n - L.STRIDES[kind]
+        small, large = L.DIM**2, L.DIM * L.CLASSES
+        # queries, what is mixed, and classes; then their gradients, each by what went in and by the weights
+        for work, most in ((lambda: model._forward(kind, ids, held), 2 * small), (lambda: model._gradient(kind, ids, held, inputs[at], targets[at]), 3 * (2 * small + large))):
+            rows[:], done[:] = [], []
+            work()
+            assert set(rows) == {len(at)} and sum(done) <= most * len(at)
+
+
+def test_products_of_many_rows():
+    rng = np.random.default_rng(9)
+    for wide, high in ((16, 16), (16, 64), (64, 16)):
+        for n in (0, 1, L.PRODUCT // (wide * high), 3 * L.PRODUCT // (wide * high) + 5):
+            a, b, c = (rng.standard_normal(s).astype(np.float32) for s in ((n, wide), (wide, high), (n, high)))
+            assert np.allclose(L._times(a, b), a.astype(float) @ b, atol=1e-4)
+            assert np.allclose(L._sums(a, c), a.T.astype(float) @ c, atol=1e-2)
+    x = rng.standard_normal((5, 6, 7)).astype(np.float32)
+    assert np.allclose(L._totals(x), x.sum(-1, keepdims=True), atol=1e-5)
