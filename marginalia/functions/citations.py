@@ -76,7 +76,20 @@ def reference_id(part: Column, kind: Column, number: Column, suffix: Column | No
     return F.when(part.isNotNull() & (number != 0), F.concat_ws(".", *parts))
 
 
-def _of_family(text: Column, own_part: Column, family: Family, build: bool) -> Column:
+def _found(text: Column, family: Family) -> Column:
+    """Array of the places in ``text`` that a family's pattern matches.
+
+    A space is put before the text, so that a reference at its beginning has one to start with, as all others have: with '^' as
+    another way to start, a search takes twice its time.
+    """
+    pattern = java_pattern(family.pattern)
+    if family.pattern.startswith(_FROM):
+        text, pattern = F.concat(F.lit(" "), text), java_pattern(family.pattern.replace(_FROM, "", 1))
+        pattern = f"[{SPACES},(;]{pattern}"
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+def _ids_of(matches: Column, own_part: Column, family: Family, build: bool) -> Column:
     """Array of ids.  Groups, numbers and ids are made one after another, so that each is worked out once for a match."""
     pattern = java_pattern(family.pattern)
 
@@ -98,15 +111,32 @@ def _of_family(text: Column, own_part: Column, family: Family, build: bool) -> C
         suffix = F.when((g["corollary"] != 0) & (g["kind"] == "prop"), F.concat(F.lit("corollary"), g["corollary"].cast("string"))) if family.corollary else None
         return F.transform(g["numbers"], lambda n: reference_id(part, g["kind"], n, suffix))
 
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return F.flatten(F.transform(F.transform(F.transform(matches, groups), numbers), ids))
 
 
+def part_of(own_id: Column) -> Column:
+    """The part that references without one are to."""
+    return F.get(F.split(own_id, r"\."), F.lit(0))
+
+
+def marks(text: Column, build: bool = False) -> Column:
+    """For each family, an array of the places in ``text`` that it matches.  Null text: none."""
+    return F.array(*[_found(F.coalesce(text, F.lit("")), f) for f in families(build)])
+
+
+def ids_of_mark(family: Column, mark: Column, own_part: Column, build: bool = False) -> Column:
+    """Array of the ids (or nulls) that a place found by ``marks`` refers to; ``family`` is its number there."""
+    out = F.lit(None).cast("array<string>")
+    for k, f in enumerate(families(build)):
+        out = F.when(family == k, _ids_of(F.array(mark), own_part, f, build)).otherwise(out)
+    return out
+
+
 def references(text: Column, own_id: Column, build: bool = False) -> Column:
     """Distinct ids that ``text`` refers to, without the passage's own, in the order of the families.
 
     Null text: an empty array.
     """
-    own_part = F.get(F.split(own_id, r"\."), F.lit(0))
-    found = F.concat(*[_of_family(F.coalesce(text, F.lit("")), own_part, f, build) for f in families(build)])
+    text = F.coalesce(text, F.lit(""))
+    found = F.concat(*[_ids_of(_found(text, f), part_of(own_id), f, build) for f in families(build)])
     return F.array_distinct(F.filter(found, lambda x: x.isNotNull() & (x != own_id)))

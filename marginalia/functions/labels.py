@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from . import vocabulary as V
 from .roman import lookup, to_roman
 
-#: White space and line breaks of every script, for use inside a bracket.
-SPACES = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+#: White space and line breaks of every script but the common space, for use inside a bracket.  Those past Latin-1 stand behind
+#: one comparison, as a regex asks every member of a bracket about every character.
+_RARE_SPACES = r"\t\n\x0B\f\r\x{00A0}[\x{1680}-\x{FEFF}&&[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]]"
+SPACES = f" {_RARE_SPACES}"
 
 
 def blank_to_null(text: Column) -> Column:
@@ -22,7 +24,7 @@ def trim(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Runs of white space become one space, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(text, f"[{SPACES}]+", " "), "^ | $", "")
+    return F.trim(F.regexp_replace(text, f"[{_RARE_SPACES}][{SPACES}]*| [{SPACES}]+", " "))
 
 
 def join_paragraphs(parts: Column) -> Column:

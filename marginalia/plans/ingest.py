@@ -123,8 +123,8 @@ def order_passages(spark: SparkSession, sf: str) -> DataFrame:
 def explicit_graph(spark: SparkSession, sf: str) -> DataFrame:
     """The explicit graph of marked-up files: entries of every element, with their citations."""
     path = _new(spark, "xml")
-    P.write_markup(order_passages(spark, sf), path)
-    found = T.entry_triples(P.entries_of(P.xml_documents(spark, path)))
+    P.write_bundles(order_passages(spark, sf), path)
+    found = T.entry_triples(P.entries_of(P.bundled_documents(spark, path)))
     return found.groupBy("p", "o_kind", "o").agg(F.count("*").alias("n"), F.min("s").alias("first"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +18,9 @@ from marginalia.functions import vocabulary as V
 from marginalia.functions.roman import from_roman, lookup
 
 _FLAT = "path string, pos int, part string, id string, type string, tag string, section_kind string, number string, parent_id string, topic string, editorial boolean, segments array<array<string>>"
+_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<array<string>>": pa.list_(pa.list_(pa.string()))}
+#: Stands between documents in a file: a character that no XML document can hold.
+_BETWEEN = "\x1e"
 _TEXTS = ("text", "continuation", "item")
 
 
@@ -87,34 +90,39 @@ def _walk_entries(document: str) -> Iterator[dict]:
     root = ET.fromstring(document.strip().encode())
     if root.tag != "part":
         return
+    met = {None, ""}
 
-    def row(node: ET.Element, kind: str, parent: str | None, number: str | None) -> dict:
-        return {"part": root.get("number") or root.get("id"), "id": node.get("id"), "tag": node.tag, "section_kind": kind, "parent_id": parent, "number": number, "segments": [_texts(node)], "editorial": node.get("editorial") == "true"}
+    def rows(node: ET.Element, kind: str, parent: str | None, number: str | None) -> Iterator[dict]:
+        if node.get("id") in met:
+            return
+        met.add(node.get("id"))
+        yield {"part": root.get("number") or root.get("id"), "id": node.get("id"), "tag": node.tag, "section_kind": kind, "parent_id": parent, "number": number, "segments": [_texts(node)], "editorial": node.get("editorial") == "true"}
 
     def walk(node: ET.Element, kind: str) -> Iterator[dict]:
         for child in node:
             if child.tag == "section":
                 yield from walk(child, child.get("type", kind))
             elif child.tag in _ENTRY_TAGS:
-                yield row(child, kind, None, child.get("number"))
+                yield from rows(child, kind, None, child.get("number"))
                 for inner in child:
                     if inner.tag in ("proof", "corollary", "note", "explanation"):
-                        yield row(inner, kind, child.get("id"), None)
+                        yield from rows(inner, kind, child.get("id"), None)
                 yield from walk(child, kind)
 
     yield from walk(root, "")
 
 
 def _flat(documents: DataFrame, walk) -> DataFrame:
-    names = [f.split()[0] for f in _FLAT.split(", ")]
+    schema = pa.schema([(n, _ARROW[t]) for n, t in (f.split() for f in _FLAT.split(", "))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, text in zip(batch["path"], batch["value"], strict=True):
-                rows = [{"path": path, "pos": k} | r for k, r in enumerate(walk(text))]
-                yield pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names).astype(object)
+                path, rows = path.as_py(), list(walk(text.as_py()))
+                columns = {n: [r.get(n) for r in rows] for n in schema.names} | {"path": [path] * len(rows), "pos": range(len(rows))}
+                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
-    return documents.mapInPandas(run, _FLAT)
+    return documents.mapInArrow(run, _FLAT)
 
 
 def xml_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -239,3 +247,14 @@ def markup(passages: DataFrame, title: str | None = None) -> DataFrame:
 def write_markup(passages: DataFrame, path: str) -> None:
     """One text file a part, in folders part_number=<n>."""
     markup(passages).write.partitionBy("part_number").option("lineSep", "\n").text(path)
+
+
+def write_bundles(passages: DataFrame, path: str) -> None:
+    """The documents of many parts in each text file, for books of very many parts: a folder and a file take longer than a small part's text."""
+    markup(passages).select("xml").write.option("lineSep", _BETWEEN).text(path)
+
+
+def bundled_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, value): the documents in files of ``write_bundles``; a document's path is its file's and the digest of its text."""
+    found = spark.read.option("lineSep", _BETWEEN).text(path)
+    return found.select(F.concat("_metadata.file_path", F.lit("#"), F.md5("value")).alias("path"), "value")

@@ -32,6 +32,22 @@ def test_references(spark):
     assert found(spark, "(Prop. v)", "III.prop.5") == [] and found(spark, None, "III.prop.5") == []
 
 
+def test_references_at_the_beginning_and_after_rare_spaces(spark):
+    texts = {"iv. Ax. ii": "IV.ax.2", "iv. xi": "IV.prop.11", "Prop. ix": "II.prop.9", "Def. ix": "II.def.9", "Ax. ix": "II.ax.9", "Lemma ix": "II.lemma.9", "Post. ix": "II.post.9", "Pt. iv, Lemma ix": "IV.lemma.9"}
+    before = {"": True, " ": True, ", ": True, "so\u00a0": True, "so\u2029": True, "so\u3000": True, "so\x0b(": True, "so\u2030": False, "so\u200b": False}
+    rows = spark.createDataFrame([(b + t, wanted, there or t.startswith("Pt.")) for t, wanted in texts.items() for b, there in before.items()], "text string, wanted string, there boolean")
+    has = [F.array_contains(references(F.col("text"), F.lit("II.prop.1"), build), F.col("wanted")) for build in (False, True)]
+    assert [r["text"] for r in rows.filter((has[0] != F.col("there")) | (has[1] != F.col("there"))).collect()] == []
+
+
+def test_squeeze(spark):
+    spaces = " \t\n\x0b\f\r\u00a0\u1680\u2000\u2005\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+    texts = [f"{a}x{b}y{c}" for a in ("", " ", "\n ") for b in [*spaces, *(" " + s for s in spaces), *(s + " " for s in spaces), spaces] for c in ("", " ", "\u3000")]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(L.squeeze(F.col("t")).alias("x"))
+    assert {r["x"] for r in rows.collect()} == {"x y"}
+    assert value(spark, L.squeeze(F.lit("a\u0085b\u200bc\u1681d"))) == "a\u0085b\u200bc\u1681d" and value(spark, L.squeeze(F.lit(None).cast("string"))) is None
+
+
 def test_reference_patterns_without_right_boundary(spark):
     assert found(spark, "a definite thing", "I.prop.2") == ["I.def.1"]
     assert found(spark, "Part iv", "I.prop.2") == ["I.prop.5"]

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import reader
+from marginalia.operators import triples as T
 from marginalia.sources import passages as P
 from marginalia.sources import texts as X
 
@@ -79,6 +80,27 @@ def test_entries_hold_all_inner_text(spark):
     assert rows["V.def.1.explanation"]["parent_id"] == "V.def.1" and "V.preface" not in rows and rows["V.def.3"]["part_number"] == 5
 
 
+def test_a_graph_walks_its_documents_once(spark):
+    citing = """<part id="V" number="5"><section type="notes"><note id="V.note.1"><text>Def. i, by (Prop. iv); Def. i. Ax. ii</text></note></section></part>"""
+    graph = T.entry_triples(P.entries_of(docs(spark, BOOK, citing)))
+    assert "MapIn" not in graph._jdf.queryExecution().executedPlan().toString()  # a walk for each kind of triple before
+    rows = [tuple(r)[:3] for r in graph.collect()]
+    assert len(rows) == len(set(rows)) and {r for r in rows if r[1] == "cites"} == {("V.note.1", "cites", "V.def.1"), ("V.note.1", "cites", "V.prop.4")}
+    assert {r for r in rows if "V.prop.4" in r} == {("V.prop.4", "type", "Proposition"), ("V.prop.4", "partNumber", "5"), ("V.prop.4", "number", "4"), ("V.prop.4.corollary2", "partOf", "V.prop.4"), ("V.prop.4", "hasCorollary", "V.prop.4.corollary2"), ("V.note.1", "cites", "V.prop.4")}
+
+
+def test_bundles_hold_many_documents_a_file(spark, tmp_path):
+    kinds = "id string, type string, text string, number string, parent_id string, sort_index long, section_kind string, part_number int, part_numeral string, heading string, is_editorial boolean"
+    rows = [(f"I.prop.{k}", "proposition", f"A <line\n {k}\u2029 & more", str(k), None, k, "propositions", k // 3 + 1, str(k // 3 + 1), None, False) for k in range(60)]
+    P.write_bundles(spark.createDataFrame(rows, kinds), str(tmp_path / "few"))
+    P.write_markup(spark.createDataFrame(rows, kinds), str(tmp_path / "many"))
+    few, many = P.bundled_documents(spark, str(tmp_path / "few")), P.xml_documents(spark, str(tmp_path / "many"))
+    assert few.select("path").distinct().count() == many.count() == 20 and len(list((tmp_path / "few").glob("*.txt"))) <= 4
+    assert {r["value"].strip() for r in few.collect()} == {r["value"].strip() for r in many.collect()}
+    entries = lambda d: sorted(map(str, P.entries_of(d).collect()))
+    assert entries(few) == entries(many) and len(entries(few)) == 60
+
+
 def test_outline(spark):
     ids = {r["id"] for r in P.outline(P.passages_of(docs(spark, BOOK))).collect()}
     assert "V.prop.4.corollary2" in ids and "V.post.1.note" not in ids and "V.preface" not in ids
